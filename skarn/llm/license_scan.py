@@ -75,6 +75,7 @@ def scan_licenses(
     notices: dict[str, list[str]] | None = None,
     keys: dict[str, list[str]] | None = None,
     agree: float = 0.8,
+    lookups: int = 3,
 ) -> DataFrame:
     """One row per file: doc_id, n_words, n_base (places of base phrases), first_word, last_word
     (their smallest and largest start, words from 0; null without any), base_labels, labels
@@ -91,21 +92,24 @@ def scan_licenses(
     df, n = document_frequencies(docs, text_col, vocabulary)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
 
-    def anchor(ws: list[str]) -> int:
-        """Place of the word of the highest IDF, the first of several."""
-        return max(range(len(ws)), key=lambda i: (idf[ws[i]], -i))
+    def anchors_of(ws: list[str], n: int) -> list[int]:
+        """Places of the n words of the highest IDF, the first of several."""
+        return sorted(range(len(ws)), key=lambda i: (-idf[ws[i]], i))[:n]
 
-    anchors = sorted({ws[anchor(ws)] for _, ws in templates + phrases})
+    # a phrase must stand whole, so its rarest word finds it; a notice may lack some words
+    anchors = sorted({ws[i] for _, ws in phrases for i in anchors_of(ws, 1)} | {ws[i] for _, ws in templates for i in anchors_of(ws, lookups)})
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     # postings of the rare words in the file: empty for nearly all files
     places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(anchors), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
     none = F.lit([]).cast("array<struct<at:int,word:string>>")
     rows = rows.withColumn("hits", F.when(F.arrays_overlap("words", _array(anchors)), places).otherwise(none))
 
-    def aligned(ws: list[str]) -> Column:
-        """Where the template would start at each place of its rarest word."""
-        a = anchor(ws)
-        return F.transform(F.filter("hits", lambda h: h["word"] == ws[a]), lambda h: h["at"] - a)
+    def aligned(ws: list[str], n: int) -> Column:
+        """Where the template would start at each place of its rarest words."""
+        return F.array_distinct(F.concat(*[shifted(ws[a], a) for a in anchors_of(ws, n)]))
+
+    def shifted(word: str, place: int) -> Column:
+        return F.transform(F.filter("hits", lambda h: h["word"] == word), lambda h: h["at"] - place)
 
     def stands(start: Column, ws: list[str]) -> Column:
         return (start >= 0) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, len(ws)) == _array(ws))
@@ -131,17 +135,17 @@ def scan_licenses(
 
     # base phrases: every place, by its rarest word
     for i, (_, ws) in enumerate(phrases):
-        rows = rows.withColumn(f"base_{i}", F.filter(aligned(ws), standing(ws)))
+        rows = rows.withColumn(f"base_{i}", F.filter(aligned(ws, 1), standing(ws)))
     shares, named = [], []
     for i, (label, ws) in enumerate(templates):
-        rows = rows.withColumn(f"share_{i}", most(F.transform(aligned(ws), sharing(ws))))
+        rows = rows.withColumn(f"share_{i}", most(F.transform(aligned(ws, lookups), sharing(ws))))
         shares.append(F.col(f"share_{i}"))
         phrase = [p.split() for p in keys.get(label, [])]
         held = F.lit(not phrase)
         for p in phrase:
             if any(p == ws[j : j + len(p)] for j in range(len(ws))):
                 j = next(j for j in range(len(ws)) if p == ws[j : j + len(p)])
-                held = held | F.exists(aligned(ws), holding(ws, p, j))
+                held = held | F.exists(aligned(ws, lookups), holding(ws, p, j))
         named.append(F.when((F.col(f"share_{i}") >= agree) & held, F.lit(label)))
     base_cols = [F.col(f"base_{i}") for i in range(len(phrases))]
     starts = F.concat(*base_cols)

@@ -42,7 +42,7 @@ user username utf-8 validate value variable version void while width window work
 ABCDEFGHIJKLMNOPQRSTUVWXYZ example.com sha256 uuid xxxxxxxxxxxxxxxx 0000000000000000
 """
 #: Characters before a candidate in which the sensitive word must stand; of context that primes the compressor; share of its bits that a candidate must cost.
-NEAR, AROUND, NOVEL = 48, 256, 0.62
+NEAR, AROUND, NOVEL = 48, 256, 1.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,0 +1,424 @@
+"""Every operator against a brute-force version, and over nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from skarn.llm import decontamination, langid, line_dedup, packing, secret_scan, simhash, substring_dedup, token_counts
+from skarn.llm.components import connected_components
+from skarn.llm.license_scan import scan_licenses
+from skarn.llm.topk import top_k
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, block string, component int"
+WORDS = "the of and tion was shing erth blea onwh ndly hest Getz über garçon señal 日本 x1 don't".split()
+
+
+def _text(r, n):
+    return "".join(r.choice(WORDS) + r.choice([" ", " ", " ", ", ", "\n", ". "]) for _ in range(n))
+
+
+def _docs(spark, extra=(), seed=1, n=30):
+    r = random.Random(seed)
+    texts = [_text(r, r.randint(0, 80)) for _ in range(n)]
+    texts += [texts[3], texts[4], texts[5] + " more", None, "", " \n\t ", "x", _text(r, 6000), "word " * 3000, *extra]
+    rows = [(i, t, r.choice(["en", "fr", None]), r.choice(["a", "a", "b", None]), 0, 1, "b", 2) for i, t in enumerate(texts)]
+    rows += [rows[2], (None, texts[3], "en", "a", 0, 1, "b", 2)]
+    return spark.createDataFrame(rows, DOCS), rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return _docs(spark)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(1, 1), (None, 3), (5, 6), (5, 6)] + [(300 + i, 301 + i) for i in range(40)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _packed(spark, df, **options):
+    return packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json"), **options).collect()
+
+
+def test_packing_round_trip(spark, docs, empty):
+    df, rows = docs
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted(tuple(t.encode(x[1] or "", add_special_tokens=False).ids + [1]) for x in rows)
+    out = _packed(spark, df, window=64, grain=8)
+    places = sorted((p.sequence_id * 64 + p.offset, p.length) for p in out)
+    assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
+    assert all(p.offset + p.length <= 64 for p in out)
+    assert all(zlib.crc32(p.ids) == p.ids_crc32 and len(p.ids) == 4 * p.length for p in out)
+    by = {}
+    for p in out:
+        by.setdefault(p.doc_id, []).append(p)
+    got = []
+    for doc, ps in by.items():
+        ps.sort(key=lambda p: p.start)
+        if sum(p.length for p in ps) == ps[0].doc_tokens:  # ids of single rows; repeated ones interleave
+            got.append(tuple(np.frombuffer(b"".join(p.ids for p in ps), "<u4").tolist()))
+    single = [x for x in by if x != 2]
+    assert len(got) == len(single) and set(got) <= set(want)
+    assert sum(p.length for p in out) == sum(map(len, want))
+    assert _packed(spark, empty) == []
+
+
+def test_packing_mixture(spark):
+    rows = [(i, "of " * 50, "en", "ab"[i % 2], 0, 0, "", 0) for i in range(80)]
+    out = _packed(spark, spark.createDataFrame(rows, DOCS), window=128, grain=1, targets={"a": 0.75})
+    share = {}
+    for p in out:
+        share.setdefault(p.sequence_id, {}).setdefault(p.source, 0)
+        share[p.sequence_id][p.source] += p.length
+    for w in range(10):  # until source a runs out
+        assert abs(share[w]["a"] - 96) <= 2 and abs(share[w]["b"] - 32) <= 2
+
+
+def test_packing_pools_sources_beyond_the_queues(spark):
+    rows = [(i, "of " * (i + 1), None, f"s{i % 7}", 0, 0, "", 0) for i in range(40)]
+    out = _packed(spark, spark.createDataFrame(rows, DOCS), window=32, grain=4, max_queues=2)
+    assert sum(p.length for p in out) == sum(i + 2 for i in range(40))
+    places = sorted((p.sequence_id * 32 + p.offset, p.length) for p in out)
+    assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
+
+
+def test_token_counts(spark, docs, empty):
+    odd = ["a  b\n\n c", "a\xa0 \xa0b", "<|endoftext|> x<|endoftext|>", "\x1c\x1d a", "tab\t\tb ", "  lead", "trail  ", "don't we'll 12ab_cd", "日本語　テキスト", "é" * 500]
+    df, rows = _docs(spark, odd, seed=4)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((x[0] is None, x[0] or 0, len((x[1] or "").encode()), n, n > 50) for x in rows for n in [len(t.encode(x[1] or "", add_special_tokens=False).ids)])
+    run = lambda d: token_counts.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json"), 50).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in run(df)) == want
+    assert run(empty) == []
+
+
+def _fingerprint(text):
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if w]
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, docs, empty):
+    df, rows = docs
+    fps = [_fingerprint(x[1]) for x in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    ids = {}
+    for i, x in enumerate(rows):
+        if x[0] is not None:
+            ids[root(i)] = min(ids.get(root(i), 1 << 60), x[0])
+    want = sorted((str(x[0]), f"{f:016x}", ids.get(root(i))) for i, (x, f) in enumerate(zip(rows, fps)))
+    got = simhash.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_simhash_links_keep_every_connection(spark, monkeypatch):
+    """Clusters of fingerprints around centres, beyond a tile."""
+    monkeypatch.setattr(simhash, "TILE", 16)
+    r = random.Random(3)
+    fps = set()
+    for _ in range(4):
+        c = r.getrandbits(64)
+        for _ in range(80):
+            x = c
+            for b in r.sample(range(64), r.randint(0, 4)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    parent = {x: x for x in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 3:
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    links = [(x.a % (1 << 64), x.b % (1 << 64)) for x in simhash.links(df).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in links)
+    found = {x: x for x in fps}
+
+    def top(x):
+        while found[x] != x:
+            x = found[x]
+        return x
+
+    for a, b in links:
+        p, q = top(a), top(b)
+        found[max(p, q)] = min(p, q)
+    assert {x: top(x) for x in fps} == {x: root(x) for x in fps}
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(300, 8))
+    v[10:40] = v[5]  # ties
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(400, None, 1), (500, [1.0, None] + [0.0] * 6, 1), (600, [float("nan")] + [0.0] * 7, 1), (None, v[0].tolist(), 1), (700, [1.0, 2.0], 1), (800, [float("inf")] + [0.0] * 7, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = top_k(df, lambda i: i % 100 == 0, k=10).orderBy("query_id", "rank").collect()
+    x = np.floor(1024 * v).astype(int)
+    want = []
+    for q in (0, 100, 200):
+        s = sorted((-int(x[q] @ x[j]), j) for j in range(300) if j != q)[:10]
+        want += [(q, k + 1, j, -m) for k, (m, j) in enumerate(s)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == want  # the vector of another length has no candidates
+    assert top_k(df.where("vec_id < 0"), lambda i: i % 100 == 0).count() == 0
+
+
+def test_secrets(spark, empty):
+    hexes = hashlib.sha1(b"x").hexdigest()
+    texts = ['token=token=abcdefgh', 'token=token:abcdefg', f'password = "{hexes}"', "AKIAAKIA", "AKIA" + "Z9" * 9, "api_key: ab", "PassWd:='a=b=c=d'", "ñ secret: ñabcdef secret:abcdefg", "deadbeef" * 4, None, "", "bearer " + "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "the authorization Zk9xQ2vL8mN3pR7tW1yB5dF0 was", "token of_the_configuration_document_source"]
+    df, rows = _docs(spark, texts)
+    a = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in secret_scan.scan_secrets(df).collect():
+        t = next(x[1] for x in rows if x[0] == r.doc_id) or ""
+        spans = [(m.start(), 0, m.end()) for m in a.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+        novel = [s for s in r.spans.split(",") if s.startswith("novel")]
+        if "Zk9x" in t or (hexes in t):
+            assert len(novel) == 1
+        if "of_the_configuration" in t or t.startswith("bearer"):
+            assert not novel
+    assert secret_scan.scan_secrets(empty).count() == 0
+
+
+def test_licenses(spark, empty):
+    texts = ["Released under the MIT License. under the mit-license", "Apache License, Version 2", "cc by-nc cc/by/nc", "under the mit", "mit license under the", "This is Licensed under the GNU General Public License, version 3!", "all rights RESERVED", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and related documentation files", None]
+    df, rows = _docs(spark, texts)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    named = {}
+    for r in scan_licenses(df).collect():
+        t = next(x[1] for x in rows if x[0] == r.doc_id)
+        w = word.findall((t or "").translate(fold))
+        at = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in phrases}
+        every = [i for s in at.values() for i in s]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(every), min(every, default=None), max(every, default=None))
+        assert r.base_labels == ",".join(sorted({phrases[p] for p, s in at.items() if s}))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        named[t] = r.labels
+    assert [named[t] for t in texts[:8]] == ["mit", "apache-2", "cc-by-nc", "", "", "gpl-3", "reserved", "mit"]
+    plan = scan_licenses(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert scan_licenses(empty).count() == 0
+
+
+def test_language_id(spark, empty):
+    r = random.Random(5)
+    kinds = {"en": "the and of to that which ing tion was her".split(), "de": "der die und nicht ein sch keit ung über für".split(), "fr": "le la et une été pour que est où garçon".split()}
+    rows = [(i, " ".join(r.choice(kinds[k]) for _ in range(40)), k, "s", 0, 0, "", 0) for i, k in enumerate(list(kinds) * 30)]
+    train, test = spark.createDataFrame(rows[:60], DOCS), spark.createDataFrame(rows[60:] + [(900, None, "en", "", 0, 0, "", 0), (901, " 12 !", "en", "", 0, 0, "", 0), (902, "", None, "", 0, 0, "", 0)], DOCS)
+    prototypes = langid.learn(train)
+    got = {x.doc_id: x for x in langid.identify(test, prototypes).collect()}
+    assert all(got[x[0]].lang_pred == x[2] and 0 < got[x[0]].score <= 1 for x in rows[60:])
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert langid.learn(empty) == {} and langid.identify(empty, prototypes).count() == 0
+    assert {x.lang_pred for x in langid.identify(test, {}).collect()} == {"und"}
+
+
+def test_language_vectors_are_the_plain_ones():
+    space = langid._Cached(64)
+    text = "Größe, der"
+    vectors, letters = space.bundle([text, "12"])
+    one = np.zeros(64)
+    for w in ("größe", "der"):
+        p = " " + w + " "
+        v = lambda c: space.letter(ord(c) if c != " " else 0).astype(int)
+        for a, b, c in zip(p, p[1:], p[2:]):
+            one += np.roll(v(a), 2) * np.roll(v(b), 1) * v(c)
+    assert np.allclose(vectors[0], one) and letters.tolist() == [True, False]
+
+
+def test_tiles():
+    assert sorted(decontamination.tiles([1, 2, 3, 4, 5, 6, 7, 8], [5, 6, 7, 8, -1, 1, 2, 3, 4], 3)) == [(0, 5, 4), (4, 0, 4)]
+    assert decontamination.tiles([1, 2, 3, 1, 2, 3], [1, 2, 3], 3) == [(0, 0, 3)]
+    assert decontamination.tiles([1, 2, 3, 4], [1, 2, 9, 3, 4], 3) == []
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = [r.randrange(3) for _ in range(12)], [r.randrange(3) for _ in range(20)]
+        got, free_a, free_b = decontamination.tiles(a, b, 2), [True] * 12, [True] * 20
+        for i, d, n in got:  # each tile is as long as any that is left
+            assert a[i : i + n] == b[d : d + n] and all(free_a[i : i + n]) and all(free_b[d : d + n])
+            longest = max(m for x in range(12) for y in range(20) for m in range(0, 13) if x + m <= 12 and y + m <= 20 and a[x : x + m] == b[y : y + m] and all(free_a[x : x + m]) and all(free_b[y : y + m]))
+            assert n == longest
+            free_a[i : i + n], free_b[d : d + n] = [False] * n, [False] * n
+
+
+def test_decontamination(spark, empty, monkeypatch):
+    r = random.Random(7)
+    item = [f"w{r.randrange(500)}" for _ in range(40)]
+    items = spark.createDataFrame([(1, " ".join(item), 0), (2, None, 0), (3, "", 0), (4, "too short", 0), (5, " ".join(f"z{i}" for i in range(30)), 0)], "item_id long, text string, leaks int")
+    swapped = item[25:] + ["gap"] + item[:25]
+    part = item[:12]
+    texts = ["before " + " ".join(item).upper() + ", after", " ".join(swapped), " ".join(part), "zz " * 30 + " ".join(item[:30]) + " yy" * 40, "clean " * 50]
+    df, rows = _docs(spark, texts)
+    df = df.withColumn("leaks", F.lit(1))
+    for shard in (8 << 20, 100):
+        monkeypatch.setattr(decontamination, "SHARD_BYTES", shard)
+        got = {(x.doc_id, x.item_id): (round(x.coverage, 6), x.n_tiles) for x in decontamination.leaked_items(df, items).collect()}
+        at = {t: next(x[0] for x in rows if x[1] == t) for t in texts}
+        assert got == {(at[texts[0]], 1): (1.0, 1), (at[texts[1]], 1): (1.0, 2), (at[texts[3]], 1): (0.75, 1)}
+    kept = decontamination.decontaminate(df, items)
+    assert kept.columns == df.columns and kept.count() == df.count() - 3
+    assert decontamination.leaked_items(empty, items).count() == 0 and decontamination.leaked_items(df, items.where("item_id > 9")).count() == 0
+
+
+def _line_brute(rows):
+    """Which lines go: union-find over exact Jaccard of all lines."""
+    k, lines = line_dedup.SHINGLE, []
+    for x in rows:
+        for i, l in enumerate((x[1] or "").split("\n")):
+            if n := line_dedup.normal_line(l):
+                lines.append(((x[0] if x[0] is not None else -1, i), n))
+    texts = sorted({n for _, n in lines})
+    sets = [frozenset(t[i : i + k] for i in range(max(1, len(t) - k + 1))) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= line_dedup.SIMILAR * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    number, first = {t: i for i, t in enumerate(texts)}, {}
+    for place, n in lines:
+        r = root(number[n])
+        first[r] = min(first.get(r, place), place)
+    return {place for place, n in lines if first[root(number[n])] != place}
+
+
+def test_line_dedup(spark, empty, monkeypatch):
+    r = random.Random(8)
+    base = [" ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(14)) for _ in range(25)]
+    near = [b[:40] + "q" + b[41:] for b in base]
+    extra = ["\n".join(r.sample(base + near, 5)) + "\n\n  \n" for _ in range(20)] + ["\n" + base[0].upper() + "  ", "a\nb\na", "é\nÉ"]
+    df, rows = _docs(spark, extra, seed=9)
+    gone = _line_brute(rows)
+    for tile in (256, 4):
+        monkeypatch.setattr(line_dedup, "TILE", tile)
+        got = {}
+        for x in line_dedup.dedup_lines(df.withColumn("copy", F.lit(1)), n_col="removed").collect():
+            got.setdefault(x.doc_id, []).append((x.text, x.removed))
+        for x in rows:
+            key = x[0] if x[0] is not None else -1
+            left = None if x[1] is None else "\n".join(l for i, l in enumerate(x[1].split("\n")) if (key, i) not in gone)
+            assert (left, sum((key, i) in gone for i in range(len((x[1] or "").split("\n"))))) in got[x[0]]
+    out = line_dedup.dedup_lines(empty)
+    assert out.columns == empty.columns and out.count() == 0
+
+
+def test_band_recall():
+    """Pairs at a similarity of about 0.8 meet in a band."""
+    r = random.Random(10)
+    met = tried = 0
+    for _ in range(300):
+        a = "".join(r.choice("abcdefghij ") for _ in range(200))
+        at = r.randrange(20, 160)
+        b = a[:at] + "".join(r.choice("xyz") for _ in range(13)) + a[at + 13 :]
+        x, y = ({t[i : i + 8] for i in range(193)} for t in (a, b))
+        if len(x & y) / len(x | y) >= 0.8:
+            tried += 1
+            k = line_dedup.band_keys([a, b])
+            met += bool((k[0] == k[1]).any())
+    assert tried > 200 and met / tried > 0.98
+
+
+def _substrings_brute(rows, window=13):
+    first = {}
+    split = [[w for w in re.split(rb"[\x20\x09-\x0d]+", (x[1] or "").encode()) if w] for x in rows]
+    for x, w in zip(rows, split):
+        for i in range(len(w) - window + 1):
+            if x[0] is not None:
+                key = b" ".join(w[i : i + window])
+                first[key] = min(first.get(key, x[0]), x[0])
+    out = []
+    for x, w in zip(rows, split):
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if x[0] is not None and first[b" ".join(w[i : i + window])] < x[0]:
+                gone.update(range(i, i + window))
+        kept = b" ".join(v for i, v in enumerate(w) if i not in gone)
+        out.append((str(x[0]), len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_substring_dedup(spark, empty, monkeypatch):
+    r = random.Random(11)
+    passages = [" ".join(r.choice(WORDS) + str(r.randrange(9)) for _ in range(n)) for n in (12, 13, 14, 20, 60)]
+    extra = [" ".join(r.choice([_text(r, 9), r.choice(passages)]) for _ in range(6)) for _ in range(40)]
+    extra += ["a " * 40, "a " * 13, "a " * 12, "a " * 14 + "b", " ".join(passages[4].split()[:30]), passages[4].replace(" ", "\n")]
+    df, rows = _docs(spark, extra, seed=12)
+    df = df.repartition(5)
+    for hot in (256, 2):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        got = substring_dedup.dedup_substrings(df.withColumn("copy", F.lit(1))).collect()
+        assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in got) == _substrings_brute(rows)
+    assert substring_dedup.dedup_substrings(empty).count() == 0
+
+
+def test_automaton():
+    r = random.Random(13)
+    for _ in range(100):
+        texts = [[r.randrange(3) for _ in range(r.randrange(1, 15))] for _ in range(4)]
+        m = substring_dedup.Automaton()
+        for t in texts:
+            m.add(t)
+        probe = [r.randrange(3) for _ in range(25)]
+        inside = lambda s: any(t[i : i + len(s)] == s for t in texts for i in range(len(t)))  # noqa: E731, B023
+        want = [max(n for n in range(i + 2) if n == 0 or inside(probe[i + 1 - n : i + 1])) for i in range(25)]
+        assert m.matching(probe) == want
