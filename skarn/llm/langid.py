@@ -18,6 +18,8 @@ from skarn.llm.common import slices
 #: Length of the vectors; languages at most (a bound on what the driver holds: DIM numbers each).
 DIM, MAX_LANGS = 512, 1000
 UNKNOWN = "und"
+#: Trigrams whose vectors a task keeps.
+KEPT = 60_000
 
 
 class Space:
@@ -25,6 +27,7 @@ class Space:
 
     def __init__(self, dim: int = DIM):
         self.dim, self.letters = dim, {}
+        self.number, self.matrix = {}, np.empty((0, dim), np.int8)  # trigrams met so far and their vectors
         self.code = np.full(0x110000, -1, np.int32)  # code point -> folded code point; 0: no letter; -1: not met yet
         self.code[32] = 0
 
@@ -47,26 +50,44 @@ class Space:
             out = self.code[points]
         return out
 
+    def rows(self, grams: list[int]) -> np.ndarray:
+        """The vectors of trigrams, one below the other; kept from batch to batch, up to a bound."""
+        if len(self.number) + len(grams) > KEPT:
+            self.number.clear()
+        for g in grams:
+            if g not in self.number:
+                at = self.number[g] = len(self.number)
+                if at >= len(self.matrix):
+                    self.matrix = np.concatenate([self.matrix, np.empty((len(self.matrix) + 1024, self.dim), np.int8)])
+                self.matrix[at] = self.vector(g)
+        return self.matrix[[self.number[g] for g in grams]].astype(np.float32)
+
     def profiles(self, texts: list[str | None]):
-        """Sparse trigram counts of the texts: rows, numbers and counts; the trigrams that the numbers stand for; which texts have letters."""
+        """Sparse trigram counts of the texts: texts' numbers, trigrams' numbers and counts; the trigrams that the numbers stand for; which texts have letters.
+
+        A trigram is a letter with its two neighbours, a blank at the ends of a word.
+        """
         joined = "  ".join(t or "" for t in texts)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        lens = np.fromiter((len(t or "") + 2 for t in texts), np.int64, len(texts))
-        doc = np.repeat(np.arange(len(texts)), lens)[: len(points)]
-        x = self.fold(points).astype(np.int64)
-        letters = np.bincount(doc[x > 0], minlength=len(texts)) > 0
-        keep = (x > 0) | (np.append(0, x[:-1]) > 0) if len(x) else np.zeros(0, bool)  # one blank after each word
-        x, doc = x[keep], doc[keep]
-        if len(x) == 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), letters
-        x, doc = np.append(0, x), np.append(doc[0], doc)
-        y, z = np.append(x[1:], 0), np.append(x[2:], [0, 0])
-        gram = x << 42 | y << 21 | z
-        inner = (y > 0)  # centred on a letter
-        gram, doc = gram[inner], np.append(doc[1:], doc[-1])[inner]
-        distinct, number = np.unique(gram, return_inverse=True)
-        key, count = np.unique(doc * len(distinct) + number, return_counts=True)
-        return key // len(distinct), key % len(distinct), count.astype(np.float32), distinct, letters
+        x = self.fold(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
+        doc = np.repeat(np.arange(len(texts)), np.fromiter((len(t or "") + 2 for t in texts), np.int64, len(texts)))[: len(x)]
+        at = np.flatnonzero(x)
+        letters = np.zeros(len(texts), bool)
+        letters[doc[at]] = True
+        points = np.flatnonzero(np.bincount(x, minlength=1))
+        points = points if len(points) and points[0] == 0 else np.append(0, points)
+        k = len(points)
+        small = np.zeros(int(points[-1]) + 1, np.int64)
+        small[points] = np.arange(k)
+        y = np.concatenate([[0], small[x], [0]])
+        gram = (y[at] * k + y[at + 1]) * k + y[at + 2]
+        key = np.sort(doc[at] * k**3 + gram)
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        count = np.diff(np.append(new, len(key))).astype(np.float32)
+        row, gram = key[new] // k**3, key[new] % k**3
+        distinct = np.unique(gram)
+        number = np.searchsorted(distinct, gram)
+        a, b, c = points[distinct // k**2], points[distinct // k % k], points[distinct % k]
+        return row, number, count, a << 42 | b << 21 | c, letters
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' vectors (a row each) and which of them have letters."""
@@ -75,36 +96,19 @@ class Space:
         step = 4096  # trigrams at a time
         for a in range(0, len(distinct), step):
             some = distinct[a : a + step]
-            v = np.array([self.vector(g) for g in some.tolist()], np.float32)
             inside = (number >= a) & (number < a + step)
             dense = np.zeros((len(texts), len(some)), np.float32)
             dense[row[inside], number[inside] - a] = count[inside]
-            out += dense @ v
+            out += dense @ self.rows(some.tolist())
         return out, letters
 
 
-class _Cached(Space):
-    """A space that keeps the vectors of the trigrams it has met, up to a bound."""
-
-    def __init__(self, dim: int = DIM):
-        super().__init__(dim)
-        self.vectors: dict[int, np.ndarray] = {}
-
-    def vector(self, gram: int) -> np.ndarray:
-        v = self.vectors.get(gram)
-        if v is None:
-            if len(self.vectors) > 60_000:
-                self.vectors.clear()
-            v = self.vectors[gram] = super().vector(gram)
-        return v
-
-
 _SPACES: dict[int, Space] = {}
 
 
 def _space(dim: int) -> Space:
     if dim not in _SPACES:
-        _SPACES[dim] = _Cached(dim)
+        _SPACES[dim] = Space(dim)
     return _SPACES[dim]
 
 
@@ -118,7 +122,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 
     def add(batches):
         space, sums = _space(dim), {}
-        for b in slices(batches, most=1 << 19):
+        for b in slices(batches, most=1 << 20):
             vectors, letters = space.bundle(b.column("text").to_pylist())
             size = np.linalg.norm(vectors, axis=1)
             unit = vectors / np.maximum(size, 1e-9)[:, None]
@@ -148,7 +152,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     def run(batches):
         space = _space(dim)
-        for b in slices(batches, most=1 << 19):
+        for b in slices(batches, most=1 << 20):
             vectors, letters = space.bundle(b.column("text").to_pylist())
             cosine = vectors @ base.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
             known = letters & (len(names) > 0)

@@ -267,7 +267,7 @@ def test_language_id(spark, empty):
 
 
 def test_language_vectors_are_the_plain_ones():
-    space = langid._Cached(64)
+    space = langid.Space(64)
     text = "Größe, der"
     vectors, letters = space.bundle([text, "12"])
     one = np.zeros(64)
