@@ -13,14 +13,15 @@ from skarn.llm.packing import pack_documents
 from skarn.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose best language has a lower cosine than this is no language that we know.
-LEAST_COSINE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in a language that the labelled ones teach; ``lang`` becomes what the text says."""
+    """Keeps the documents in a language that the labelled ones teach; ``lang`` becomes what the text says.
+
+    A text without a letter, or that has nothing in common with any language (no cosine above 0), goes.
+    """
     found = identify(docs, learn(docs), keep=("doc_id", "text", "lang", "source", "n_chars"))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE))
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
