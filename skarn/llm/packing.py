@@ -14,6 +14,7 @@ any other: deficits carry over partitions as they do over windows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -23,84 +24,140 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from skarn.llm.common import BROADCAST_BYTES, slices, written
 
 #: Fixed-point scale of the mixture weights.
 SCALE = 1 << 20
-#: A task forgets the words it has encoded beyond this many.
-CACHE_WORDS = 300_000
+#: A generation of words that a task remembers; words of the last generation but one are forgotten unless met again.
+CACHE_WORDS = 200_000
+#: Words that are encoded in one go, and entries at which all is forgotten.
+JOINED, MOST_ENTRIES = 512, 1_500_000
 
 
 class WordIds(dict):
-    """Ids of a tokenizer that drops white space: word (bytes) -> place of its ids in a pool.
+    """Ids of a tokenizer that drops white space and marks the ends of words: word (bytes) -> number of an entry, a run of ids in a pool.
 
     Words are cut at ASCII white space, lower-cased A-Z (the tokenizer does so
     anyway) and freed of trailing marks that it splits off a letter; each
     distinct rest is encoded once.
     """
 
-    plain = re.compile("[a-zß-öø-ÿ]+")
+    plain = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
     marked = re.compile("(.*[a-zß-öø-ÿ])([.,;:!?]+)", re.S)
 
     def __init__(self, path: str, end_id: int):
-        import json
-
-        from tokenizers import Tokenizer
-
         self.full = Tokenizer.from_file(path)
         spec = json.loads(self.full.to_str())
-        # for words of lower-case Latin letters the normalizer and the splitting pattern change nothing
-        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        # for words of Latin letters in lower case the normalizer and the splitting pattern change nothing: they are encoded many at a time
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
         self.bare = Tokenizer.from_str(json.dumps(spec))
+        self.bare.model._resize_cache(0)
+        suffix = spec["model"]["end_of_word_suffix"]
+        vocabulary = self.bare.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.end_id = end_id
         self.reset()
 
     def reset(self):
         self.clear()
-        self.new, self.parts = [], {}
+        self.old, self.parts, self.old_parts, self.new = {}, {}, {}, []
         self.pool, self.used = np.array([self.end_id], np.uint32), 1
-        self.starts, self.lens = np.zeros(1, np.int64), np.ones(1, np.int64)
+        # entry 0 is the end id alone
+        self.starts, self.lens, self.entries = np.zeros(1024, np.int64), np.ones(1024, np.int64), 1
 
     def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self.lens) + len(self.new)
-        self.new.append(word)
+        at = self.old.get(word)
+        if at is None:
+            at = self.entries + len(self.new)
+            self.new.append(word)
+        self[word] = at
         return at
 
-    def encoded(self, words: list[str]) -> dict[str, list[int]]:
-        bare, full = [], []
-        for w in words:
-            (bare if self.plain.fullmatch(w) else full).append(w)
-        out = {}
-        for tokenizer, some in ((self.bare, bare), (self.full, full)):
-            out.update((w, e.ids) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        return out
-
-    def learn(self):
-        """Encodes the words met since the last call."""
-        split = []
-        for w in self.new:
-            s = w.decode()
-            m = self.marked.fullmatch(s)
-            split.append(m.groups() if m else (s,))
-        fresh = list(dict.fromkeys(p for ps in split for p in ps if p not in self.parts))
-        self.parts.update((w, np.array(ids, np.uint32)) for w, ids in self.encoded(fresh).items())
-        arrays = [self.parts[ps[0]] if len(ps) == 1 else np.concatenate([self.parts[p] for p in ps]) for ps in split]
-        lens = np.fromiter(map(len, arrays), np.int64, len(arrays))
-        total = int(lens.sum())
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words end to end, and each word's number of ids."""
+        plain = [i for i, w in enumerate(words) if self.plain.fullmatch(w)]
+        ids, lens = [], np.zeros(len(words), np.int64)
+        order = []
+        for i in range(0, len(plain), JOINED):
+            some = plain[i : i + JOINED]
+            found = np.array(self.bare.encode_batch_fast([" ".join([words[j].lower() for j in some])], add_special_tokens=False)[0].ids, np.uint32)
+            lens[some] = np.diff(np.flatnonzero(self.last[found]), prepend=-1)
+            ids.append(found)
+            order += some
+        is_plain = np.zeros(len(words), bool)
+        is_plain[plain] = True
+        other = np.flatnonzero(~is_plain).tolist()
+        for j, e in zip(other, self.full.encode_batch_fast([words[j] for j in other], add_special_tokens=False)):
+            lens[j] = len(e.ids)
+            ids.append(np.array(e.ids, np.uint32))
+        order += other
+        # back into the words' order
+        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.cumsum(lens[order]) - lens[order]
+        return flat[_runs(place, lens)], lens
+
+    def append(self, ids: np.ndarray, lens: np.ndarray) -> int:
+        """Puts runs of ids into the pool; the number of their first entry."""
+        total, n = len(ids), len(lens)
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + 2 * total, np.uint32)])
-        if arrays:
-            self.pool[self.used : self.used + total] = np.concatenate(arrays)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
+        if self.entries + n > len(self.starts):
+            more = self.entries + 2 * n
+            self.starts, self.lens = (np.concatenate([x[: self.entries], np.zeros(more, np.int64)]) for x in (self.starts, self.lens))
+        self.pool[self.used : self.used + total] = ids
+        at = slice(self.entries, self.entries + n)
+        self.starts[at], self.lens[at] = self.used + np.cumsum(lens) - lens, lens
         self.used += total
-        self.new = []
+        self.entries += n
+        return self.entries - n
+
+    def learn(self):
+        """Encodes the words met since the last call; their entries have been numbered already."""
+        words, self.new = self.new, []
+        if not words:
+            return
+        split = []
+        for w in words:
+            t = w.decode()
+            m = self.marked.fullmatch(t)
+            split.append(m.groups() if m else (t,))
+        first = self.append(np.empty(0, np.uint32), np.zeros(len(words), np.int64))  # the words' own entries
+        fresh: dict[str, int] = {}
+        for ps in split:
+            for p in ps:
+                if p not in self.parts and p not in fresh:
+                    if (at := self.old_parts.get(p)) is not None:
+                        self.parts[p] = at
+                    else:
+                        fresh[p] = len(fresh)
+        ids, lens = self.encoded(list(fresh))
+        base = self.append(ids, lens)
+        self.parts.update((p, base + i) for p, i in fresh.items())
+        head = np.array([self.parts[ps[0]] for ps in split], np.int64)
+        own = np.arange(first, first + len(words))
+        self.starts[own], self.lens[own] = self.starts[head], self.lens[head]
+        # words with marks: both runs, one after the other
+        two = [i for i, ps in enumerate(split) if len(ps) == 2]
+        if two:
+            pairs = np.array([[self.parts[p] for p in split[i]] for i in two], np.int64)
+            n = self.lens[pairs]
+            at = self.append(self.pool[_runs(self.starts[pairs].ravel(), n.ravel())], n.sum(axis=1))
+            new = np.arange(at, at + len(two))
+            self.starts[own[two]], self.lens[own[two]] = self.starts[new], self.lens[new]
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each closed by the end id, and each text's number of ids."""
-        if len(self) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
+        if self.entries > MOST_ENTRIES:
             self.reset()
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.old_parts, self.parts = self.parts, {}
         get, index, counts = self.__getitem__, [], []
         for t in texts:
             words = (t if b"<|" in t else t.lower()).split()
@@ -110,10 +167,14 @@ class WordIds(dict):
         self.learn()
         at = np.array(index, np.int64)
         lens = self.lens[at]
-        ends = np.cumsum(lens)
-        ids = self.pool[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(int(lens.sum()))]
         per_text = np.add.reduceat(lens, np.cumsum([0, *counts[:-1]])) if texts else np.empty(0, np.int64)
-        return ids, per_text
+        return self.pool[_runs(self.starts[at], lens)], per_text
+
+
+def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of runs, end to end."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @lru_cache(2)
@@ -126,33 +187,38 @@ def _take(k, weight, grain, length):
     return np.minimum(length, k * weight // (SCALE * grain) * grain)
 
 
-def place(source: int, begin: int, end: int, weights: np.ndarray, lengths: np.ndarray, window: int, grain: int):
-    """Where the tokens [begin, end) of queue ``source`` go: arrays of their starts in the queue and of their places in the whole stream."""
-    w, n = int(weights[source]), int(lengths[source])
+def place(source: np.ndarray, begin: np.ndarray, end: np.ndarray, weights: np.ndarray, lengths: np.ndarray, window: int, grain: int):
+    """Where documents go that hold the tokens [begin, end) of queue ``source``.
+
+    Arrays with an element a piece: its document, its start in the queue, its place in the whole stream.
+    """
     unit = SCALE * grain
-    first = ((begin // grain + 1) * unit + w - 1) // w - 1  # the round that sends token begin
-    last = (((end - 1) // grain + 1) * unit + w - 1) // w - 1
-    if (last - first) > 4 * ((end - begin) // grain + 2):  # a slow queue: only the rounds in which it sends
-        grains = np.arange(begin // grain, (end - 1) // grain + 1)
-        rounds = np.unique(((grains + 1) * unit + w - 1) // w - 1)
-    else:
-        rounds = np.arange(first, last + 1)
-    a, b = _take(rounds, w, grain, n), _take(rounds + 1, w, grain, n)
-    some = (np.minimum(b, end) > np.maximum(a, begin)).nonzero()[0]
-    rounds, a, b = rounds[some], a[some], b[some]
-    start = np.maximum(a, begin)
-    sent = _take(rounds[:, None], weights, grain, lengths)
-    before = _take(rounds[:, None] + 1, weights[:source], grain, lengths[:source]) - sent[:, :source]
-    at = sent.sum(axis=1) + before.sum(axis=1) + start - a
+    w = weights[source]
+    low, high = begin // grain, (end - 1) // grain
+    round_of = lambda g, w: ((g + 1) * unit + w - 1) // w - 1  # noqa: E731  the round that sends the g-th grain
+    slow = w < unit  # sends at most a grain a round: pieces by grain; else pieces by round
+    first, last = np.where(slow, low, round_of(low, w)), np.where(slow, high, round_of(high, w))
+    n = last - first + 1
+    doc = np.repeat(np.arange(len(source)), n)
+    step = _runs(first, n)
+    w, length, s = w[doc], lengths[source][doc], source[doc]
+    k = np.where(slow[doc], round_of(step, w), step)
+    a, b = _take(k, w, grain, length), _take(k + 1, w, grain, length)
+    start, stop = np.maximum(a, begin[doc]), np.minimum(b, end[doc])
+    some = np.flatnonzero(stop > start)
+    doc, k, a, start, stop, s = doc[some], k[some], a[some], start[some], stop[some], s[some]
+    at = np.empty(len(doc), np.int64)
+    for i in range(0, len(doc), 8192):
+        j = slice(i, i + 8192)
+        sent = _take(k[j, None], weights, grain, lengths)
+        earlier = np.arange(len(weights)) < s[j, None]  # queues that send before this one in the round
+        at[j] = sent.sum(axis=1) + ((_take(k[j, None] + 1, weights, grain, lengths) - sent) * earlier).sum(axis=1)
+    at += start - a
     # cut where a window ends
-    stop = np.minimum(b, end)
-    cuts = (at + stop - start - 1) // window - at // window
-    if cuts.any():
-        i = np.repeat(np.arange(len(at)), cuts + 1)
-        nth = np.arange(len(i)) - np.repeat(np.cumsum(cuts + 1) - cuts - 1, cuts + 1)
-        edge = np.where(nth > 0, (at[i] // window + nth) * window, at[i])
-        start, at = start[i] + edge - at[i], edge
-    return start, at
+    cuts = (at + stop - start - 1) // window - at // window + 1
+    i = np.repeat(np.arange(len(at)), cuts)
+    edge = np.maximum(at[i], (_runs(at // window, cuts)) * window)
+    return doc[i], start[i] + edge - at[i], edge
 
 
 def pack_documents(
@@ -166,6 +232,7 @@ def pack_documents(
     grain: int = 64,
     end_id: int = 1,
     max_queues: int = 256,
+    with_ids: bool = True,
 ) -> DataFrame:
     """Packs every document into windows of ``window`` tokens; one row per piece.
 
@@ -175,7 +242,7 @@ def pack_documents(
 
     Columns: doc_id, start (of its document's ids before it), length, ids_crc32
     (of the little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset,
-    n_padding (what its sequence lacks of ``window``), source, ids (binary, 4 bytes an id).
+    n_padding (what its sequence lacks of ``window``), source and, with_ids, ids (binary, 4 bytes an id).
 
     Null or empty text: the end id alone.  Null source: a queue of its own.
     Repeated rows are packed once each; ids may be null.  An empty table gives no rows.
@@ -233,30 +300,29 @@ def pack_documents(
 
     def pieces(batches):
         for batch in batches:
-            out = [[] for _ in range(9)]
-            for bases, doc, source, n, at, raw in zip(*(batch.column(c).to_pylist() for c in ("bases", "doc_id", "source", "n", "at", "ids"))):
-                base = next(b for b in bases if b["source"] == source)
-                begin = base["base"] + at
-                start, whole = place(base["queue"], begin, begin + n, weights, lengths, window, grain)
-                wide = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4").tobytes()
-                edges = [*(start - begin).tolist(), n]
-                for i, w in enumerate(whole.tolist()):
-                    part = wide[4 * edges[i] : 4 * edges[i + 1]]
-                    for c, v in zip(out, (doc, edges[i], edges[i + 1] - edges[i], zlib.crc32(part), n, w // window, w % window, source, part)):
-                        c.append(v)
-                if len(out[0]) > 20_000:
-                    yield _batch(out)
-                    out = [[] for _ in range(9)]
-            if out[0]:
-                yield _batch(out)
-
-    packed = placed.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+            for i in range(0, batch.num_rows, 512):
+                yield placed_rows(batch.slice(i, 512))
+
+    def placed_rows(batch):
+        n, at = batch.column("n").to_numpy(), batch.column("at").to_numpy()
+        held = [next(b for b in bases if b["source"] == s) for bases, s in zip(batch.column("bases").to_pylist(), batch.column("source").to_pylist())]
+        begin = at + np.array([b["base"] for b in held], np.int64)
+        doc, start, whole = place(np.array([b["queue"] for b in held]), begin, begin + n, weights, lengths, window, grain)
+        start = start - begin[doc]
+        length = np.append(start[1:], 0)
+        final = np.append(doc[1:] != doc[:-1], True)
+        length = np.where(final, n[doc], length) - start
+        wide = [np.frombuffer(raw, np.uint16 if len(raw) == 2 * m else np.uint32).astype("<u4").tobytes() for raw, m in zip(batch.column("ids").to_pylist(), n.tolist())]
+        parts = [wide[d][4 * a : 4 * (a + m)] for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist())]
+        crc = np.fromiter(map(zlib.crc32, parts), np.int64, len(parts))
+        rows = pa.array(doc)
+        columns = [batch.column("doc_id").take(rows), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(whole // window), pa.array(whole % window), batch.column("source").take(rows)]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+        if with_ids:
+            columns, names = [*columns, pa.array(parts, pa.binary())], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    packed = placed.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids)
     tail = total % window
     short = (F.col("sequence_id") == total // window) & F.lit(bool(tail and tail & (tail - 1)))  # a power of two needs no padding
     return packed.withColumn("n_padding", F.when(short, F.lit(window - tail)).otherwise(F.lit(0)))
-
-
-def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)

@@ -26,7 +26,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing(spark, sf_dir):
-    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)).drop("ids")
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), with_ids=False)
 
 
 def line_dedup(spark, sf_dir):
