@@ -35,13 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written once to the shared folder: cuts lineage and survives lost executors.
 
-    The table is removed when the driver's session ends.
+    The table is removed by ``release``, or when the driver's session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skarn-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_removed, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes written tables that nothing lazy needs any more."""
+    for df in tables:
+        _, path = _PATHS.pop(id(df))
+        _removed(df.sparkSession, path)
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def _removed(spark: SparkSession, path: str) -> None:

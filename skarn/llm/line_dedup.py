@@ -7,28 +7,25 @@ probes), so a shingle is hashed once however long the signature.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import BROADCAST_BYTES, if_small, shared_dir, slices, written
+from skarn.llm.common import BROADCAST_BYTES, if_small, release, shared_dir, slices, written
 from skarn.llm.components import connected_components
 
 #: Characters of a shingle; bands and rows of the signature (at a similarity of 0.8, 0.998 of pairs meet in a band); similarity that links.
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 12, 4, 0.8
 #: A band's bucket of more lines is compared in pairs of tiles of about this many.
 TILE = 256
-_BLANKS = re.compile(r"\s+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal_line(line: str) -> str:
     """Lower case, runs of white space as one blank, none at the ends."""
-    return _BLANKS.sub(" ", line).strip().lower()
+    return " ".join(line.split()).lower()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -41,11 +38,17 @@ def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.n
     points = np.frombuffer("".join(l.ljust(k, "\0") for l in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter((max(k, len(l)) for l in lines), np.int64, len(lines))
     n = lens - k + 1
-    total = len(points) - k + 1
-    h = np.zeros(max(total, 0), np.uint64)
-    for i in range(k):
-        h *= _MUL
-        h += points[i : i + total]
+    # by doubling: the hash of a run is that of its first half, times a power, and that of the rest
+    h, done, width = None, 0, 1
+    part, power = points, int(_MUL)
+    while True:
+        if k & width:
+            h = part if h is None else h[: len(part) - done] * np.uint64(power) + part[done:]
+            done += width
+        if done == k:
+            break
+        part = part[: len(part) - width] * np.uint64(power) + part[width:]
+        power, width = power * power % (1 << 64), 2 * width
     first = np.cumsum(lens) - lens
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     return _mixed(h[at]), n
@@ -57,32 +60,46 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     h, n = shingle_hashes(lines, k)
     line = np.repeat(np.arange(len(lines), dtype=np.uint64), n)
     value_bits = np.uint64(40)
-    bin_of = (h >> np.uint64(40)) % np.uint64(bins)
+    bin_of = (h >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)
     key = np.sort((line * np.uint64(bins) + bin_of) << value_bits | h & np.uint64((1 << 40) - 1))
     cell = key >> value_bits
-    first = np.flatnonzero(np.diff(cell, prepend=np.uint64(1 << 63)))
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     low = np.full(len(lines) * bins, np.uint64(1 << 63), np.uint64)
     low[cell[first].astype(np.int64)] = key[first] & np.uint64((1 << 40) - 1)
     low = low.reshape(len(lines), bins)
     # an empty bin takes another's value, by probes that depend on its own number alone
+    some = np.flatnonzero((low == np.uint64(1 << 63)).any(axis=1))
+    part = low[some]
+    full = part != np.uint64(1 << 63)
     for attempt in range(64):
-        empty = low == np.uint64(1 << 63)
-        if not empty.any():
-            break
         probe = (_mixed(np.arange(bins, dtype=np.uint64) * np.uint64(64) + np.uint64(attempt + 1)) % np.uint64(bins)).astype(np.int64)
-        full = ~empty if attempt == 0 else full
-        take = empty & full[:, probe]
-        low = np.where(take, low[:, probe] ^ np.uint64(attempt + 1 << 41), low)
+        take = (part == np.uint64(1 << 63)) & full[:, probe]
+        part = np.where(take, part[:, probe] ^ np.uint64(attempt + 1 << 41), part)
+        left = np.flatnonzero((part == np.uint64(1 << 63)).any(axis=1))
+        if len(left) < len(some):
+            low[some], (some, part, full) = part, (some[left], part[left], full[left])
+        if not len(some):
+            break
     sums = np.zeros((len(lines), bands), np.uint64)
     for r in range(rows):
         sums = _mixed(sums * _MUL + low[:, r::rows])
     return _mixed(sums + np.arange(1, bands + 1, dtype=np.uint64) * _MUL)
 
 
-def jaccard_forest(lines: list[str], k: int, similar: float):
-    """Pairs (i, j) enough to join all lines that exact Jaccard similarity joins: pairs within a component found already aren't compared."""
-    sets = [frozenset(l[i : i + k] for i in range(max(1, len(l) - k + 1))) for l in lines]
-    parent = list(range(len(lines)))
+def shingle_sets(lines: list[str], k: int) -> list[np.ndarray]:
+    """Each line's distinct shingles, as sorted 64-bit hashes."""
+    h, n = shingle_hashes(lines, k)
+    out, at = [], 0
+    for m in n.tolist():
+        x = np.sort(h[at : at + m])
+        out.append(x[np.append(True, x[1:] != x[:-1])])
+        at += m
+    return out
+
+
+def jaccard_forest(sets: list[np.ndarray], similar: float):
+    """Pairs (i, j) enough to join all sets that exact Jaccard similarity joins: pairs within a component found already aren't compared."""
+    parent = list(range(len(sets)))
 
     def root(i):
         while parent[i] != i:
@@ -90,16 +107,17 @@ def jaccard_forest(lines: list[str], k: int, similar: float):
             i = parent[i]
         return i
 
-    for i in range(len(lines) - 1):
+    for i in range(len(sets) - 1):
         a = sets[i]
-        for j in range(i + 1, len(lines)):
+        for j in range(i + 1, len(sets)):
             b = sets[j]
             if min(len(a), len(b)) < similar * max(len(a), len(b)) or root(i) == root(j):
                 continue
-            both = len(a & b)
-            if both >= similar * (len(a) + len(b) - both):
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
+            x = np.sort(np.concatenate([a, b]))
+            both = int(np.count_nonzero(x[1:] == x[:-1]))
+            if both >= similar * (len(x) - both):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
                 yield i, j
 
 
@@ -165,13 +183,21 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verify(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                v = batch.column("members")[r].values
-                hs, a, b = v.field("h").to_pylist(), [], []
-                for i, j in jaccard_forest(v.field("line").to_pylist(), k, similar):
-                    a.append(hs[i])
-                    b.append(hs[j])
+            members = batch.column("members")
+            at = (members.offsets.to_numpy() - members.offsets[0].as_py()).tolist()
+            hs, lines = members.flatten().field("h").to_numpy(), members.flatten().field("line").to_pylist()
+            i = 0
+            while i < len(at) - 1:  # some groups at a time
+                j = i + 1
+                while j < len(at) - 1 and at[j + 1] - at[i] <= 1024:
+                    j += 1
+                sets, a, b = shingle_sets(lines[at[i] : at[j]], k), [], []
+                for x, y in zip(at[i:j], at[i + 1 : j + 1]):
+                    for p, q in jaccard_forest(sets[x - at[i] : y - at[i]], similar):
+                        a.append(hs[x + p])
+                        b.append(hs[x + q])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                i = j
 
     parts = connected_components(full.select("members").mapInArrow(verify, "a long, b long"))
     # the first place of each component's lines; what stands elsewhere goes
@@ -181,12 +207,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     repeated = named.join(kept.drop("n"), "part").select("h", "keep").checkpoint()
     gone = signed.select("doc", "copy", "no", "h").join(if_small(repeated, 64), "h").where(~F.struct("doc", "no").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc", "copy").agg(F.collect_set("no").alias("lines"))
+    gone = written(gone.groupBy("doc", "copy").agg(F.collect_set("no").alias("lines")), "gone")
+    release(signed, groups)
+    return gone
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "text", n_col: str | None = None) -> DataFrame:
     """``docs`` with the lines ``gone`` (see duplicate_lines) taken out of the text; all columns stay, in order."""
-    gone = written(gone, "gone")
     size = gone.agg(F.sum(F.size("lines") * 4 + 48)).first()[0] or 0
     side = gone.select(F.col("doc").alias("gone_doc"), F.col("copy").alias("gone_copy"), F.col("lines").alias("gone_lines"))
     side = F.broadcast(side) if size <= BROADCAST_BYTES else side

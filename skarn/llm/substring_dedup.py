@@ -17,10 +17,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import if_small, shared_dir, slices, written
+from skarn.llm.common import if_small, release, shared_dir, slices, written
 
 #: Words of an anchor.
 GRAM = 5
@@ -101,8 +103,6 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_HASHES) > 300_000:
         _HASHES.clear()
     get, out = _HASHES.get, []
-    import xxhash
-
     digest = xxhash.xxh3_64_intdigest
     for w in words:
         h = get(w)
@@ -121,8 +121,23 @@ def _runs(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out *= _MUL
         out += h[i : i + n]
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+    return _mixed(out)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of runs, end to end."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _copy_of(words: list[bytes]) -> int:
+    """64-bit hash of a text's words: equal for texts that differ in white space alone."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
 def _anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +174,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = words_of(t)
                 if len(words) >= window:
                     doc.append(d)
-                    copy.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
+                    copy.append(_copy_of(words))
                     anchors.append(np.unique(_anchors(_word_hashes(words), window)[0]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc", "copy", "anchors"])
 
@@ -167,53 +182,59 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = texts.mapInArrow(keys, "doc long, copy long, anchors array<long>")
     marked = written(marked, "anchors")
     classes = marked.groupBy("copy").agg(F.min("doc").alias("doc")).checkpoint()
-    first = marked.join(classes.hint("merge"), ["copy", "doc"]).groupBy("copy", "doc").agg(F.first("anchors").alias("anchors"))
+    first = marked.join(if_small(classes, 32), ["copy", "doc"], "left_semi")  # a repeated row only makes more anchors candidates
     shared = first.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
 
     def passages(batches):
+        """A row for each run of windows with one and the same anchor; built whole columns at a time."""
         for b in slices(batches):
-            out = [[] for _ in range(6)]
+            docs_, copies, anchors, starts, counts, symbols, contents = [], [], [], [], [], [], []
             for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
                 words = words_of(t)
                 if len(words) < window:
                     continue
-                copy = int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
                 h = _word_hashes(words)
                 anchor, at = _anchors(h, window)
-                # the windows with one and the same anchor stand side by side: one passage
-                new = np.flatnonzero(np.diff(at, prepend=-1))
-                ends = np.append(new[1:], len(at))
-                low = h.astype(np.uint32).view(np.int32)  # the automaton's alphabet
+                new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                last = np.append(new[1:], len(at)) - 1
                 runs = _runs(h, window)
-                for a, z, n in zip(new.tolist(), ends.tolist(), anchor[new].view(np.int64).tolist()):
-                    for c, v in zip(out, (d, copy, n, a, low[a : z - 1 + window].tobytes(), runs[a:z].tobytes())):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            for i in range(0, len(out[0]), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], k) for c, k in zip(out, kinds)], names=["doc", "copy", "anchor", "start", "words", "runs"])
-
-    found = texts.mapInArrow(passages, "doc long, copy long, anchor long, start int, words binary, runs binary")
-    found = found.join(if_small(shared, 40), "anchor").withColumn("hot", F.col("n") > HOT)
-
-    def cut(batches):
-        """A hot anchor's passage as its single windows, each a passage of its own."""
+                n = last - new + window
+                symbols.append(h.astype(np.uint32)[_spans(new, n)])  # the automaton's alphabet
+                # a passage is shorter than two windows: its first, its last and its length tell all its words
+                contents.append(_mixed(runs[new] * _MUL + runs[last] + n.astype(np.uint64)).view(np.int64))
+                anchors.append(anchor[new].view(np.int64))
+                starts.append(new)
+                counts.append(n)
+                docs_.append(np.full(len(new), d, np.int64))
+                copies.append(np.full(len(new), _copy_of(words), np.int64))
+            if not docs_:
+                continue
+            n = np.concatenate(counts)
+            edges = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+            binary = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(np.concatenate(symbols))])
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (docs_, copies, anchors)], pa.array(np.concatenate(starts).astype(np.int32)), binary, pa.array(np.concatenate(contents))], names=["doc", "copy", "anchor", "start", "words", "content"])
+
+    found = texts.mapInArrow(passages, "doc long, copy long, anchor long, start int, words binary, content long")
+    found = found.join(if_small(shared, 40), "anchor")
+
+    def keyed(batches):
+        """Passages under their anchors; those of hot anchors as single windows, each under its own content."""
         for b in batches:
-            out = [[] for _ in range(6)]
-            for d, c, hot, s, w, r in zip(*(b.column(n).to_pylist() for n in ("doc", "copy", "hot", "start", "words", "runs"))):
-                if not hot:
-                    whole = int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True)
-                    parts = [(s, w, whole)]
-                else:
-                    parts = [(s + i, w[4 * i : 4 * (i + window)], x) for i, x in enumerate(np.frombuffer(r, np.int64).tolist())]
-                for s1, w1, x in parts:
-                    for col, v in zip(out, (d, c, s1, w1, x, hot)):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc", "copy", "start", "words", "content", "hot"])
-
-    # anchor rides along for passages of anchors that aren't hot; hot windows are dealt by their own content
-    deal = found.select("doc", "copy", "anchor", "hot", "start", "words", "runs")
-    placed = _with_key(deal, cut)
+            hot = pc.greater(b.column("n"), HOT)
+            rest = b.filter(pc.invert(hot))
+            names = ["doc", "copy", "start", "words", "content", "key"]
+            yield pa.RecordBatch.from_arrays([rest.column(c) for c in ("doc", "copy", "start", "words", "content", "anchor")], names=names)
+            b = b.filter(hot)
+            if b.num_rows:
+                out = [[] for _ in range(5)]
+                for d, c, s, w in zip(*(b.column(x).to_pylist() for x in ("doc", "copy", "start", "words"))):
+                    for i, x in enumerate(_runs(_mixed(np.frombuffer(w, np.uint32).astype(np.uint64) + _MUL), window).view(np.int64).tolist()):
+                        for column, v in zip(out, (d, c, s + i, w[4 * i : 4 * (i + window)], x)):
+                            column.append(v)
+                columns = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, columns[4]], names=names)
+
+    placed = found.select("doc", "copy", "anchor", "n", "start", "words", "content").mapInArrow(keyed, "doc long, copy long, start int, words binary, content long, key long")
     placed = written(placed, "passages")
     # of equal passages the smallest document's stands for all; later ones are repeats throughout
     content = placed.groupBy("key", "content").agg(F.min("doc").alias("first"), F.first("words").alias("words"))
@@ -257,21 +278,11 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts = starts.groupBy("doc", "copy").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     # exact copies of a text under a smaller id
     copies = marked.select("doc", "copy").join(classes.select(F.col("copy"), F.col("doc").alias("first")), "copy").where("doc > first").select("doc", "copy").distinct()
-    marks = starts.join(copies.withColumn("whole", F.lit(True)), ["doc", "copy"], "full")
-    return marks.select("doc", "copy", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
-
-
-def _with_key(deal: DataFrame, cut) -> DataFrame:
-    """Passages with the key by which they are dealt: their anchor, or for hot anchors their content."""
-
-    def run(batches):
-        for b in batches:
-            anchors = dict(zip(zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), b.column("start").to_pylist()), b.column("anchor").to_pylist()))
-            for o in cut([b]):
-                key = [c if hot else anchors[d, cp, s] for d, cp, s, c, hot in zip(*(o.column(n).to_pylist() for n in ("doc", "copy", "start", "content", "hot")))]
-                yield pa.RecordBatch.from_arrays([o.column("doc"), o.column("copy"), o.column("start"), o.column("words"), o.column("content"), pa.array(key, pa.int64())], names=["doc", "copy", "start", "words", "content", "key"])
-
-    return deal.mapInArrow(run, "doc long, copy long, start int, words binary, content long, key long")
+    starts = starts.join(copies, ["doc", "copy"], "left_anti")  # copies go whole: their windows need no list
+    marks = starts.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", "copy", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+    marks = written(marks.select("doc", "copy", "whole", "starts"), "marks")
+    release(marked, placed)
+    return marks
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -287,7 +298,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def hashed(batches):
         for b in slices(batches):
-            copy = [None if t is None else int.from_bytes(hashlib.blake2b(b" ".join(words_of(t)), digest_size=8).digest(), "little", signed=True) for t in b.column("text").to_pylist()]
+            copy = [None if t is None else _copy_of(words_of(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(copy, pa.int64())], names=["doc_id", "text", "copy"])
 
     keyed = rows.mapInArrow(hashed, "doc_id long, text string, copy long")
