@@ -70,6 +70,7 @@ def _cells(batches):
 
 def _forest(fps: np.ndarray, own: np.ndarray, most: int):
     """Links enough to join all that ``most`` differing bits or fewer join, of which at least one side is at home in the cell."""
+    fps = fps.view(np.uint64)  # a signed difference would be counted by its absolute value
     n, parent = len(fps), list(range(len(fps)))
 
     def root(i):
