@@ -7,21 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm.decontamination import decontaminate
-from skarn.llm.langid import UNKNOWN, identify, learn
+from skarn.llm.langid import UNKNOWN, identify, learn, least_cosine
 from skarn.llm.line_dedup import dedup_lines
 from skarn.llm.packing import pack_documents
 from skarn.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Length of the language stage's vectors: wide enough for short texts of a language to stand out of the noise.
+LANGUAGE_DIM = 2048
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in a language that the labelled ones teach; ``lang`` becomes what the text says.
 
-    A text without a letter, or that has nothing in common with any language (no cosine above 0), goes.
+    A text without a letter, or whose highest cosine with a language doesn't stand out of the noise, goes:
+    other scripts, random letters, and single words too short or too rare to tell.
     """
-    found = identify(docs, learn(docs), keep=("doc_id", "text", "lang", "source", "n_chars"))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
+    found = identify(docs, learn(docs, dim=LANGUAGE_DIM), dim=LANGUAGE_DIM, keep=("doc_id", "text", "lang", "source", "n_chars"))
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_cosine(LANGUAGE_DIM)))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 

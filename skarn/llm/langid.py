@@ -18,8 +18,15 @@ from skarn.llm.common import slices
 #: Length of the vectors; languages at most (a bound on what the driver holds: DIM numbers each).
 DIM, MAX_LANGS = 512, 1000
 UNKNOWN = "und"
-#: Trigrams whose vectors a task keeps.
+#: Trigrams whose vectors of DIM numbers a task keeps; of wider ones fewer, in the same memory.
 KEPT = 60_000
+#: Bytes of text in a slice, at DIM numbers a text; numbers in a piece of the dense counts.
+SLICE, DENSE = 1 << 20, 1 << 22
+
+
+def least_cosine(dim: int = DIM) -> float:
+    """A cosine that a text unlike a language hardly reaches: five deviations of the cosine of two random vectors."""
+    return 5 / dim**0.5
 
 
 class Space:
@@ -52,7 +59,7 @@ class Space:
 
     def rows(self, grams: list[int]) -> np.ndarray:
         """The vectors of trigrams, one below the other; kept from batch to batch, up to a bound."""
-        if len(self.number) + len(grams) > KEPT:
+        if len(self.number) + len(grams) > KEPT * DIM // self.dim:
             self.number.clear()
         for g in grams:
             if g not in self.number:
@@ -93,7 +100,7 @@ class Space:
         """The texts' vectors (a row each) and which of them have letters."""
         row, number, count, distinct, letters = self.profiles(texts)
         out = np.zeros((len(texts), self.dim), np.float32)
-        step = 4096  # trigrams at a time
+        step = min(4096, max(256, DENSE // max(1, len(texts))))  # trigrams at a time
         for a in range(0, len(distinct), step):
             some = distinct[a : a + step]
             inside = (number >= a) & (number < a + step)
@@ -122,7 +129,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 
     def add(batches):
         space, sums = _space(dim), {}
-        for b in slices(batches, most=1 << 20):
+        for b in slices(batches, most=SLICE * DIM // dim):
             vectors, letters = space.bundle(b.column("text").to_pylist())
             size = np.linalg.norm(vectors, axis=1)
             unit = vectors / np.maximum(size, 1e-9)[:, None]
@@ -152,7 +159,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     def run(batches):
         space = _space(dim)
-        for b in slices(batches, most=1 << 20):
+        for b in slices(batches, most=SLICE * DIM // dim):
             vectors, letters = space.bundle(b.column("text").to_pylist())
             cosine = vectors @ base.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
             known = letters & (len(names) > 0)

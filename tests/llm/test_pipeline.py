@@ -1,5 +1,8 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import base64
+import random
+
 import corpus_pipeline as p
 from skarn.llm import line_dedup
 from skarn.llm.simhash import fingerprint
@@ -45,3 +48,19 @@ def test_empty_table(spark, sf):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_language_stage_rejects_foreign_and_random_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(p.COLUMNS)
+    r = random.Random(1)
+    foreign = [" ".join("".join(chr(r.randint(a, b)) for _ in range(r.randint(2, 9))) for _ in range(n)) for a, b in ((0x430, 0x44F), (0x4E00, 0x9FA5), (0x3B1, 0x3C9), (0x627, 0x64A)) for n in (3, 10, 50, 200) for _ in range(10)]
+    junk = [base64.b64encode(r.randbytes(n)).decode() for n in (30, 100, 300, 1000, 5000) for _ in range(20)]
+    # the beginnings of the table's own texts, in all its languages
+    clean = [" ".join(x.text.split()[:8]) for x in docs.where("n_chars > 300").orderBy("doc_id").collect()]
+    texts = foreign + junk + clean
+    rows = [(10**9 + i, t, None, "x", len(t)) for i, t in enumerate(texts)]
+    kept = {x.doc_id - 10**9 for x in p.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), sf).where("doc_id >= 1000000000").collect()}
+    n, m = len(foreign), len(foreign) + len(junk)
+    assert not any(i in kept for i in range(n))
+    assert sum(i in kept for i in range(n, m)) <= 0.05 * len(junk)
+    assert sum(i in kept for i in range(m, len(texts))) >= 0.98 * len(clean) and len(clean) > 50
