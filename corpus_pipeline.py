@@ -10,7 +10,7 @@ from skarn.llm.decontamination import decontaminate
 from skarn.llm.langid import UNKNOWN, identify, learn, least_cosine
 from skarn.llm.line_dedup import dedup_lines
 from skarn.llm.packing import pack_documents
-from skarn.llm.simhash import near_duplicates
+from skarn.llm.simhash import first_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Length of the language stage's vectors: wide enough for short texts of a language to stand out of the noise.
@@ -36,9 +36,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
-    groups = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """Keeps exactly one row of each group of near-duplicates, that with the smallest doc_id.
+
+    A null doc_id comes after all others; of rows with the same doc_id in a group that with the
+    smallest hash stays.  Rows of different groups that share a doc_id, or have none, stay each.
+    """
+    return first_rows(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

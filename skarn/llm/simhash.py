@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import LOWER, UPPER, shared_dir, slices, written
@@ -41,15 +41,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit long; null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed 64-bit long, and the string ``key``; null text counts as empty."""
+    extra = [] if key is None else ["key"]
 
     def run(batches):
         for b in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *[b.column(c) for c in extra]], names=["doc_id", "fp", *extra])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")] + ([] if key is None else [key.alias("key")])
+    return docs.select(columns).mapInArrow(run, "doc_id long, fp long" + ", key string" * len(extra))
 
 
 def _cells(batches):
@@ -125,6 +127,13 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     return groups.select("points").mapInArrow(verified, "a long, b long").distinct()
 
 
+def _classes(fps: DataFrame, first: Column, most: int) -> DataFrame:
+    """(fp, first, n_same, component) of each distinct fingerprint; a component is named by a fingerprint."""
+    classes = fps.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n_same")).checkpoint()
+    parts = connected_components(links(classes, most)).withColumnRenamed("node", "fp")
+    return classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links, itself included), n_same (rows of its fingerprint).
 
@@ -135,9 +144,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     shared_dir(docs.sparkSession)
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_same")).checkpoint()
-    parts = connected_components(links(classes, most)).withColumnRenamed("node", "fp")
-    joined = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = _classes(fps, F.min("doc_id"), most)
     lowest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(lowest, "component").select("fp", "component_id", "n_same")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
+
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """Exactly one row of each component of ``near_duplicates``: that with the smallest id, of equal ids that with the smallest hash of the row.
+
+    Components are told apart by their fingerprints, not by ids: texts that share an id but not a
+    component are each kept, a null id comes after all others but keeps its row if its
+    component has no other.  Rows that agree in all columns count as one.
+    """
+    shared_dir(docs.sparkSession)
+    key = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
+    fps = written(fingerprints(docs, id_col, text_col, shingle, key), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    first = _classes(fps, F.min(row), most).groupBy("component").agg(F.min("first").alias("first"))
+    kept = docs.withColumn("_key", key).join(first.select(F.col("first.key").alias("_key")), "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key")

@@ -64,3 +64,17 @@ def test_language_stage_rejects_foreign_and_random_texts(spark, sf):
     assert not any(i in kept for i in range(n))
     assert sum(i in kept for i in range(n, m)) <= 0.05 * len(junk)
     assert sum(i in kept for i in range(m, len(texts))) >= 0.98 * len(clean) and len(clean) > 50
+
+
+def test_simhash_stage_keeps_one_row_of_each_group(spark, sf):
+    texts = ["".join(f"{w}{i} " for i in range(40)) for w in ("a", "b", "c", "d", "e", "f")]
+    ids = [
+        *[(None, texts[0])],  # unique, without an id
+        *[(None, texts[1]), (None, texts[1])],  # a group without ids
+        *[(7, texts[2]), (7, texts[3])],  # two texts under one id
+        *[(5, texts[4]), (9, texts[4]), (None, texts[4])],  # the smallest id stays
+        *[(5, texts[5]), (2, texts[5])],  # 5 stays elsewhere, but not here
+    ]
+    docs = spark.createDataFrame([(i, t, "en", str(k), len(t)) for k, (i, t) in enumerate(ids)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or -1, r.text) for r in p.simhash_dedup(spark, docs, sf).collect()))
+    assert got == sorted([(-1, texts[0]), (-1, texts[1]), (7, texts[2]), (7, texts[3]), (5, texts[4]), (2, texts[5])])
