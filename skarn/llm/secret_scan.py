@@ -9,13 +9,16 @@ all their bytes.
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import slices
+from skarn.llm.common import LOWER, UPPER, slices
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -23,7 +26,10 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 #: Words whose neighbourhood is sensitive.
-SENSITIVE = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api_?key|access_?key|private_?key|credentials?|auth(?:orization)?|bearer|signature)\b")
+SENSITIVE = re.compile(r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer|signature")
+SENSITIVE_ANY_CASE = re.compile(SENSITIVE.pattern, re.I)
+#: What is left of a name after a sensitive word in it, if a value is assigned to the name.
+REST = re.compile(r"""[A-Za-z_-]{1,40}(?=["'\]]{0,2}\x20*[:=])""")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Identifiers and words that code is full of; the compressor knows them beforehand.
 IDENTIFIERS = """
@@ -43,6 +49,10 @@ ABCDEFGHIJKLMNOPQRSTUVWXYZ example.com sha256 uuid xxxxxxxxxxxxxxxx 000000000000
 """
 #: Characters before a candidate in which the sensitive word must stand; of context that primes the compressor; share of its bits that a candidate must cost.
 NEAR, AROUND, NOVEL = 48, 256, 1.0
+#: The alphabets of keys, the smallest first; characters up to which random strings are tried.
+DIGITS = "0123456789"
+ALPHABETS = [DIGITS, DIGITS + LOWER[:6], DIGITS + UPPER[:6], LOWER, UPPER, UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, LOWER + UPPER, DIGITS + LOWER + UPPER]
+TRIED = 2048
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -62,27 +72,65 @@ class Novelty:
 
         self.zstd = zstandard
         self.words = " ".join(IDENTIFIERS.split()).encode()
+        self.costs: dict[tuple[str, int], float] = {}
 
     def share(self, before: str, candidate: str, after: str) -> float:
-        """Bytes that the candidate adds, as a share of what so many random letters and digits (6 bits each) need."""
+        """Bytes that the candidate adds, as a share of what so many random letters and digits (6 bits each) need, or random characters of its own alphabet if the compressor codes these by their entropy."""
         around = (before + after).encode("utf-8", "replace")
         primed = self.zstd.ZstdCompressionDict(self.words + b" " + around, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
         size = lambda s: len(self.zstd.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False).compress(s))
         context = before[-24:].encode("utf-8", "replace")
-        return (size(context + candidate.encode()) - size(context)) * 8 / (6 * len(candidate))
+        return (size(context + candidate.encode()) - size(context)) * 8 / min(6 * len(candidate), self.random_bits(candidate))
+
+    def random_bits(self, candidate: str) -> float:
+        """Entropy of a random string over the candidate's alphabet, as long as the candidate without its separators.
+
+        Infinite where such strings cost 6 bits a character or more: short ones take 8, whatever the alphabet.
+        """
+        plain = re.sub("[^A-Za-z0-9]", "", candidate)
+        letters = set(plain)
+        alphabet = next((a for a in ALPHABETS if letters <= set(a)), None)
+        if "+" in candidate or "/" in candidate or not plain:
+            return math.inf  # base64: 6 bits
+        entropy = len(plain) * math.log2(len(alphabet))
+        if len(plain) > TRIED:
+            return entropy
+        at = alphabet, len(plain)
+        if at not in self.costs:
+            primed = self.zstd.ZstdCompressionDict(self.words, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
+            size = lambda s: len(self.zstd.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False).compress(s))
+            r = random.Random(len(plain))
+            n = len(plain) * 3 // 2  # the context can tip the compressor to coding shorter ones already
+            tries = [size("".join(r.choices(alphabet, k=n)).encode()) for _ in range(8)]
+            self.costs[at] = entropy if 8 * (min(tries) - size(b"")) < 6 * n else math.inf
+        return self.costs[at]
+
+
+def sensitive_ends(text: str) -> Iterator[int]:
+    """Where the sensitive words end, or the names that they stand in; a word is bounded by anything but a letter, or by a change of case."""
+    low = text.lower()
+    # a letter that gets longer in lower case would shift the places
+    for s in SENSITIVE.finditer(low) if len(low) == len(text) else SENSITIVE_ANY_CASE.finditer(text):
+        a, b = s.span()
+        before, after = text[a - 1 : a], text[b : b + 1]
+        opens = not before.isalpha() or text[a].isupper() and (before.islower() or text[a + 1].islower())
+        closes = not after.isalpha() or after.isupper() and text[b - 1].islower()
+        if opens and closes:
+            rest = REST.match(text, b)
+            yield rest.end() if rest else b
 
 
 def novel_spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
     out, done = [], -1
-    for s in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, s.end(), min(len(text), s.end() + NEAR + 512)):
-            if m.start() > s.end() + NEAR:
+    for start in sensitive_ends(text):
+        for m in CANDIDATE.finditer(text, start, min(len(text), start + NEAR + 512)):
+            if m.start() > start + NEAR:
                 break
             if m.start() <= done:
                 continue
             done = m.start()
             end = m.end()
-            if end == s.end() + NEAR + 512:  # cut by the search's end: the whole string
+            if end == start + NEAR + 512:  # cut by the search's end: the whole string
                 end = CANDIDATE.match(text, m.start()).end()
             value = text[m.start() : end]
             if len(set(value)) > 4 and novelty.share(text[max(0, m.start() - AROUND) : m.start()], value, text[end : end + AROUND]) >= NOVEL:

@@ -231,6 +231,21 @@ def test_secrets(spark, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secrets_in_names_and_of_small_alphabets(spark):
+    r = random.Random(4)
+    key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=30))
+    names = "AWS_SECRET_ACCESS_KEY SECRET_KEY client_secret db-password GITHUB_TOKEN accessToken clientSecret AWSSecretKey token".split()
+    others = "tokenizer author secretary SUBTOKENS".split()
+    upper = ["".join(r.choices(a, k=n)) for a in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789") for n in (88, 128, 256, 1000) for _ in range(10)]
+    texts = [f'{w} = "{key}"' for w in names + others] + [f'secret "{v}"' for v in upper]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in secret_scan.scan_secrets(df).collect()}
+    for i, w in enumerate(names):
+        assert f"novel:{len(w) + 4}:{len(w) + 34}" in got[i].spans, w
+    assert not any(got[len(names) + i].n_novel for i in range(len(others)))
+    assert sum(got[len(names) + len(others) + i].n_novel == 1 for i in range(len(upper))) >= 0.95 * len(upper)
+
+
 def test_licenses(spark, empty):
     texts = ["Released under the MIT License. under the mit-license", "Apache License, Version 2", "cc by-nc cc/by/nc", "under the mit", "mit license under the", "This is Licensed under the GNU General Public License, version 3!", "all rights RESERVED", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and related documentation files", None]
     df, rows = _docs(spark, texts)
