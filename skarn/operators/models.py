@@ -78,11 +78,19 @@ def independent_regressors(df: DataFrame, names: list[str], targets: list[str],
 
 
 def independent_multilabel(df: DataFrame, names: list[str], labels_col: str, labels: list[str], kind: str = "logistic", **options):
-    """Binary relevance: one model a label; the prediction is the array of labels that their models give."""
-    models = [(l, classifier(df.withColumn("_y", F.array_contains(labels_col, l).cast("string")), names, "_y", kind, **options)) for l in labels]
+    """Binary relevance: one model a label; the prediction is the array of labels that their models give.
+
+    A label that all rows have, or none has, needs no model: it is predicted so.
+    """
+    has = df.agg(*[f(F.array_contains(labels_col, l).cast("int")).alias(f"{n}{i}") for i, l in enumerate(labels) for n, f in (("low", F.min), ("high", F.max))]).first()
+    fit = lambda l: classifier(df.withColumn("_y", F.array_contains(labels_col, l).cast("string")), names, "_y", kind, **options)
+    models = [(l, fit(l) if has[f"low{i}"] != has[f"high{i}"] else None) for i, l in enumerate(labels)]
 
     def predict(rows: DataFrame) -> DataFrame:
         for i, (_, m) in enumerate(models):
+            if m is None:
+                rows = rows.withColumn(f"_p{i}", F.lit(has[f"high{i}"] == 1))
+                continue
             rows = m.transform(rows).withColumn(f"_p{i}", F.col("prediction_label") == "true").drop("_label", "_features", "rawPrediction", "probability", "prediction", "prediction_label")
         labels_of = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_p{i}"), l) for i, (l, _) in enumerate(models)])))
         return rows.withColumn("predicted_labels", labels_of).drop(*[f"_p{i}" for i in range(len(models))])

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from skarn.operators import linear, models, sampling, sequences, sparse_linear
 from skarn.plans.feature_queries import table
-from skarn.sources import synthetic
 
 
 def _points(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    return e.select("*", *[F.get("v", F.lit(i)).alias(f"x{i}") for i in range(8)])
+    return e.select("*", array_to_vector("v").alias("x"))
 
 
-_NAMES = [f"x{i}" for i in range(8)]
+_NAMES = ["x"]  # the whole vector
 
 
 def _accuracy(df, prediction):
@@ -54,8 +54,12 @@ def gaussian_mixture(spark, sf_dir):
 
 
 def multilabel_relevance(spark, sf_dir):
-    s = synthetic.multilabels(spark, 200, ["a", "b"])
-    out = models.independent_multilabel(s, ["x0", "x1"], "labels", ["a", "b"], maxIter=10)(s)
+    """The kinds of a user's even events from how many odd ones of each kind it has."""
+    e = table(spark, sf_dir, "events").where("event_type IS NOT NULL")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
+    odd = [F.sum(F.when((F.col("event_id") % 2 == 1) & (F.col("event_type") == k), 1.0).otherwise(0.0)).alias(f"x{i}") for i, k in enumerate(kinds)]
+    s = e.groupBy("user_id").agg(F.array_sort(F.array_compact(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))))).alias("labels"), *odd)
+    out = models.independent_multilabel(s, [f"x{i}" for i in range(len(kinds))], "labels", kinds, maxIter=10)(s)
     return out.groupBy(F.array_join(F.array_sort("labels"), ",").alias("truth"), F.array_join("predicted_labels", ",").alias("predicted")).agg(F.count("*").alias("n"))
 
 

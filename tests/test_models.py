@@ -78,3 +78,13 @@ def test_records(spark):
     x, y = provenance.run_record("op", {"k": 1}, [a], 1), provenance.run_record("op", {"k": 2}, [a], 1)
     assert {d[0] for d in provenance.differences(x, y)} == {"id", "options.k"}
     assert "inputs" not in provenance.anonymised(x) and "metrics" in provenance.model_card("m", x, {"f1": 1.0})
+
+
+def test_learner_queries_take_whole_tables(spark, sf):
+    from skarn.plans import learner_queries
+
+    e = learner_queries._points(spark, sf)
+    p = e.select(*learner_queries._NAMES).first()
+    assert sum(np.size(getattr(p, n).toArray()) if hasattr(getattr(p, n), "toArray") else 1 for n in learner_queries._NAMES) == len(e.first().v) == 64
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    assert sum(r.n for r in learner_queries.multilabel_relevance(spark, sf).collect()) == users
