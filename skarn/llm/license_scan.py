@@ -45,6 +45,31 @@ KEY_PHRASES = {
     "reserved": ["all rights reserved"],
     "unlicense": ["free and unencumbered software"],
 }
+#: The versions of the GPL family; its standard header is that of any of them, by name and version.
+FAMILY = {
+    "agpl-3": ("gnu affero general public license", "3"),
+    "gpl-1": ("gnu general public license", "1"),
+    "gpl-2": ("gnu general public license", "2"),
+    "gpl-3": ("gnu general public license", "3"),
+    "lgpl-2": ("gnu library general public license", "2"),
+    "lgpl-2.1": ("gnu lesser general public license", "2 1"),
+    "lgpl-3": ("gnu lesser general public license", "3"),
+}
+for _label, (_name, _version) in FAMILY.items():
+    _header = f"{_name} as published by the free software foundation either version {_version} {'of the license' if _version != '1' else 'or at your option'}"
+    NOTICES[_label] = [*NOTICES.get(_label, []), _header]
+    KEY_PHRASES[_label] = [*KEY_PHRASES.get(_label, []), _header]
+#: The header of version 2 alone, and those of the Eclipse licences.
+for _label, _header in [
+    ("gpl-2", "gnu general public license version 2 as published by the free software foundation"),
+    ("gpl-2", "gnu general public license as published by the free software foundation version 2 of the license"),
+    ("epl-1", "made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0"),
+    ("epl-2", "made available under the terms of the eclipse public license v 2 0"),
+    ("epl-2", "made available under the terms of the eclipse public license v2 0"),
+]:
+    NOTICES[_label] = [*NOTICES.get(_label, []), _header]
+    KEY_PHRASES[_label] = [*KEY_PHRASES.get(_label, []), _header.removeprefix("made available under the terms of the ")]
 #: The base phrases and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 

@@ -268,6 +268,29 @@ def test_licenses(spark, empty):
     assert scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_the_gpl_family(spark):
+    header = "This {0} is free software{1} you can redistribute it and/or modify\n * it under the terms of the {2} as published by\n * the Free Software Foundation{3} either version {4} of the License, or\n * (at your option) any later version.\n"
+    gpl, lesser = "GNU General Public License", "GNU Lesser General Public License"
+    cases = {
+        header.format("program", ":", gpl, ",", "3"): "gpl-3",
+        header.format("program", ";", gpl, ";", "2"): "gpl-2",
+        header.format("library", ";", lesser, ";", "2.1"): "lgpl-2.1",
+        header.format("library", ";", "GNU Library General Public License", ";", "2"): "lgpl-2",
+        header.format("program", ":", lesser, ",", "3"): "lgpl-3",
+        header.format("program", ":", "GNU Affero General Public License", ",", "3"): "agpl-3",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.": "gpl-1",
+        "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl-2",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": "gpl-2",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution": "epl-1",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": "epl-2",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+        "The General Public License of the Free Software Foundation is a long text.": "",
+    }
+    df = spark.createDataFrame([(i, f"int x; /* {t} */ int main") for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_language_id(spark, empty):
     r = random.Random(5)
     kinds = {"en": "the and of to that which ing tion was her".split(), "de": "der die und nicht ein sch keit ung über für".split(), "fr": "le la et une été pour que est où garçon".split()}
