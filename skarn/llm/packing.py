@@ -1,15 +1,16 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills token windows.
 
-Each source is a queue of documents.  In round k queue s may have sent
-``grain * floor(k * quantum_s / grain)`` tokens in all: what its quanta add up to
-beyond whole grains is its deficit, carried to the next round.  The rounds'
-takes, laid end to end without gaps, are cut every ``window`` tokens, so every
-window but the last is full, and its mixture is off the targets by less than a
-grain per source plus one round.  An exhausted queue sends no more; the others go on in proportion.
-
-The number of tokens sent by any round has a closed form, so once the queues'
-prefix sums are known each task places its own documents without a word from
-any other: deficits carry over partitions as they do over windows.
+Each source is a queue of documents; a document of more than ``segment`` tokens
+counts as so many packets.  In each round a queue's deficit grows by its
+quantum, its share of a window, and the queue sends packets, whole, as long as its deficit lasts;
+what is left is carried to the next round, so over any number of windows a source is off its
+target by less than a packet and a quantum.  The rounds' packets, laid end to end without gaps, are cut every
+``window`` tokens: only there is a packet cut.  An exhausted queue sends no more; the others go on.
+
+A queue that has been given k quanta has sent the packets that end within k * quantum
+tokens of it, so the round of a packet follows from where it ends in its queue.  Places come from
+one sort of the packets (numbers, no tokens) by round and source, and running sums over its
+ranges: deficits carry over partitions as they do over windows.
 """
 
 from __future__ import annotations
@@ -26,14 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skarn.llm.common import BROADCAST_BYTES, slices, written
+from skarn.llm.common import if_small, slices, written
 
-#: Fixed-point scale of the mixture weights.
-SCALE = 1 << 20
 #: A generation of words that a task remembers; words of the last generation but one are forgotten unless met again.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Words that are encoded in one go, and entries at which all is forgotten.
-JOINED, MOST_ENTRIES = 512, 1_500_000
+JOINED, MOST_ENTRIES = 512, 1_000_000
 
 
 class WordIds(dict):
@@ -182,43 +181,22 @@ def _words(path: str, end_id: int) -> WordIds:
     return WordIds(path, end_id)
 
 
-def _take(k, weight, grain, length):
-    """Tokens that a queue has sent before round k."""
-    return np.minimum(length, k * weight // (SCALE * grain) * grain)
+def cut(doc: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, window: int):
+    """Pieces of packets given by (document, start) in order: neighbours that follow each other in the stream are one, then all are cut at windows' ends.
 
-
-def place(source: np.ndarray, begin: np.ndarray, end: np.ndarray, weights: np.ndarray, lengths: np.ndarray, window: int, grain: int):
-    """Where documents go that hold the tokens [begin, end) of queue ``source``.
-
-    Arrays with an element a piece: its document, its start in the queue, its place in the whole stream.
+    Arrays with an element a piece: its document, start, length and place in the stream.
     """
-    unit = SCALE * grain
-    w = weights[source]
-    low, high = begin // grain, (end - 1) // grain
-    round_of = lambda g, w: ((g + 1) * unit + w - 1) // w - 1  # noqa: E731  the round that sends the g-th grain
-    slow = w < unit  # sends at most a grain a round: pieces by grain; else pieces by round
-    first, last = np.where(slow, low, round_of(low, w)), np.where(slow, high, round_of(high, w))
-    n = last - first + 1
-    doc = np.repeat(np.arange(len(source)), n)
-    step = _runs(first, n)
-    w, length, s = w[doc], lengths[source][doc], source[doc]
-    k = np.where(slow[doc], round_of(step, w), step)
-    a, b = _take(k, w, grain, length), _take(k + 1, w, grain, length)
-    start, stop = np.maximum(a, begin[doc]), np.minimum(b, end[doc])
-    some = np.flatnonzero(stop > start)
-    doc, k, a, start, stop, s = doc[some], k[some], a[some], start[some], stop[some], s[some]
-    at = np.empty(len(doc), np.int64)
-    for i in range(0, len(doc), 8192):
-        j = slice(i, i + 8192)
-        sent = _take(k[j, None], weights, grain, lengths)
-        earlier = np.arange(len(weights)) < s[j, None]  # queues that send before this one in the round
-        at[j] = sent.sum(axis=1) + ((_take(k[j, None] + 1, weights, grain, lengths) - sent) * earlier).sum(axis=1)
-    at += start - a
-    # cut where a window ends
-    cuts = (at + stop - start - 1) // window - at // window + 1
-    i = np.repeat(np.arange(len(at)), cuts)
-    edge = np.maximum(at[i], (_runs(at // window, cuts)) * window)
-    return doc[i], start[i] + edge - at[i], edge
+    if not len(doc):
+        return doc, start, size, at
+    new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + size[:-1]))
+    first = np.flatnonzero(new)
+    doc, start, at, size = doc[first], start[first], at[first], np.add.reduceat(size, first)
+    parts = (at + size - 1) // window - at // window + 1
+    i = np.repeat(np.arange(len(at)), parts)
+    number = _runs(at // window, parts)
+    edge = np.maximum(at[i], number * window)
+    length = np.minimum(at[i] + size[i], (number + 1) * window) - edge
+    return doc[i], start[i] + edge - at[i], length, edge
 
 
 def pack_documents(
@@ -229,16 +207,15 @@ def pack_documents(
     source_col: str = "source",
     targets: dict[str, float] | None = None,
     window: int = 2048,
-    grain: int = 64,
+    segment: int = 1024,
     end_id: int = 1,
-    max_queues: int = 256,
     with_ids: bool = True,
 ) -> DataFrame:
     """Packs every document into windows of ``window`` tokens; one row per piece.
 
     targets: share of tokens per source in every window; sources not named share
     what is left by their size.  None: each source's own share of all tokens.
-    The ``max_queues`` largest sources have a queue each; any beyond them share one, which loses nothing.
+    A source with a target of 0 comes after all others.  Sources may be any number: each has its own queue.
 
     Columns: doc_id, start (of its document's ids before it), length, ids_crc32
     (of the little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset,
@@ -247,82 +224,91 @@ def pack_documents(
     Null or empty text: the end id alone.  Null source: a queue of its own.
     Repeated rows are packed once each; ids may be null.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
 
     def tokenized(batches):
-        block, cache = TaskContext.get().partitionId(), _words(tokenizer_path, end_id)
+        block, row, cache = TaskContext.get().partitionId(), 0, _words(tokenizer_path, end_id)
         sent: dict[str | None, int] = {}
-        for batch in slices(batches):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            ids, counts = cache.documents(texts)
-            narrow = ids.astype(np.uint16) if len(ids) == 0 or ids.max() < 1 << 16 else ids
-            ends = np.cumsum(counts)
-            sources, at = batch.column("source").to_pylist(), []
-            for s, n in zip(sources, counts.tolist()):
-                at.append(sent.get(s, 0))
-                sent[s] = at[-1] + n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(texts), block, np.int64)), batch.column("doc_id"), batch.column("source"), pa.array(counts), pa.array(at, pa.int64()), pa.array([narrow[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())],
-                names=["block", "doc_id", "source", "n", "at", "ids"],
-            )
-
-    ids = written(rows.mapInArrow(tokenized, "block long, doc_id long, source string, n long, at long, ids binary"), "ids")
+        try:
+            for batch in slices(batches):
+                texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+                ids, counts = cache.documents(texts)
+                narrow = ids.astype(np.uint16) if len(ids) == 0 or ids.max() < 1 << 16 else ids
+                ends = np.cumsum(counts)
+                at = []
+                for s, n in zip(batch.column("source").to_pylist(), counts.tolist()):
+                    at.append(sent.get(s, 0))
+                    sent[s] = at[-1] + n
+                number = np.arange(row, row + len(texts))
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(texts), block, np.int64)), pa.array(number), batch.column("doc_id"), batch.column("source"), pa.array(counts), pa.array(at, pa.int64()), pa.array([narrow[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())],
+                    names=["block", "row", "doc_id", "source", "n", "at", "ids"],
+                )
+        finally:
+            cache.reset()  # the words go with the task; the worker keeps the tokenizer alone
+
+    ids = written(rows.mapInArrow(tokenized, "block long, row long, doc_id long, source string, n long, at long, ids binary"), "ids")
     queued = ids.groupBy("source", "block").agg(F.sum("n").alias("n")).checkpoint()
-    # the largest sources; the sum of all
-    sizes = queued.groupBy("source").agg(F.sum("n").alias("n"))
-    largest = sizes.orderBy(F.desc("n"), "source").limit(max_queues).collect()
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    names = {r.source: i for i, r in enumerate(largest)}
-    lengths = [r.n for r in largest]
-    if rest := total - sum(lengths):
-        lengths.append(rest)
-    share = np.array(lengths, float) / max(total, 1)
+    total = queued.agg(F.sum("n")).first()[0] or 0
+    # a queue's quantum: its share of a window
+    sizes = queued.groupBy("source").agg(F.sum("n").alias("length"))
+    share = F.col("length") / max(total, 1)
     if targets:
-        named = {names[s]: t for s, t in targets.items() if s in names}
-        free = [i for i in range(len(lengths)) if i not in named]
-        left, held = max(0.0, 1 - sum(named.values())), sum(share[i] for i in free)
-        for i, t in named.items():
-            share[i] = t
-        for i in free:
-            share[i] *= left / held
-    weights = np.maximum(1, np.round(share * window * SCALE)).astype(np.int64)
-    lengths = np.array(lengths, np.int64)
-    # each block's place in each queue; the pooled queue takes its sources one after another
-    kept = F.create_map(*[x for s, i in names.items() if s is not None for x in (F.lit(s), F.lit(i))]) if any(s is not None for s in names) else None
-    number = F.coalesce(kept[F.col("source")] if kept is not None else F.lit(None).cast("int"), F.when(F.col("source").isNull() & F.lit(None in names), F.lit(names.get(None, 0))), F.lit(len(names)))
-    starts = queued.withColumn("queue", number)
-    starts = starts.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("block", "source")) - F.col("n"))
-    starts = starts.groupBy("block").agg(F.collect_list(F.struct("source", "queue", "base")).alias("bases"))
-    if queued.count() * 48 <= BROADCAST_BYTES:  # blocks x sources, of tens of bytes each
-        starts = F.broadcast(starts)
-    placed = ids.join(starts, "block")
+        named = F.create_map(*[x for s, t in targets.items() for x in (F.lit(s), F.lit(float(t)))])[F.col("source")]
+        free = sizes.where(named.isNull()).agg(F.sum("length")).first()[0] or 1
+        share = F.coalesce(named, F.lit(max(0.0, 1 - sum(targets.values()))) * F.col("length") / free)
+    quanta = sizes.select(F.col("source").alias("of"), F.greatest(share * window, F.lit(window / (1 << 40))).alias("quantum"))
+    # each block's place in each queue
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")
+    starts = queued.withColumn("base", before).join(quanta, F.col("source").eqNullSafe(F.col("of")))
+    starts = starts.select(F.col("block").alias("in_block"), "of", "base", "quantum").checkpoint()
+    begins = ids.select("block", "row", "source", "n", "at").join(if_small(starts, 160), (F.col("block") == F.col("in_block")) & F.col("source").eqNullSafe(F.col("of")))
+    packets = begins.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(segment).cast("long"))))
+    packets = packets.withColumn("size", F.least(F.lit(segment), F.col("n") - F.col("start")))
+    packets = packets.withColumn("end", F.col("base") + F.col("at") + F.col("start") + F.col("size"))
+    packets = packets.withColumn("round", F.ceil(F.col("end") / F.col("quantum")))
+    # running sums along the order of sending: within ranges, then over them
+    order = ("round", "source", "end")
+    ranged = packets.select("block", "row", "start", "size", *order).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def running(batches):
+        part, held = TaskContext.get().partitionId(), 0
+        for b in batches:
+            size = b.column("size").to_numpy()
+            ends = held + np.cumsum(size)
+            held = int(ends[-1]) if len(ends) else held
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), part, np.int64)), *[b.column(c) for c in ("block", "row", "start", "size")], pa.array(ends - size)], names=["part", "block", "row", "start", "size", "at"])
+
+    ranged = written(ranged.mapInArrow(running, "part long, block long, row long, start long, size long, at long"), "order")
+    parts = ranged.groupBy("part").agg(F.sum("size").alias("sent"))
+    parts = parts.select("part", (F.sum("sent").over(Window.orderBy("part")) - F.col("sent")).alias("earlier"))  # a row a partition
+    placed = ranged.join(F.broadcast(parts), "part").withColumn("at", F.col("at") + F.col("earlier"))
+    placed = placed.groupBy("block", "row").agg(F.array_sort(F.collect_list(F.struct("start", "size", "at"))).alias("packets"))
+    whole = ids.select("block", "row", "doc_id", "source", "n", "ids").join(placed, ["block", "row"])
 
     def pieces(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                yield placed_rows(batch.slice(i, 512))
-
-    def placed_rows(batch):
-        n, at = batch.column("n").to_numpy(), batch.column("at").to_numpy()
-        held = [next(b for b in bases if b["source"] == s) for bases, s in zip(batch.column("bases").to_pylist(), batch.column("source").to_pylist())]
-        begin = at + np.array([b["base"] for b in held], np.int64)
-        doc, start, whole = place(np.array([b["queue"] for b in held]), begin, begin + n, weights, lengths, window, grain)
-        start = start - begin[doc]
-        length = np.append(start[1:], 0)
-        final = np.append(doc[1:] != doc[:-1], True)
-        length = np.where(final, n[doc], length) - start
+            for i in range(0, batch.num_rows, 1024):
+                yield some_pieces(batch.slice(i, 1024))
+
+    def some_pieces(batch):
+        packets = batch.column("packets")
+        counts, flat = np.diff(packets.offsets.to_numpy()), packets.flatten()
+        doc = np.repeat(np.arange(batch.num_rows), counts)
+        doc, start, length, at = cut(doc, *[flat.field(c).to_numpy() for c in ("start", "size", "at")], window)
+        n = batch.column("n").to_numpy()
         wide = [np.frombuffer(raw, np.uint16 if len(raw) == 2 * m else np.uint32).astype("<u4").tobytes() for raw, m in zip(batch.column("ids").to_pylist(), n.tolist())]
         parts = [wide[d][4 * a : 4 * (a + m)] for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist())]
         crc = np.fromiter(map(zlib.crc32, parts), np.int64, len(parts))
         rows = pa.array(doc)
-        columns = [batch.column("doc_id").take(rows), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(whole // window), pa.array(whole % window), batch.column("source").take(rows)]
+        columns = [batch.column("doc_id").take(rows), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(at // window), pa.array(at % window), batch.column("source").take(rows)]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
         if with_ids:
             columns, names = [*columns, pa.array(parts, pa.binary())], [*names, "ids"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    packed = placed.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids)
+    packed = whole.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids)
     tail = total % window
     short = (F.col("sequence_id") == total // window) & F.lit(bool(tail and tail & (tail - 1)))  # a power of two needs no padding
     return packed.withColumn("n_padding", F.when(short, F.lit(window - tail)).otherwise(F.lit(0)))
