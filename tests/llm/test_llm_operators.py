@@ -160,6 +160,18 @@ def test_token_counts(spark, docs, empty):
     assert run(empty) == []
 
 
+def test_token_counts_over_blocks_and_wings(spark, docs, monkeypatch):
+    """A word that all documents hold is counted the same wherever blocks and wings end."""
+    df, rows = docs
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, path).collect())
+    monkeypatch.setattr(token_counts, "WING", 1)
+    monkeypatch.setattr(token_counts, "BUCKETS", 3)
+    monkeypatch.setattr(token_counts, "BLOCK_PAIRS", 50)
+    got = token_counts.count_tokens(df.repartition(4), path).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
+
+
 def _fingerprint(text):
     words = [w for w in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if w]
     if not words:
