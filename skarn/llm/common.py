@@ -21,12 +21,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset and all run on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="skarn-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -68,6 +70,7 @@ def _removed(spark: SparkSession, path: str) -> None:
 def if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit ``limit`` bytes, else as it is (the join then shuffles).
 
+    ``row_bytes`` is what a row takes in the hash table that a join builds of it, not in a file.
     ``df`` should be a written or checkpointed table: it is counted here.
     """
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from skarn.llm.common import slices
 
-#: Length of the vectors; languages at most (a bound on what the driver holds: DIM numbers each).
-DIM, MAX_LANGS = 512, 1000
+#: Length of the vectors; languages at most (a bound on what the driver holds: DIM numbers each; more are an error).
+DIM, MAX_LANGS = 512, 10_000
 UNKNOWN = "und"
 #: Trigrams whose vectors of DIM numbers a task keeps; of wider ones fewer, in the same memory.
 KEPT = 60_000
-#: Bytes of text in a slice, at DIM numbers a text; numbers in a piece of the dense counts.
-SLICE, DENSE = 1 << 20, 1 << 22
+#: Bytes of text in a slice and texts that are bundled at once, at DIM numbers a text; numbers in a piece of the dense counts.
+SLICE, TEXTS, DENSE = 1 << 20, 2048, 1 << 22
 
 
 def least_cosine(dim: int = DIM) -> float:
@@ -110,26 +110,25 @@ class Space:
         return out, letters
 
 
-_SPACES: dict[int, Space] = {}
-
-
-def _space(dim: int) -> Space:
-    if dim not in _SPACES:
-        _SPACES[dim] = Space(dim)
-    return _SPACES[dim]
+def _bounded(batches, dim: int):
+    """Slices whose vectors take bounded memory, be the texts long or short."""
+    for b in slices(batches, most=SLICE * DIM // dim):
+        step = max(1, TEXTS * DIM // dim)
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
     """Prototype vector of each language, from all rows with a language and a letter in the text.
 
     A document counts by direction, not by length.  Each task adds up its own
-    rows; what reaches the driver is one vector a language.
+    rows; what reaches the driver is one vector a language.  More than MAX_LANGS languages are an error.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def add(batches):
-        space, sums = _space(dim), {}
-        for b in slices(batches, most=SLICE * DIM // dim):
+        space, sums = Space(dim), {}
+        for b in _bounded(batches, dim):
             vectors, letters = space.bundle(b.column("text").to_pylist())
             size = np.linalg.norm(vectors, axis=1)
             unit = vectors / np.maximum(size, 1e-9)[:, None]
@@ -141,9 +140,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 
     sums = rows.mapInArrow(add, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
-    # rounded: sums of doubles depend on the order of the tasks in their last places
-    for r in sums.select("lang", "i", F.round("x", 6).alias("x")).limit(MAX_LANGS * dim).collect():
-        out.setdefault(r.lang, np.zeros(dim))[r.i] = r.x
+    # rounded: sums of doubles depend on the order of the tasks in their last places; one row a language
+    vectors = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", F.round("x", 6).alias("x")))).alias("v"))
+    for r in vectors.limit(MAX_LANGS + 1).collect():
+        out[r.lang] = np.zeros(dim)
+        out[r.lang][[c.i for c in r.v]] = [c.x for c in r.v]
+    if len(out) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: their prototypes would not fit")
     return out
 
 
@@ -158,8 +161,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
 
     def run(batches):
-        space = _space(dim)
-        for b in slices(batches, most=SLICE * DIM // dim):
+        space = Space(dim)  # goes with the task
+        for b in _bounded(batches, dim):
             vectors, letters = space.bundle(b.column("text").to_pylist())
             cosine = vectors @ base.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
             known = letters & (len(names) > 0)

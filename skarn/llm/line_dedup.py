@@ -121,11 +121,10 @@ def jaccard_forest(sets: list[np.ndarray], similar: float):
                 yield i, j
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, copy, line_no, line): the lines with a visible character; copy tells texts of one id apart."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, copy, text): the texts that aren't null; copy tells texts of one id apart."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text")).where(text.isNotNull())
-    return rows
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text")).where(text.isNotNull())
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
@@ -135,7 +134,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    texts = _lines(docs, id_col, text_col)
+    texts = _texts(docs, id_col, text_col)
 
     def sign(batches):
         for b in slices(batches, most=1 << 19):
@@ -201,12 +200,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts = connected_components(full.select("members").mapInArrow(verify, "a long, b long"))
     # the first place of each component's lines; what stands elsewhere goes
-    place = F.struct("doc", "no")
+    place = F.struct("doc", "copy", "no")
     firsts = signed.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     named = firsts.join(parts, F.col("h") == F.col("node"), "left").select("h", "first", "n", F.coalesce("component", "h").alias("part"))
     kept = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     repeated = named.join(kept.drop("n"), "part").select("h", "keep").checkpoint()
-    gone = signed.select("doc", "copy", "no", "h").join(if_small(repeated, 64), "h").where(~F.struct("doc", "no").eqNullSafe(F.col("keep")))
+    gone = signed.select("doc", "copy", "no", "h").join(if_small(repeated, 64), "h").where(~F.struct("doc", "copy", "no").eqNullSafe(F.col("keep")))
     gone = written(gone.groupBy("doc", "copy").agg(F.collect_set("no").alias("lines")), "gone")
     release(signed, groups)
     return gone
@@ -221,8 +220,10 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     i, t = names.index(id_col), names.index(text_col)
     joined = inner.join(side, F.col(f"c{i}").cast("long").eqNullSafe(F.col("gone_doc")) & (F.xxhash64(f"c{t}") == F.col("gone_copy")), "left")
-    left = F.filter(F.split(F.col(f"c{t}"), "\n", -1), lambda _, n: ~F.array_contains("gone_lines", n))
-    text = F.when(F.col("gone_lines").isNull(), F.col(f"c{t}")).otherwise(F.array_join(left, "\n"))
+    # by sets: a text of many lines of which many go takes no longer than reading it
+    joined = joined.withColumn("lines", F.when(F.col("gone_lines").isNotNull(), F.split(F.col(f"c{t}"), "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone_lines")
+    text = F.when(F.col("gone_lines").isNull(), F.col(f"c{t}")).otherwise(F.array_join(F.transform(left, lambda n: F.get("lines", n)), "\n"))
     out = [F.col(f"c{j}").alias(c) if c != text_col or out_col != text_col else text.alias(c) for j, c in enumerate(names)]
     if out_col != text_col:
         out.append(text.alias(out_col))
@@ -232,7 +233,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_col: str | None = None, **options) -> DataFrame:
-    """``docs`` with each near-duplicate line kept once: at its component's first place by (id, line number).
+    """``docs`` with each near-duplicate line kept once: at its component's first place by (id, hash of the text, line number).
 
     Lines are compared in lower case with white space collapsed; lines without a
     visible character always stay.  Lines link at a Jaccard similarity of

@@ -23,7 +23,7 @@ from skarn.llm.common import slices
 #: A block ends at this many distinct chunks, or (document, pre-token) pairs.
 BLOCK_CHUNKS, BLOCK_PAIRS = 250_000, 3_000_000
 #: Pre-tokens are dealt to so many buckets; a bucket's blocks meet in wings of so many tasks of the scan, so that no group grows with the corpus.
-BUCKETS, WING = 64, 128
+BUCKETS, WING = 64, 32
 #: White space besides ASCII's: a text with any is counted as one piece of text, as it can't be cut at blanks alone.
 OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: Blanks and the word after them; the pattern of pre-tokens never crosses such a border.

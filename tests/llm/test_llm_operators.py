@@ -357,6 +357,39 @@ def test_language_id(spark, empty):
     assert {x.lang_pred for x in langid.identify(test, {}).collect()} == {"und"}
 
 
+def test_language_id_of_more_languages_than_fit(spark, monkeypatch):
+    df = spark.createDataFrame([("abc def", f"l{i}") for i in range(8)], "text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGS", 8)
+    found = langid.learn(df, dim=16)
+    assert len(found) == 8 and all(np.allclose(v, found["l0"]) and v.any() for v in found.values())
+    monkeypatch.setattr(langid, "MAX_LANGS", 7)
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(df, dim=16)
+
+
+def test_language_id_against_plain_cosines_and_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = zlib.crc32
+    rows = [r for r in docs.collect()]
+    train = [r for r in rows if held(str(r.doc_id).encode()) % 3 != 1]
+    prototypes = langid.learn(spark.createDataFrame(train, docs.schema))
+    got = {r.doc_id: r for r in langid.identify(docs, prototypes).collect()}
+    space = langid.Space()
+    names = sorted(prototypes)
+    right = tried = 0
+    for r in rows:
+        v, letters = space.bundle([r.text])
+        cosines = [float(v[0] @ prototypes[n] / max(1e-9, np.linalg.norm(v[0]) * np.linalg.norm(prototypes[n]))) for n in names]
+        if letters[0]:
+            assert abs(got[r.doc_id].score - max(0, min(1, max(cosines)))) < 1e-4
+            assert cosines[names.index(got[r.doc_id].lang_pred)] > max(cosines) - 1e-4
+            if r.lang is not None and held(str(r.doc_id).encode()) % 3 == 1:
+                tried, right = tried + 1, right + (got[r.doc_id].lang_pred == r.lang)
+        else:
+            assert got[r.doc_id].lang_pred == "und"
+    assert tried > 100 and right >= 0.98 * tried
+
+
 def test_language_vectors_are_the_plain_ones():
     space = langid.Space(64)
     text = "Größe, der"
@@ -453,6 +486,18 @@ def test_line_dedup(spark, empty, monkeypatch):
     assert out.columns == empty.columns and out.count() == 0
 
 
+def test_line_dedup_keeps_one_of_two_texts_under_an_id(spark):
+    rows = [(5, "the same first line\nand one of its own"), (5, "the same first line\nand quite another here"), (6, "THE SAME  first line")]
+    got = sorted(x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum("the same first line" in t for t in got) == 1 and "" in got and len(got) == 3
+
+
+def test_line_dedup_of_a_text_of_very_many_repeated_lines(spark):
+    text = "\n".join(["the line of a log that says the same"] * 200_000 + ["the end"])
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), n_col="gone").first()
+    assert got.text == "the line of a log that says the same\nthe end" and got.gone == 199_999
+
+
 def test_band_recall():
     """Pairs at a similarity of about 0.8 meet in a band."""
     r = random.Random(10)
