@@ -221,9 +221,10 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
     i, t = names.index(id_col), names.index(text_col)
     joined = inner.join(side, F.col(f"c{i}").cast("long").eqNullSafe(F.col("gone_doc")) & (F.xxhash64(f"c{t}") == F.col("gone_copy")), "left")
     # by sets: a text of many lines of which many go takes no longer than reading it
-    joined = joined.withColumn("lines", F.when(F.col("gone_lines").isNotNull(), F.split(F.col(f"c{t}"), "\n", -1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone_lines")
-    text = F.when(F.col("gone_lines").isNull(), F.col(f"c{t}")).otherwise(F.array_join(F.transform(left, lambda n: F.get("lines", n)), "\n"))
+    def left(lines):  # a function's parameter, so that the text is split once
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone_lines"), lambda n: F.get(lines, n)), "\n")
+
+    text = F.when(F.col("gone_lines").isNull(), F.col(f"c{t}")).otherwise(F.get(F.transform(F.array(F.split(F.col(f"c{t}"), "\n", -1)), left), F.lit(0)))
     out = [F.col(f"c{j}").alias(c) if c != text_col or out_col != text_col else text.alias(c) for j, c in enumerate(names)]
     if out_col != text_col:
         out.append(text.alias(out_col))

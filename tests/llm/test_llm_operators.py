@@ -13,10 +13,9 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skarn.llm import decontamination, langid, line_dedup, packing, secret_scan, simhash, substring_dedup, token_counts
+from skarn.llm import decontamination, langid, line_dedup, packing, secret_scan, simhash, substring_dedup, token_counts, topk
 from skarn.llm.components import connected_components
 from skarn.llm.license_scan import scan_licenses
-from skarn.llm.topk import top_k
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, block string, component int"
 WORDS = "the of and tion was shing erth blea onwh ndly hest Getz über garçon señal 日本 x1 don't".split()
@@ -247,20 +246,58 @@ def test_simhash_links_keep_every_connection(spark, monkeypatch):
     assert {x: top(x) for x in fps} == {x: root(x) for x in fps}
 
 
-def test_top_k(spark):
+def _best(v, queries, k=10):
+    out = []
+    for q in queries:
+        s = sorted((-sum(a * b for a, b in zip(v[q], v[j])), j) for j in range(len(v)) if j != q)[:k]
+        out += [(q, n + 1, j, -m) for n, (m, j) in enumerate(s)]
+    return out
+
+
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(1)
     v = r.normal(size=(300, 8))
     v[10:40] = v[5]  # ties
-    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(400, None, 1), (500, [1.0, None] + [0.0] * 6, 1), (600, [float("nan")] + [0.0] * 7, 1), (None, v[0].tolist(), 1), (700, [1.0, 2.0], 1), (800, [float("inf")] + [0.0] * 7, 1)]
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(400, None, 1), (500, [1.0, None] + [0.0] * 6, 1), (600, [float("nan")] + [0.0] * 7, 1), (None, v[0].tolist(), 1), (700, [1.0, 2.0], 1), (800, [float("inf")] + [0.0] * 7, 1), (900, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    got = top_k(df, lambda i: i % 100 == 0, k=10).orderBy("query_id", "rank").collect()
-    x = np.floor(1024 * v).astype(int)
+    want = _best(np.floor(1024 * v).astype(int).tolist(), (0, 100, 200))
+    for at_once, sample in ((1 << 15, 1024), (2, 16)):
+        monkeypatch.setattr(topk, "QUERIES_AT_ONCE", at_once)
+        monkeypatch.setattr(topk, "SAMPLE", sample)
+        got = topk.top_k(df, lambda i: i % 100 == 0, k=10).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == want  # the vector of another length has no candidates
+    assert topk.top_k(df.where("vec_id < 0"), lambda i: i % 100 == 0).count() == 0
+
+
+def test_top_k_of_repeated_rows_and_queries(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 9.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, scale=1, k=3).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 2), (2, 1, 2), (3, 2, 0)]
+
+
+@pytest.mark.parametrize("size", [1e6, 1e12, 1e16, 1e200])
+def test_top_k_of_large_components(spark, size):
+    r = np.random.default_rng(2)
+    v = r.normal(size=(80, 4)) * size
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, lambda i: i % 40 == 0, k=5).orderBy("query_id", "rank").collect()
+    exact = [[int(np.floor(1024 * x)) for x in row] for row in v.tolist()]
+    clip = lambda s, most: max(-most, min(most, s))
     want = []
-    for q in (0, 100, 200):
-        s = sorted((-int(x[q] @ x[j]), j) for j in range(300) if j != q)[:10]
-        want += [(q, k + 1, j, -m) for k, (m, j) in enumerate(s)]
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == want  # the vector of another length has no candidates
-    assert top_k(df.where("vec_id < 0"), lambda i: i % 100 == 0).count() == 0
+    for q in (0, 40):
+        s = sorted((-clip(sum(a * b for a, b in zip(exact[q], exact[j])), 10**38 - 1), j) for j in range(80) if j != q)[:5]
+        want += [(q, n + 1, j, clip(-m, (1 << 63) - 1)) for n, (m, j) in enumerate(s)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == want
+
+
+def test_top_k_eliminates(spark):
+    """Around centres of unlike directions, most rows are never scored."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(20, 16)) * 10
+    v = centres[np.arange(4000) % 20] + r.normal(size=(4000, 16)) * 0.05
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, lambda i: i % 100 == 0, stats=True).select("query_id", "n_scored").distinct().collect()
+    assert len(got) == 40 and sum(x.n_scored for x in got) < 0.5 * 40 * 4000
 
 
 def test_secrets(spark, empty):
