@@ -2,7 +2,7 @@
 
 A candidate is a long string near a sensitive word.  Its novelty is what it
 adds to the zstandard size of the code around it, the compressor primed with a dictionary of
-identifiers and with the surrounding text: names, paths and prose cost little, keys cost nearly
+identifiers, some fixed and some learnt from the texts themselves: names, paths and prose cost little, keys cost nearly
 all their bytes.
 """
 
@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,11 +26,13 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 #: Words whose neighbourhood is sensitive.
-SENSITIVE = re.compile(r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer|signature")
+SENSITIVE = re.compile(r"password|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth(?:orization)?|bearer|signature")
 SENSITIVE_ANY_CASE = re.compile(SENSITIVE.pattern, re.I)
 #: What is left of a name after a sensitive word in it, if a value is assigned to the name.
 REST = re.compile(r"""[A-Za-z_-]{1,40}(?=["'\]]{0,2}\x20*[:=])""")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE, CANDIDATE_CHAR = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile(r"[A-Za-z0-9+/_=-]")
+#: Characters of a candidate that a search for its place sees; longer ones are then followed to their ends.
+LONGEST = 512
 #: Identifiers and words that code is full of; the compressor knows them beforehand.
 IDENTIFIERS = """
 abstract access account address algorithm application argument array assert async attribute authorization await base64 boolean
@@ -47,12 +49,18 @@ struct super switch table target template test text thread timeout timestamp tok
 user username utf-8 validate value variable version void while width window worker write 0123456789 abcdefghijklmnopqrstuvwxyz
 ABCDEFGHIJKLMNOPQRSTUVWXYZ example.com sha256 uuid xxxxxxxxxxxxxxxx 0000000000000000
 """
-#: Characters before a candidate in which the sensitive word must stand; of context that primes the compressor; share of its bits that a candidate must cost.
-NEAR, AROUND, NOVEL = 48, 256, 1.0
-#: The alphabets of keys, the smallest first; characters up to which random strings are tried.
+#: Characters between a candidate and a sensitive word; of context on either side that the compressor has seen before the candidate.
+NEAR, AROUND = 48, 256
+#: Bits that each of a candidate's first SHORT characters must cost to be called random (random letters and digits cost 8 and more, identifiers of known words 5), and share of its alphabet's entropy for the others.
+BITS, SHORT, ENTROPY = 7.7, 40, 0.9
+#: The alphabets of keys, the smallest first.
 DIGITS = "0123456789"
-ALPHABETS = [DIGITS, DIGITS + LOWER[:6], DIGITS + UPPER[:6], LOWER, UPPER, UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, LOWER + UPPER, DIGITS + LOWER + UPPER]
-TRIED = 2048
+ALPHABETS = [set(a) for a in (DIGITS, DIGITS + LOWER[:6], DIGITS + UPPER[:6], LOWER, UPPER, UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, LOWER + UPPER, DIGITS + LOWER + UPPER, DIGITS + LOWER + UPPER + "+/_=-")]
+HAS_DIGIT = re.compile("[0-9]")
+#: Words of an identifier: by marks and changes of case.
+WORD = re.compile("[A-Z]?[a-z]{3,15}|[A-Z]{4,16}(?![a-z])")
+#: Words that a dictionary learnt from the texts takes at most, and texts that must hold a word.
+LEARNT, TEXTS = 4096, 3
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,49 +73,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Novelty:
-    """Marginal compressed size, by a compressor primed with identifiers and context."""
+    """Marginal compressed size, by a compressor primed with identifiers that reads the context first."""
 
-    def __init__(self):
+    def __init__(self, dictionary: bytes = b""):
         import zstandard
 
-        self.zstd = zstandard
-        self.words = " ".join(IDENTIFIERS.split()).encode()
-        self.costs: dict[tuple[str, int], float] = {}
-
-    def share(self, before: str, candidate: str, after: str) -> float:
-        """Bytes that the candidate adds, as a share of what so many random letters and digits (6 bits each) need, or random characters of its own alphabet if the compressor codes these by their entropy."""
-        around = (before + after).encode("utf-8", "replace")
-        primed = self.zstd.ZstdCompressionDict(self.words + b" " + around, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
-        size = lambda s: len(self.zstd.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False).compress(s))
-        context = before[-24:].encode("utf-8", "replace")
-        return (size(context + candidate.encode()) - size(context)) * 8 / min(6 * len(candidate), self.random_bits(candidate))
-
-    def random_bits(self, candidate: str) -> float:
-        """Entropy of a random string over the candidate's alphabet, as long as the candidate without its separators.
-
-        Infinite where such strings cost 6 bits a character or more: short ones take 8, whatever the alphabet.
-        """
-        plain = re.sub("[^A-Za-z0-9]", "", candidate)
-        letters = set(plain)
-        alphabet = next((a for a in ALPHABETS if letters <= set(a)), None)
-        if "+" in candidate or "/" in candidate or not plain:
-            return math.inf  # base64: 6 bits
-        entropy = len(plain) * math.log2(len(alphabet))
-        if len(plain) > TRIED:
-            return entropy
-        at = alphabet, len(plain)
-        if at not in self.costs:
-            primed = self.zstd.ZstdCompressionDict(self.words, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
-            size = lambda s: len(self.zstd.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False).compress(s))
-            r = random.Random(len(plain))
-            n = len(plain) * 3 // 2  # the context can tip the compressor to coding shorter ones already
-            tries = [size("".join(r.choices(alphabet, k=n)).encode()) for _ in range(8)]
-            self.costs[at] = entropy if 8 * (min(tries) - size(b"")) < 6 * n else math.inf
-        return self.costs[at]
-
-
-def sensitive_ends(text: str) -> Iterator[int]:
-    """Where the sensitive words end, or the names that they stand in; a word is bounded by anything but a letter, or by a change of case."""
+        primed = zstandard.ZstdCompressionDict(dictionary + " ".join(IDENTIFIERS.split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=19)
+        self.zstd = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False)
+
+    def bits(self, before: str, candidate: str, after: str) -> int:
+        """What the candidate adds to the compressed size of the code around it."""
+        context = (before + after).encode("utf-8", "replace") + b"\n"
+        return 8 * (len(self.zstd.compress(context + candidate.encode() + b"\n")) - len(self.zstd.compress(context)))
+
+    def is_random(self, before: str, candidate: str, after: str) -> bool:
+        letters = set(candidate)
+        if len(letters) <= 4:
+            return False
+        alphabet = next(a for a in ALPHABETS if letters <= a)
+        n, entropy = len(candidate), ENTROPY * math.log2(len(alphabet))
+        least = BITS * min(n, SHORT) + entropy * max(0, n - SHORT)
+        if len(alphabet) <= 16:  # digits: the compressor codes them all by their entropy, and no identifier looks like that
+            least = min(least, entropy * n)
+        return self.bits(before, candidate, after) >= least
+
+
+def sensitive_places(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the sensitive words, the end moved past the name that a word stands in; a word is bounded by anything but a letter, or by a change of case."""
     low = text.lower()
     # a letter that gets longer in lower case would shift the places
     for s in SENSITIVE.finditer(low) if len(low) == len(text) else SENSITIVE_ANY_CASE.finditer(text):
@@ -117,42 +110,79 @@ def sensitive_ends(text: str) -> Iterator[int]:
         closes = not after.isalpha() or after.isupper() and text[b - 1].islower()
         if opens and closes:
             rest = REST.match(text, b)
-            yield rest.end() if rest else b
+            yield a, rest.end() if rest else b
 
 
 def novel_spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
-    out, done = [], -1
-    for start in sensitive_ends(text):
-        for m in CANDIDATE.finditer(text, start, min(len(text), start + NEAR + 512)):
-            if m.start() > start + NEAR:
+    """Random strings that begin shortly after a sensitive word, or end shortly before one.  Each string is looked at once, in order, whole."""
+    out, done = [], 0  # all before ``done`` has been looked at
+
+    def look(start: int, end: int):
+        if novelty.is_random(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]):
+            out.append((start, 3, end))
+
+    for a, b in sensitive_places(text):
+        if a > done:
+            for m in CANDIDATE.finditer(text, max(done, a - NEAR - LONGEST), a):
+                inside = m.end() == a and CANDIDATE_CHAR.match(text, a)  # a part of the name that the word stands in
+                if a - NEAR <= m.end() and not inside:
+                    start = m.start()
+                    while start > done and CANDIDATE_CHAR.match(text, start - 1):
+                        start -= 1
+                    look(start, m.end())
+                    done = m.end()
+        for m in CANDIDATE.finditer(text, max(b, done), min(len(text), max(b, done) + NEAR + LONGEST)):
+            if m.start() > b + NEAR:
                 break
-            if m.start() <= done:
-                continue
-            done = m.start()
             end = m.end()
-            if end == start + NEAR + 512:  # cut by the search's end: the whole string
+            if CANDIDATE_CHAR.match(text, end):  # cut by the search's end: the whole string
                 end = CANDIDATE.match(text, m.start()).end()
-            value = text[m.start() : end]
-            if len(set(value)) > 4 and novelty.share(text[max(0, m.start() - AROUND) : m.start()], value, text[end : end + AROUND]) >= NOVEL:
-                out.append((m.start(), 3, end))
+            look(m.start(), end)
+            done = end
     return out
 
 
+def learn_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    """The identifiers' words that stand around sensitive words in TEXTS texts or more, the commonest last; counted over all texts.
+
+    The LEARNT words that fill most of those places are taken: a bound on the dictionary's size.
+    """
+
+    def words(batches):
+        for b in slices(batches):
+            n: Counter = Counter()
+            for t in b.column("text").to_pylist():
+                held, done = set(), 0
+                for a, e in sensitive_places(t or ""):
+                    if e > done:
+                        # a string with digits in it may be a key, and a key that is copied is no identifier
+                        held.update(WORD.findall(CANDIDATE.sub(lambda m: "" if HAS_DIGIT.search(m[0]) else m[0], t[max(done, a - AROUND) : e + AROUND])))
+                        done = e + AROUND
+                n.update(held)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= TEXTS)
+    best = found.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(LEARNT).collect()
+    return "".join(f"{r.word} " for r in reversed(best)).encode()
+
+
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256 (of the base spans), spans (all spans,
     kind:start:end by start and then kind, comma-joined; code points, end exclusive), n_novel.
 
+    dictionary: words that the compressor knows beforehand; None: learnt from all the texts.
     Null or empty text: no spans.  Repeated rows come out as often as they went
     in; ids may be null.  An empty table gives no rows.
     """
+    dictionary = learn_dictionary(docs, text_col) if dictionary is None else dictionary
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        novelty = Novelty()
+        novelty = Novelty(dictionary)
         for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():

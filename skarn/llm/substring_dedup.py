@@ -135,9 +135,14 @@ def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _digest(words: list[bytes]) -> bytes:
+    """128-bit cryptographic hash of a text's words: equal for texts that differ in white space alone."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _copy_of(words: list[bytes]) -> int:
-    """64-bit hash of a text's words: equal for texts that differ in white space alone."""
-    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+    """Half of that hash: tells texts under one id apart."""
+    return int.from_bytes(_digest(words)[:8], "little", signed=True)
 
 
 def _anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +162,7 @@ def _anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, shards: int | None = None) -> DataFrame:
     """(doc, copy, whole, starts): the windows of ``window`` words of each text that also start in a document with a smaller id.
 
-    copy: 64-bit hash of the text, to tell texts under one id apart.  whole:
+    copy: 64-bit hash of the text, to tell texts under one id apart; exact copies are told by a cryptographic hash of 128 bits.  whole:
     every window does (an exact copy); else ``starts`` are the first words of those windows.
     Rows with a null id are never marked, nor do they mark others.
     """
@@ -169,20 +174,21 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def keys(batches):
         for b in slices(batches):
-            doc, copy, anchors = [], [], []
+            doc, copy, digest, anchors = [], [], [], []
             for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
                 words = words_of(t)
                 if len(words) >= window:
                     doc.append(d)
-                    copy.append(_copy_of(words))
+                    digest.append(_digest(words))
+                    copy.append(int.from_bytes(digest[-1][:8], "little", signed=True))
                     anchors.append(np.unique(_anchors(_word_hashes(words), window)[0]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc", "copy", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(digest, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc", "copy", "digest", "anchors"])
 
     # one text of each set of exact copies goes on, under its smallest id
-    marked = texts.mapInArrow(keys, "doc long, copy long, anchors array<long>")
+    marked = texts.mapInArrow(keys, "doc long, copy long, digest binary, anchors array<long>")
     marked = written(marked, "anchors")
-    classes = marked.groupBy("copy").agg(F.min("doc").alias("doc")).checkpoint()
-    first = marked.join(if_small(classes, 32), ["copy", "doc"], "left_semi")  # a repeated row only makes more anchors candidates
+    classes = marked.groupBy("digest").agg(F.min("doc").alias("doc")).checkpoint()
+    first = marked.join(if_small(classes, 160), ["digest", "doc"], "left_semi")  # a repeated row only makes more anchors candidates
     shared = first.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
 
     def passages(batches):
@@ -277,7 +283,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts = joined.select("doc", "copy", F.transform(own, lambda i: i + F.col("start")).alias("starts")).where(F.size("starts") > 0)
     starts = starts.groupBy("doc", "copy").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     # exact copies of a text under a smaller id
-    copies = marked.select("doc", "copy").join(classes.select(F.col("copy"), F.col("doc").alias("first")), "copy").where("doc > first").select("doc", "copy").distinct()
+    copies = marked.select("doc", "copy", "digest").join(classes.select("digest", F.col("doc").alias("first")), "digest").where("doc > first").select("doc", "copy").distinct()
     starts = starts.join(copies, ["doc", "copy"], "left_anti")  # copies go whole: their windows need no list
     marks = starts.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", "copy", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
     marks = written(marks.select("doc", "copy", "whole", "starts"), "marks")

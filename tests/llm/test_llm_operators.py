@@ -337,6 +337,37 @@ def test_secrets_in_names_and_of_small_alphabets(spark):
     assert sum(got[len(names) + len(others) + i].n_novel == 1 for i in range(len(upper))) >= 0.95 * len(upper)
 
 
+def test_secrets_recall_and_precision(spark):
+    """Random keys of many kinds beside sensitive words, and identifiers of words that the texts use."""
+    r = random.Random(14)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [lower + lower.upper() + digits, lower + digits, lower.upper() + digits, digits + "abcdef", lower + lower.upper() + digits + "+/"]
+    words = "http request retry interceptor customer billing address validator quick brown jumps over session manager payment gateway".split()
+    frames = ['client_secret = "{}"', "the api key is {} for now", "Authorization: Bearer {}", "const auth_token = '{}';", '"{}" is the password', "{} # private key"]
+    rows = []
+    for _ in range(300):
+        rows.append((r.choice(frames).format("".join(r.choices(r.choice(kinds), k=r.choice([20, 24, 32, 40, 64, 128])))), True))
+    for _ in range(300):
+        ws = r.sample(words, r.randint(3, 5))
+        rows.append((r.choice(frames).format(r.choice(["-".join(ws), "_".join(ws), "".join(w.title() for w in ws), "".join(ws)])), False))
+    rows += [(f"def {r.choice(words)}_{r.choice(words)}(token): return {r.choice(words)}.{r.choice(words)}", None) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.n_novel for x in secret_scan.scan_secrets(df).collect()}
+    keys, names = [got[i] for i, x in enumerate(rows) if x[1]], [got[i] for i, x in enumerate(rows) if x[1] is False]
+    assert sum(map(bool, keys)) >= 0.95 * len(keys)
+    assert sum(map(bool, names)) <= 0.05 * len(names)
+
+
+def test_secrets_of_long_texts_and_repeated_rows(spark):
+    began = time.time()
+    secret_scan.novel_spans("token/" * 20_000, secret_scan.Novelty())
+    secret_scan.novel_spans("token " * 20_000, secret_scan.Novelty())
+    assert time.time() - began < 20
+    df = spark.createDataFrame([(1, "password: Zk9xQ2vL8mN3pR7tW1yB5dF0"), (1, "password: Zk9xQ2vL8mN3pR7tW1yB5dF0"), (None, None)], "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.n_assign, x.n_novel) for x in secret_scan.scan_secrets(df).collect())
+    assert got == [("1", 1, 1), ("1", 1, 1), ("None", 0, 0)]
+
+
 def test_licenses(spark, empty):
     texts = ["Released under the MIT License. under the mit-license", "Apache License, Version 2", "cc by-nc cc/by/nc", "under the mit", "mit license under the", "This is Licensed under the GNU General Public License, version 3!", "all rights RESERVED", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and related documentation files", None]
     df, rows = _docs(spark, texts)
