@@ -86,7 +86,7 @@ def queries() -> dict:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def checked_sql() -> dict[str, str]:
     return {"op5_pivot_topk": TOP_K, "op10_substring_dedup": SUBSTRINGS}
 
 
