@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.operators.transforms import if_few
+
 
 def dummy_classifier(df: DataFrame, label: str, kind: str = "MOST_FREQUENT", constant: str | None = None, key: Column | None = None, seed: int = 1) -> DataFrame:
     """``prediction`` for every row.
@@ -49,28 +51,34 @@ def dummy_regressor(df: DataFrame, target: str, kind: str = "MEAN", quartile: fl
     return ranked_value(df, target, lambda n: F.floor(n / 2) if kind == "MEDIAN" else F.least(F.floor(n * share), n - 1))
 
 
-def mnb_fit(features: DataFrame, labels: DataFrame, id_col: str = "id", label: str = "label", weight: str | None = None, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Multinomial naive Bayes without class prior: (label, name, logp) and (label, logp of a name unseen with the label)."""
+def mnb_fit(features: DataFrame, labels: DataFrame | None = None, id_col: str = "id", label: str = "label", weight: str | None = None, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes without class prior: (label, name, logp) and (label, logp of a name unseen with the label).
+
+    labels: a table of the rows' labels; None: the long features carry ``label`` (and ``weight``) themselves, which spares a join of every feature.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
-    joined = features.join(labels.select(id_col, F.col(label).alias("label"), w.alias("w")), id_col)
-    mass = joined.groupBy("label", "name").agg(F.sum(F.col("w") * F.col("value")).alias("mass"))
-    size = features.select("name").distinct().agg(F.count("*").alias("size"))
+    if labels is None:
+        joined = features.select(F.col(label).alias("label"), "name", "value", w.alias("w"))
+    else:
+        joined = features.join(labels.select(id_col, F.col(label).alias("label"), w.alias("w")), id_col)
+    mass = joined.groupBy("label", "name").agg(F.sum(F.col("w") * F.col("value")).alias("mass")).persist()  # read for each of the sums
+    size = mass.select("name").distinct().agg(F.count("*").alias("size"))
     total = mass.groupBy("label").agg(F.sum("mass").alias("total")).crossJoin(F.broadcast(size))  # one row
     base = F.col("total") + alpha * F.col("size")
-    seen = mass.join(total, "label").select("label", "name", F.ln((F.col("mass") + alpha) / base).alias("logp"))
+    seen = mass.join(F.broadcast(total), "label").select("label", "name", F.ln((F.col("mass") + alpha) / base).alias("logp"))
     unseen = total.select("label", F.ln(F.lit(alpha) / base).alias("unseen"))
     return seen, unseen
 
 
 def mnb_score(features: DataFrame, model: tuple[DataFrame, DataFrame], id_col: str = "id") -> DataFrame:
-    """(id, label, score): log likelihood of each row under each label.  A row's features meet only the (label, name) rows of their own names."""
+    """(id, label, score): log likelihood of each row under each label.  One join with the model, by name, and one sum by row; a row without a known name has no score."""
     seen, unseen = model
-    names = seen.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("label", "logp"))).alias("logps"))  # labels a name: the output domain
-    row = features.join(names, "name")
-    part = row.select(id_col, "value", F.explode("logps").alias("label", "logp")).join(unseen, "label").groupBy(id_col, "label").agg(F.sum(F.col("value") * (F.col("logp") - F.col("unseen"))).alias("gain"))
-    mass = features.join(seen.select("name").distinct(), "name", "left_semi").groupBy(id_col).agg(F.sum("value").alias("mass"))
-    every = mass.join(F.broadcast(unseen))  # a row for each label of the domain
-    return every.join(part, [id_col, "label"], "left").select(id_col, "label", (F.coalesce("gain", F.lit(0.0)) + F.col("mass") * F.col("unseen")).alias("score"))
+    labels = unseen.orderBy("label").collect()  # the output domain
+    gains = [F.coalesce(F.max(F.when(F.col("label") == r["label"], F.col("logp") - r["unseen"])), F.lit(0.0)).alias(f"gain_{i}") for i, r in enumerate(labels)]
+    names = if_few(seen.groupBy("name").agg(*gains))
+    sums = features.join(names, "name").groupBy(id_col).agg(F.sum("value").alias("mass"), *[F.sum(F.col("value") * F.col(f"gain_{i}")).alias(f"gain_{i}") for i in range(len(labels))])
+    every = F.array(*[F.struct(F.lit(r["label"]).alias("label"), (F.col(f"gain_{i}") + F.col("mass") * r["unseen"]).alias("score")) for i, r in enumerate(labels)])
+    return sums.select(id_col, F.explode(every).alias("s")).select(id_col, "s.label", "s.score")
 
 
 def best_label(scores: DataFrame, id_col: str = "id") -> DataFrame:
@@ -88,10 +96,13 @@ def vote(predictions: DataFrame, id_col: str, prediction: str, weight: Column |
 
 def average(predictions: DataFrame, id_col: str, value: str, weight: Column | None = None) -> DataFrame:
     """(id, mean, variance): weighted mean of the members and their population variance."""
-    w, y = weight if weight is not None else F.lit(1.0), F.col(value)
-    m = predictions.groupBy(id_col).agg(F.sum(w).alias("w"), F.sum(w * y).alias("s"), F.sum(w * y * y).alias("ss"))
-    mean = F.col("s") / F.col("w")
-    return m.select(id_col, mean.alias("mean"), F.greatest(F.col("ss") / F.col("w") - mean * mean, F.lit(0.0)).alias("variance"))
+    if weight is None:
+        return predictions.groupBy(id_col).agg(F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
+    p = predictions.select(id_col, F.col(value).cast("double").alias("y"), weight.alias("w"))
+    mean = p.groupBy(id_col).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("mean"))
+    # around the mean: differences of squares would cancel
+    off = F.col("y") - F.col("mean")
+    return p.join(mean, id_col).groupBy(id_col, "mean").agg((F.sum(F.col("w") * off * off) / F.sum("w")).alias("variance"))
 
 
 def multilabel_vote(predictions: DataFrame, id_col: str, labels: str, members: int) -> DataFrame:

@@ -6,9 +6,11 @@ aggregates by name, selections are semi-joins with the (small) set of names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skarn.operators.sampling import position
+
 
 def melt(df: DataFrame, id_cols: list[str], value_cols: list[str], drop_zeros: bool = False) -> DataFrame:
     """Wide numeric columns as (ids..., name, value); one pass, no shuffle.  Nulls are absent features."""
@@ -32,8 +34,8 @@ def feature_domain(features: DataFrame, by: tuple[str, ...] = ("name",)) -> Data
         F.avg("value").alias("mean"),
         F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("var"),
     )
-    # ids over the domain's names, not over rows
-    return stats.withColumn("fid", F.row_number().over(Window.orderBy(*by)) - 1)
+    # ids over the domain's names, by ranges of them
+    return position(stats, [F.col(c) for c in by], "fid").withColumn("fid", F.col("fid").cast("int"))
 
 
 def is_categorical(domain: DataFrame, most: int = 50) -> DataFrame:
@@ -72,6 +74,8 @@ def drop_features(features: DataFrame, names: list[str]) -> DataFrame:
     return features.where(~F.col("name").isin(names))
 
 
+#: Names that a dense row may have.
+MOST_DENSE = 100_000
 MERGERS = {"ADD": F.sum, "MAX": F.max, "MIN": F.min, "AVERAGE": F.avg}
 
 
@@ -88,8 +92,14 @@ def unique_by_order(df: DataFrame, keys: list[str], order: str, value: str) -> D
 
 
 def densify(features: DataFrame, domain: DataFrame, id_col: str = "id") -> DataFrame:
-    """Explicit zeros for all names of the (small) domain: each row is widened once and unpivoted, so nothing is joined pair by pair."""
-    names = [r["name"] for r in domain.select("name").distinct().orderBy("name").limit(100_000).collect()]
+    """Explicit zeros for all names of the domain: each row is widened once and unpivoted, so nothing is joined pair by pair.
+
+    A domain of more than MOST_DENSE names is an error: rows that wide are no use, and would be cut short otherwise.
+    """
+    names = [r["name"] for r in domain.select("name").distinct().limit(MOST_DENSE + 1).collect()]
+    if len(names) > MOST_DENSE:
+        raise ValueError(f"a domain of more than {MOST_DENSE} names can't be made dense")
+    names.sort()
     held = features.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
     names_col = F.array(*[F.lit(n) for n in names])
     return held.select(id_col, F.explode(F.transform(names_col, lambda n: F.struct(n.alias("name"), F.coalesce(F.try_element_at("m", n), F.lit(0.0)).alias("value")))).alias("f")).select(id_col, "f.name", "f.value")
@@ -120,7 +130,7 @@ def domain_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def output_domain(df: DataFrame, output: str) -> DataFrame:
     """output -> count, with dense ids in output order."""
-    return df.groupBy(F.col(output).alias("output")).agg(F.count("*").alias("n")).withColumn("oid", F.row_number().over(Window.orderBy("output")) - 1)
+    return position(df.groupBy(F.col(output).alias("output")).agg(F.count("*").alias("n")), [F.col("output")], "oid").withColumn("oid", F.col("oid").cast("int"))
 
 
 def descriptive_stats(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

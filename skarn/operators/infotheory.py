@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -141,14 +141,17 @@ def binned(features: DataFrame, bins: int = 10) -> DataFrame:
     return step.apply(features, step.fit(features)).withColumn("bin", F.col("value").cast("int"))
 
 
+def grouped_mi(cells: DataFrame, by: list[str], x: list[str], y: list[str], n: str = "n") -> DataFrame:
+    """(by..., mi): I(x; y) in bits within each group of a table of counts; further columns of the table are summed over."""
+    joint = cells.groupBy(*by, *x, *y).agg(F.sum(n).cast("double").alias("n"))
+    over = lambda *c: F.sum("n").over(Window.partitionBy(*by, *c))
+    joint = joint.select(*by, "n", over(*x).alias("nx"), over(*y).alias("ny"), over().alias("total"))
+    return joint.groupBy(*by).agg(F.sum(F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi"))
+
+
 def mim(features: DataFrame, label: str, bins: int = 10) -> DataFrame:
     """name, mi: mutual information of each binned feature with the label, a column of the long features; one table of counts for all features."""
-    cells = binned(features, bins).withColumn("y", F.col(label)).groupBy("name", "bin", "y").agg(F.count("*").cast("double").alias("n"))
-    nx = cells.groupBy("name", "bin").agg(F.sum("n").alias("nx"))
-    ny = cells.groupBy("name", "y").agg(F.sum("n").alias("ny"))
-    total = cells.groupBy("name").agg(F.sum("n").alias("total"))
-    joined = cells.join(nx, ["name", "bin"]).join(ny, ["name", "y"]).join(total, "name")
-    return joined.groupBy("name").agg(F.sum(F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi"))
+    return grouped_mi(binned(features, bins).groupBy("name", "bin", F.col(label).alias("y")).agg(F.count("*").alias("n")), ["name"], ["bin"], ["y"])
 
 
 def pair_table(features: DataFrame, id_col: str, label: str, bins: int = 10):
@@ -161,56 +164,33 @@ def pair_table(features: DataFrame, id_col: str, label: str, bins: int = 10):
     return pairs.groupBy(F.col("f.name").alias("a"), F.col("g.name").alias("b"), F.col("f.bin").alias("i"), F.col("g.bin").alias("j"), "y").agg(F.count("*").alias("n"))
 
 
-def _mi_of(cells: dict) -> float:
-    """MI in bits from {(x, y): n}."""
-    total, px, py = sum(cells.values()), {}, {}
-    for (x, y), n in cells.items():
-        px[x] = px.get(x, 0) + n
-        py[y] = py.get(y, 0) + n
-    return sum(n / total * math.log2(n * total / (px[x] * py[y])) for (x, y), n in cells.items() if n)
-
-
 def greedy_selection(features: DataFrame, id_col: str, label: str, how: str = "JMI", k: int = 10, bins: int = 10) -> list[tuple[str, float]]:
     """The k features chosen one by one, with the scores they were chosen by.
 
     JMI: greatest sum of I(f, s; y) over the chosen s.  mRMR: I(f; y) less the
-    mean of I(f; s).  CMIM: greatest least I(f; y | s).  The table of pair counts is made once on the cluster; the loop runs over it, ties by name.
+    mean of I(f; s).  CMIM: greatest least I(f; y | s).  Ties by name.  The table of pair counts is made once and stays on the
+    cluster; a round takes the pairs of the feature chosen last and brings back one number a feature.
     """
-    tables: dict[tuple[str, str], dict] = {}
-    for r in pair_table(features, id_col, label, bins).toLocalIterator():
-        tables.setdefault((r["a"], r["b"]), {})[(r["i"], r["j"], r["y"])] = r["n"]
-    names = sorted({a for a, _ in tables})
-
-    def project(a, b, f):
-        table, out, swap = tables.get((a, b)), {}, False
-        if table is None:
-            table, swap = tables.get((b, a), {}), True
-        for (i, j, y), n in table.items():
-            key = f(*((j, i) if swap else (i, j)), y)
-            out[key] = out.get(key, 0) + n
-        return out
-
-    relevance = {f: _mi_of(project(f, f, lambda i, j, y: (i, y))) for f in names}
-    chosen: list[tuple[str, float]] = []
-    score = dict.fromkeys(names, 0.0) if how != "CMIM" else dict(relevance)
-    while len(chosen) < min(k, len(names)):
-        left = [f for f in names if f not in {c for c, _ in chosen}]
-        if not chosen:
-            value = relevance
-        elif how == "mRMR":
-            value = {f: relevance[f] - score[f] / len(chosen) for f in left}
-        else:
-            value = score
-        best = min(left, key=lambda f: (-value[f], f))
-        chosen.append((best, value[best]))
+    pairs = pair_table(features, id_col, label, bins).persist()
+    score = {r["a"]: r["mi"] for r in grouped_mi(pairs.where("a = b"), ["a"], ["i"], ["y"]).collect()}
+    relevance, chosen, redundancy = dict(score), [], dict.fromkeys(score, 0.0)
+    while len(chosen) < min(k, len(relevance)):
+        left = [f for f in relevance if f not in {c for c, _ in chosen}]
+        best = min(left, key=lambda f: (-score[f], f))
+        chosen.append((best, score[best]))
+        # the others' bins as x, those of the chosen one as s
+        of = F.when(F.col("a") == best, F.col("b")).otherwise(F.col("a"))
+        some = pairs.where(((F.col("a") == best) | (F.col("b") == best)) & (F.col("a") != F.col("b")))
+        some = some.select(of.alias("f"), F.when(F.col("a") == best, F.col("j")).otherwise(F.col("i")).alias("x"), F.when(F.col("a") == best, F.col("i")).otherwise(F.col("j")).alias("s"), "y", "n")
+        found = {r["f"]: r["mi"] for r in (grouped_mi(some, ["f"], ["x"], ["s"]) if how == "mRMR" else grouped_mi(some, ["f"], ["x", "s"], ["y"])).collect()}
         for f in left:
-            if f == best:
-                continue
-            if how == "JMI":
-                score[f] += _mi_of(project(f, best, lambda i, j, y: ((i, j), y)))
-            elif how == "mRMR":
-                score[f] += _mi_of(project(f, best, lambda i, j, y: (i, j)))
+            if how == "mRMR":
+                redundancy[f] += found.get(f, 0.0)
+                score[f] = relevance[f] - redundancy[f] / len(chosen)
+            elif how == "JMI":
+                redundancy[f] += found.get(f, 0.0)
+                score[f] = redundancy[f]
             else:
-                both = _mi_of(project(f, best, lambda i, j, y: ((i, j), y)))
-                score[f] = min(score[f], both - _mi_of(project(best, best, lambda i, j, y: (i, y))))
+                score[f] = min(score[f], found.get(f, 0.0) - relevance[best])
+    pairs.unpersist()
     return chosen

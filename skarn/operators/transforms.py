@@ -7,8 +7,6 @@ what earlier ones made.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +25,16 @@ def simple(op: str, a: float = 0.0, b: float = 0.0):
     }[op]
 
 
+#: Fitted rows (of up to some hundred bytes each) that are broadcast; more are joined by a shuffle.
+FEW = 200_000
+
+
+def if_few(fitted: DataFrame) -> DataFrame:
+    """A table by feature name, broadcast if it has FEW rows at most; it is kept for the join that follows its count."""
+    fitted = fitted.persist()
+    return F.broadcast(fitted) if fitted.count() <= FEW else fitted
+
+
 class Step:
     """A transformation: what to fit, and how to apply a fitted feature."""
 
@@ -38,10 +46,7 @@ class Step:
         raise NotImplementedError
 
     def joined(self, features: DataFrame, fitted: DataFrame) -> DataFrame:
-        return features.join(F.broadcast(fitted) if self.bounded else fitted, "name")
-
-    #: A row or a few dozen numbers a feature; names are a domain, not data: checked by ``chain``.
-    bounded = False
+        return features.join(if_few(fitted), "name")
 
 
 class Simple(Step):
@@ -103,20 +108,25 @@ class Bins(Step):
             half = n // 2
             edges = F.array(*[F.col("m") + F.col("s") * k for k in range(-half + 1, half + 1)])
             return features.groupBy("name").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).select("name", edges.alias("edges"))
-        # ranks by counts of distinct values: a key of many equal values is one row
+        # ranks by counts of distinct values, in ranges: a range sums its own and is set off by those before it
         counts = features.groupBy("name", "value").agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(Window.partitionBy("name").orderBy("value"))
-        total = F.sum("c").over(Window.partitionBy("name"))
-        ranked = counts.withColumn("upto", upto).withColumn("total", total)
+        cut = counts.repartitionByRange("name", "value").groupBy(F.spark_partition_id().alias("part"), "name").agg(F.collect_list(F.struct("value", "c")).alias("rows"), F.sum("c").alias("s"))
+        over = Window.partitionBy("name").orderBy("part")  # a row a range
+        cut = cut.withColumn("before", F.sum("s").over(over) - F.col("s")).withColumn("total", F.sum("s").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         step = F.floor(F.col("total") / n)
+        wanted = F.filter(F.array(*[F.least(step * (i + 1), F.col("total") - 1) for i in range(n)]), lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("s")))
+        # only the ranges that hold an edge are looked into
+        ranked = cut.where(F.size(wanted) > 0).select("part", "name", "before", "total", F.explode("rows").alias("r"))
+        upto = F.col("before") + F.sum("r.c").over(Window.partitionBy("part", "name").orderBy("r.value"))
+        ranked = ranked.withColumn("upto", upto).select("name", "total", "upto", F.col("r.value").alias("value"), F.col("r.c").alias("c"))
         # the value at 0-based sorted place (i + 1) * step
         wanted = F.array(*[F.least(step * (i + 1), F.col("total") - 1) for i in range(n)])
         placed = ranked.withColumn("at", F.explode(wanted)).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at")))
         return placed.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("edges"))
 
     def apply(self, features, fitted):
-        upper = F.size(F.filter("edges", lambda e: e < F.col("value"))) + 1
-        return self.joined(features, fitted).withColumn("value", F.least(upper, F.lit(self.n)).cast("double")).drop("edges")
+        below = sum((F.when(F.get("edges", F.lit(i)) < F.col("value"), 1).otherwise(0) for i in range(self.n)), F.lit(1))
+        return self.joined(features, fitted).withColumn("value", F.least(below, F.lit(self.n)).cast("double")).drop("edges")
 
 
 class Idf(Step):
@@ -140,11 +150,10 @@ def chain(features: DataFrame, everywhere: list[Step] = (), by_pattern: dict[str
     """
     by_pattern = by_pattern or {}
     if by_pattern:
-        names = [r["name"] for r in features.select("name").distinct().limit(100_000).collect()]
-        for name in names:
-            hits = [p for p in by_pattern if re.fullmatch(p, name)]
-            if len(hits) > 1:
-                raise ValueError(f"feature {name} matches several patterns: {hits}")
+        hits = F.filter(F.array(*[F.when(F.col("name").rlike(f"^(?:{p})$"), F.lit(p)) for p in by_pattern]), lambda p: p.isNotNull())
+        twice = features.select("name").distinct().select("name", hits.alias("hits")).where(F.size("hits") > 1).first()
+        if twice:
+            raise ValueError(f"feature {twice['name']} matches several patterns: {twice['hits']}")
         parts = []
         for pattern, steps in by_pattern.items():
             some = features.where(F.col("name").rlike(f"^(?:{pattern})$"))

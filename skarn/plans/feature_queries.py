@@ -15,8 +15,11 @@ from skarn.sources.writers import libsvm_line
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark, sf_dir, name, spread=False):
+    """A table; ``spread`` deals a file of fewer pieces than there are cores to all of them, for work that is much longer than reading."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if spread and df.rdd.getNumPartitions() <= cores else df
 
 
 def _line(spark, sf_dir):
@@ -180,9 +183,9 @@ def labelled_text(spark, sf_dir):
 
 
 def known_domain(spark, sf_dir):
-    """Features of suppliers' nations that customers' nations know, and those either side lacks."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("name")).distinct()
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("name")).distinct()
+    """Keys that only orders' customers have, and those that only suppliers have."""
+    c = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("name"))
     return fx.domain_difference(c, s)
 
 
@@ -234,7 +237,7 @@ QUERIES = {
     "weighted_mean": (weighted_means, "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS wmean FROM lineitem GROUP BY 1"),
     "libsvm_round_trip": (libsvm_lines, "SELECT l_returnflag AS output, i, count(*) AS n, round(sum(v), 2) AS total FROM (" + " UNION ALL ".join(f"SELECT l_returnflag, {i + 1} AS i, {c} AS v FROM lineitem WHERE {c} <> 0" for i, c in enumerate(LINE)) + ") GROUP BY 1, 2"),
     "labelled_text": (labelled_text, "SELECT upper(trim(role)) AS output, count(*) AS n, CAST(sum(length(trim(text))) AS BIGINT) AS chars FROM conversations WHERE trim(text) <> '' GROUP BY 1"),
-    "domain_difference": (known_domain, "WITH c AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS name FROM customer), s AS (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS name FROM supplier WHERE s_acctbal > 0) SELECT name, 'first' AS side FROM c WHERE name NOT IN (SELECT name FROM s) UNION ALL SELECT name, 'second' FROM s WHERE name NOT IN (SELECT name FROM c)"),
+    "domain_difference": (known_domain, "WITH c AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS name FROM orders), s AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS name FROM supplier) SELECT name, 'first' AS side FROM c WHERE name NOT IN (SELECT name FROM s) UNION ALL SELECT name, 'second' FROM s WHERE name NOT IN (SELECT name FROM c)"),
     "selected_features": (selected_features, f"WITH {_MELT}, t AS (SELECT name FROM m WHERE value <> 0 GROUP BY name ORDER BY var_samp(value) DESC, name LIMIT 2) SELECT name, count(*) AS n, round(sum(value), 2) AS total FROM m WHERE name IN (SELECT name FROM t) GROUP BY name"),
     "cv_summary": (cv_summary, "WITH r AS (SELECT o_totalprice, ntile(5) OVER (ORDER BY o_orderkey) AS f FROM orders), b AS (SELECT f, avg(o_totalprice) AS a, max(o_totalprice) AS x FROM r GROUP BY f), l AS (SELECT 'mean_price' AS metric, a AS v FROM b UNION ALL SELECT 'max_price', x FROM b) SELECT metric, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max FROM l GROUP BY metric"),
 }

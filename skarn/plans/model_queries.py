@@ -14,7 +14,7 @@ from skarn.streaming import online
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return table(spark, sf_dir, "documents", spread=True).select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
 _TOK = "t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS toks FROM documents)"
@@ -53,7 +53,31 @@ def preprocess(spark, sf_dir):
 
 def hashed_terms(spark, sf_dir):
     t = tx.term_features(_docs(spark, sf_dir), "id", tx.whitespace_tokens(F.col("text")), hash_to=64)
-    return t.groupBy("id").agg(F.sum("value").cast("long").alias("n"))
+    return t.select("id", F.col("name").cast("int").alias("bucket"), F.col("value").cast("long").alias("n"))
+
+
+def _murmur_sql(name: str, seed: int) -> str:
+    """SQL of the 32-bit Murmur3 of a string's UTF-8, as an unsigned number."""
+    low = "% 4294967296"
+    word = lambda at, n: "('0x' || " + " || ".join(f"substr(x, {at} + {2 * i}, 2)" for i in reversed(range(n))) + ")::UBIGINT"
+    mixed = lambda k: f"((((({k}) * 3432918353 {low}) << 15) {low} | ((({k}) * 3432918353 {low}) >> 17)) * 461845907 {low})"
+    turned = lambda h: f"((({h} << 13) {low} | ({h} >> 19)) * 5 + 3864292196) {low}"
+    body = f"list_reduce(list_prepend({seed}::UBIGINT, list_transform(range(0, n // 4), lambda j: {mixed(word('8 * j + 1', 4))})), lambda h, k: {turned('xor(h, k)')})"
+    tail = "CASE n % 4 " + " ".join(f"WHEN {r} THEN {mixed(word('8 * (n // 4) + 1', r))}" for r in (1, 2, 3)) + " ELSE 0 END"
+    return f"""m0 AS (SELECT DISTINCT {name} AS name FROM w), m1 AS (SELECT name, hex(encode(name)) AS x, octet_length(encode(name)) AS n FROM m0),
+m2 AS (SELECT name, xor(xor({body}, ({tail})::UBIGINT), n::UBIGINT) AS h FROM m1), m3 AS (SELECT name, xor(h, h >> 16) * 2246822507 {low} AS h FROM m2),
+m4 AS (SELECT name, xor(h, h >> 13) * 3266489909 {low} AS h FROM m3), hashes AS (SELECT name, xor(h, h >> 16) AS h FROM m4)"""
+
+
+def tokenise_shape(spark, sf_dir):
+    """Tokens of letters and of digits."""
+    t = F.transform(tx.shape_tokens(F.col("text")), lambda t: F.regexp_extract(t, r"^(?:[\p{Lu}\p{Ll}]+|[0-9]+)$", 0))
+    return _docs(spark, sf_dir).select("id", F.filter(t, lambda t: t != "").alias("t")).select("id", F.size("t").cast("long").alias("n"), F.length(F.array_join("t", "")).cast("long").alias("chars"), F.array_max(F.transform("t", F.length)).alias("longest"))
+
+
+def tokenise_universal(spark, sf_dir):
+    t = tx.universal_tokens(F.col("text"))
+    return _docs(spark, sf_dir).select("id", t.alias("t")).select("id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_max(F.transform("t", F.length)).alias("longest"))
 
 
 def _pairs(spark, sf_dir):
@@ -116,9 +140,8 @@ def dummy_regressors(spark, sf_dir):
 
 
 def _mnb(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    terms = tx.term_features(d, "id", tx.whitespace_tokens(F.lower(F.col("text"))))
-    return terms, bl.mnb_fit(terms.join(d.select("id", "lang"), "id").select("id", "name", "value"), d, "id", "lang")
+    terms = tx.term_features(_docs(spark, sf_dir), "id", tx.whitespace_tokens(F.lower(F.col("text"))), keep=("lang",)).persist()  # for the model and for the scores
+    return terms, bl.mnb_fit(terms, label="lang")
 
 
 def mnb_model(spark, sf_dir):
@@ -203,7 +226,9 @@ QUERIES = {
     "unique_terms": (unique_terms, "WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS t FROM documents) SELECT 'n-1=' || t AS name, count(*) AS df FROM w GROUP BY 1 HAVING count(*) >= 20"),
     "tf_idf": (tf_idf, "WITH w AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS t FROM documents), c AS (SELECT id, t, count(*) AS tf FROM w GROUP BY 1, 2), f AS (SELECT t, count(*) AS df FROM c GROUP BY 1), s AS (SELECT id, ln((SELECT count(*) FROM documents)::DOUBLE / df) * (1 + ln(tf)) AS v FROM c JOIN f USING (t)) SELECT id, round(max(v), 5) AS top, round(sum(v), 4) AS total FROM s GROUP BY 1"),
     "preprocess": (preprocess, "WITH p AS (SELECT doc_id AS id, regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[.,]', '', 'g') AS t FROM documents) SELECT id, length(t) AS chars, length(regexp_replace(t, '[^#]', '', 'g')) AS numbers FROM p"),
-    "hashed_terms": (hashed_terms, f"WITH {_TOK} SELECT doc_id AS id, CAST(len(toks) AS BIGINT) AS n FROM t WHERE len(toks) > 0"),
+    "hashed_terms": (hashed_terms, f"WITH {_TOK}, w AS (SELECT doc_id, 'n-1=' || unnest(toks) AS name FROM t), {_murmur_sql('name', tx.HASH_SEED)} SELECT doc_id AS id, CAST((h >> 1) % 64 AS INTEGER) AS bucket, count(*) AS n FROM w JOIN hashes USING (name) GROUP BY 1, 2"),
+    "tokenise_shape": (tokenise_shape, r"WITH t AS (SELECT doc_id, regexp_extract_all(text, '\p{Lu}+\p{Ll}*|\p{Ll}+|[0-9]+') AS t FROM documents) SELECT doc_id AS id, CAST(len(t) AS BIGINT) AS n, CAST(len(array_to_string(t, '')) AS BIGINT) AS chars, CAST(list_max(list_transform(t, lambda x: len(x))) AS INTEGER) AS longest FROM t"),
+    "tokenise_universal": (tokenise_universal, r"WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ÒÓ', '  '), '[\p{L}\p{Nd}]{1,256}') AS t FROM documents) SELECT doc_id AS id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, CAST(list_max(list_transform(t, lambda x: len(x))) AS INTEGER) AS longest FROM t"),
     "distances": (distances, f"WITH {_PAIR} SELECT a, b, round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))), 6) AS l1, round(sqrt(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS l2, round(1 - list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))), 6) + 0.0 AS cosine FROM p"),
     "kernels": (kernels, f"WITH {_PAIR}, k AS (SELECT a, b, list_inner_product(x, y) AS d, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS q FROM p) SELECT a, b, round(d, 6) AS linear, round(pow(0.5 * d + 1, 2), 5) AS poly, round(exp(-0.1 * q), 6) AS rbf, round((exp(0.2 * d) - 1) / (exp(0.2 * d) + 1), 6) + 0.0 AS sigmoid FROM k"),
     "knn": (knn, f"WITH {_KNN.format('a.vec_id % 25 = 0')} SELECT probe, CAST(rank AS INTEGER) AS rank, neighbour, round(distance, 6) AS distance FROM r WHERE rank <= 5"),

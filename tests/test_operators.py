@@ -104,11 +104,17 @@ def test_text(spark):
     c = F.col("t")
     got = t.select(text.whitespace_tokens(c).alias("w"), text.character_tokens(c).alias("c"), text.shape_tokens(c).alias("s"), text.universal_tokens(c).alias("u"), text.break_tokens(c).alias("b"), text.pattern_tokens(F.lit(",a,,b"), ",").alias("p")).collect()
     assert got[0].w == ["Hello,", "wörld", "3.14", "a.b"] and got[0].c == ["Hello", "wörld", "3.14", "a", "b"] and got[0].s == ["Hello", ",", "wörld", "3", ".", "14", "a", ".", "b"]
-    assert got[0].u[:2] == ["hello", "wörld"] and got[0].b[:3] == ["Hello", ",", "wörld"] and got[0].p == ["a", "", "b"]
+    assert got[0].u[:2] == ["Hello", "wörld"] and got[0].b[:3] == ["Hello", ",", "wörld"] and got[0].p == ["a", "", "b"]
     assert got[1].w == [] and got[2].s is None
     v = ["un", "##aff", "##able", "hello", ","]
     assert text.wordpiece_split("Unaffable héllo, zzz", frozenset(v)) == ["un", "##aff", "##able", "hello", ",", "[UNK]"]
-    assert [text.murmur3(x, s) for x, s in ((b"", 0), (b"", 1), (b"hello", 0), (b"hello, world", 0))] == [0, 0x514E28B7, 0x248BFA47, 0x149BBB7F]
+    assert [int(text.murmur3([x], s)[0]) for x, s in (("", 0), ("", 1), ("hello", 0), ("hello, world", 0))] == [0, 0x514E28B7, 0x248BFA47, 0x149BBB7F]
+    assert text.murmur3(["hello", "", "hello, world", "hello"]).tolist() == [0x248BFA47, 0, 0x149BBB7F, 0x248BFA47]
+    assert text.shape_split("ABc Def12  x__y") == ["ABc", "Def", "12", "x", "__", "y"]
+    assert text.universal_split("通以上 通以上") == ["通", "通以", "以", "以上", "上"] * 2
+    assert text.universal_split("非常感", bigrams=False) == ["非", "常", "感"] and text.universal_split("非常感", unigrams=False) == ["非常", "常感"]
+    assert text.universal_split("a.b 3.1 a4_1.2b Hello!") == ["a", "b", "3", "1", "a4", "1", "2b", "Hello"]
+    assert text.universal_split("4:36 PM", marks=True) == ["4", ":", "36", "PM"] and text.universal_split("x" * 300) == ["x" * 256, "x" * 44]
     terms = {(r["name"], r.value) for r in text.term_features(spark.createDataFrame([(1, "a b a")], "id long, t string"), "id", text.whitespace_tokens(F.col("t")), 2).collect()}
     assert terms == {("n-1=a", 2.0), ("n-1=b", 1.0), ("n-2=a/b", 1.0), ("n-2=b/a", 1.0)}
     hashed = text.hash_features(spark.createDataFrame([(1, "x", 1.0), (1, "y", 2.0)], "id long, name string, value double"), 1)

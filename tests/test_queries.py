@@ -7,7 +7,7 @@ import pytest
 from skarn.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = plans.queries(), plans.oracle_sql()
+QUERIES, SQL = plans.queries(), plans.checked_sql()
 
 
 @pytest.fixture(scope="module")
