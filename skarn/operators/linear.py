@@ -106,46 +106,70 @@ class Linear:
         return [(o, names[i], float(self.weights[i, j])) for j, o in enumerate(self.outputs) for i in np.argsort(-np.abs(self.weights[:-1, j]), kind="stable")[:n].tolist()]
 
 
-def fit(df: DataFrame, features: str, target: str, outputs: list[str], objective: str = "log", optimiser: Optimiser | None = None, epochs: int = 30, weight: str | None = None, average: bool = False) -> Linear:
-    """Trains on array columns: ``features`` of doubles; ``target`` a label of ``outputs``, an array of labels (binary objectives) or an array of doubles (regression)."""
-    kind, n_out = dict(df.dtypes)[target], len(outputs)
+def descend(rows: DataFrame, start: np.ndarray, gradient, optimiser: Optimiser, epochs: int, average: bool = False) -> np.ndarray:
+    """Full-gradient descent over a flat vector of parameters.
+
+    gradient: (batch, parameters) -> (sum of the rows' weighted gradients, sum of their weights), run in the tasks; a
+    pass sums them by parameter.  average: the mean of the steps' parameters.
+    """
+    if len(start) > MOST_PARAMETERS:
+        raise ValueError(f"{len(start)} parameters are beyond the bound of {MOST_PARAMETERS}")
+    w, mean = start.copy(), np.zeros_like(start)
+    for t in range(1, epochs + 1):
+        sent = rows.sparkSession.sparkContext.broadcast(w)
+
+        def run(batches, sent=sent):
+            total, size = np.zeros(len(sent.value)), 0.0
+            for b in batches:
+                g, n = gradient(b, sent.value)
+                total, size = total + g, size + n
+            flat = np.append(total, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "g"])
+
+        g = np.zeros(len(w) + 1)
+        for r in rows.mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toLocalIterator():
+            g[r.i] = r.g
+        w = w - optimiser.step(g[:-1] / max(g[-1], 1e-12) + optimiser.l2 * w, t)
+        mean += (w - mean) / t
+        sent.unpersist()
+    return mean if average else w
+
+
+def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """A column of lists of one length as the rows of a matrix."""
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def encoded(df: DataFrame, features: str, target: str, outputs: list[str], weight: str | None = None) -> tuple[DataFrame, int]:
+    """(x, y, w): features, one-hot labels (or several, or real targets) and weights of the rows that have both; the number of features."""
+    kind = dict(df.dtypes)[target]
     if kind == "string":
         y = F.array(*[(F.col(target) == o).cast("double") for o in outputs])
     elif kind == "array<string>":
         y = F.array(*[F.array_contains(target, o).cast("double") for o in outputs])
     else:
         y = F.col(target).cast("array<double>")
-    rows = df.select(F.col(features).cast("array<double>").alias("x"), y.alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")).where("x IS NOT NULL AND y IS NOT NULL").cache()
+    rows = df.select(F.col(features).cast("array<double>").alias("x"), y.alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), F.col(target).isNotNull().alias("known")).where("x IS NOT NULL AND known").drop("known").cache()
     first = rows.first()
     if first is None:
         raise ValueError("no rows to learn from")
-    n_in = len(first.x) + 1
-    if n_in * n_out > MOST_PARAMETERS:
-        raise ValueError(f"{n_in * n_out} parameters are beyond the bound of {MOST_PARAMETERS}")
-    w, optimiser, loss = np.zeros((n_in, n_out)), optimiser or Optimiser(), OBJECTIVES[objective]
-    mean = np.zeros_like(w)
-    for t in range(1, epochs + 1):
-        sent = df.sparkSession.sparkContext.broadcast(w)
+    return rows, len(first.x)
 
-        def gradient(batches, sent=sent):
-            total, size = np.zeros((n_in, n_out)), 0.0
-            for b in batches:
-                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                x = np.hstack([x, np.ones((len(x), 1))])
-                z = b.column("y").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                u = b.column("w").to_numpy()
-                _, g = loss(x @ sent.value, z)
-                total += x.T @ (g * u[:, None])
-                size += u.sum()
-            flat = np.append(total.ravel(), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "g"])
 
-        g = np.zeros(n_in * n_out + 1)
-        for r in rows.mapInArrow(gradient, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toLocalIterator():
-            g[r.i] = r.g
-        step = g[:-1].reshape(n_in, n_out) / max(g[-1], 1e-12) + optimiser.l2 * w
-        w = w - optimiser.step(step, t)
-        mean += (w - mean) / t
-        sent.unpersist()
+def fit(df: DataFrame, features: str, target: str, outputs: list[str], objective: str = "log", optimiser: Optimiser | None = None, epochs: int = 30, weight: str | None = None, average: bool = False, start: Linear | None = None) -> Linear:
+    """Trains on array columns: ``features`` of doubles; ``target`` a label of ``outputs``, an array of labels (binary objectives) or an array of doubles (regression).
+
+    start: a model to go on from, so that new rows are learnt step by step as they come.
+    """
+    rows, n_in = encoded(df, features, target, outputs, weight)
+    shape, loss = (n_in + 1, len(outputs)), OBJECTIVES[objective]
+
+    def gradient(b, w):
+        x = np.hstack([matrix(b, "x"), np.ones((b.num_rows, 1))])
+        u = b.column("w").to_numpy()
+        _, g = loss(x @ w.reshape(shape), matrix(b, "y"))
+        return (x.T @ (g * u[:, None])).ravel(), u.sum()
+
+    w = descend(rows, np.zeros(shape).ravel() if start is None else start.weights.ravel(), gradient, optimiser or Optimiser(), epochs, average)
     rows.unpersist()
-    return Linear(mean if average else w, outputs, objective)
+    return Linear(w.reshape(shape), outputs, objective)

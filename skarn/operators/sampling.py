@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Rows numbered from 0 in a total order, in two steps: ranges of the order are sorted apart, each set off by the rows before it."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    """Rows numbered from 0 in a total order, in two steps: ranges of the order are sorted apart, each set off by the rows before it.
+
+    The ranges are kept (in memory or on disk): they are read twice, and cut anew they could come out otherwise.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
     low = ranged.groupBy("_part").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
     low = low.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # over partitions
     return ranged.join(F.broadcast(low), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_low")).drop("_part", "_at", "_low", "_n", "_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from skarn.operators import linear, models, sampling, sequences, sparse_linear
+from skarn.operators import crf, factorisation, hdbscan, kernel, lime, linear, models, sampling, sequences, sparse_linear
 from skarn.plans.feature_queries import table
 
 
@@ -63,6 +63,39 @@ def multilabel_relevance(spark, sf_dir):
     return out.groupBy(F.array_join(F.array_sort("labels"), ",").alias("truth"), F.array_join("predicted_labels", ",").alias("predicted")).agg(F.count("*").alias("n"))
 
 
+def factorisation_machine(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    labels = [r[0] for r in p.select("label").distinct().orderBy("label").collect()]
+    return _accuracy(factorisation.fit(p, "v", "label", labels, factors=2, epochs=10).predict(p.drop("x"), "v"), "prediction")
+
+
+def kernel_svm(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    labels = [r[0] for r in p.select("label").distinct().orderBy("label").collect()]
+    return _accuracy(kernel.fit(p, "v", "label", labels, "rbf", landmarks=64, gamma=0.05, epochs=10).predict(p, "v"), "prediction")
+
+
+def crf_roles(spark, sf_dir):
+    """Roles of conversations' turns, from a constant and the length of the text, by a conditional random field."""
+    c = table(spark, sf_dir, "conversations").where("role IS NOT NULL").withColumn("x", F.array(F.log1p(F.length("text")) / 10, (F.col("turn") == 0).cast("double")))
+    labels = [r[0] for r in c.select("role").distinct().orderBy("role").collect()]
+    s = crf.sequences_of(c, "conv_id", ["turn"], "x", "role")
+    pairs = crf.fit(s, "xs", "labels", labels, epochs=10).predict(s, "xs").select(F.explode(F.arrays_zip("labels", "prediction")).alias("p"))
+    return pairs.groupBy(F.col("p.labels").alias("role"), F.col("p.prediction").alias("prediction")).agg(F.count("*").alias("n"))
+
+
+def density_clusters(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hdbscan.hdbscan(e, 5).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def explained_columns(spark, sf_dir):
+    """What a discount rule over orders' lines rests on."""
+    line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount")
+    rule = lambda t: t.withColumn("y", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
+    return _weights(spark, lime.explain_columns(rule, line, {"l_returnflag": "R", "l_quantity": 10.0, "l_discount": 0.05}, k=1))
+
+
 def _weights(spark, found):
     return spark.createDataFrame([(k, round(v, 4)) for k, v in sorted(found.items())], "name string, weight double")
 
@@ -112,6 +145,11 @@ QUERIES = {
     "kmeans": (kmeans, None),
     "gaussian_mixture": (gaussian_mixture, None),
     "multilabel_relevance": (multilabel_relevance, None),
+    "factorisation_machine": (factorisation_machine, None),
+    "kernel_svm": (kernel_svm, None),
+    "crf_roles": (crf_roles, None),
+    "density_clusters": (density_clusters, None),
+    "explained_columns": (explained_columns, None),
     "forward_selection": (forward_selection, "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, corr(l_extendedprice, {c}) AS r, regr_slope(l_extendedprice, {c}) AS s, regr_intercept(l_extendedprice, {c}) AS i FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")) + "), b AS (SELECT * FROM c ORDER BY abs(r) DESC LIMIT 1) SELECT f AS name, round(s, 4) AS weight FROM b UNION ALL SELECT 'bias', round(i, 4) FROM b"),
     "lars_path": (lars_path, None),
     "elastic_net": (elastic_net, None),
