@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skarn.llm import decontamination, langid, line_dedup, packing, secret_scan, simhash, substring_dedup, token_counts, topk
+from skarn.llm import decontamination, langid, license_scan, line_dedup, packing, secret_scan, simhash, substring_dedup, token_counts, topk
 from skarn.llm.components import connected_components
 from skarn.llm.license_scan import scan_licenses
 
@@ -413,6 +413,21 @@ def test_licenses_of_the_gpl_family(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+def test_licenses_whole_texts_shares_and_repeated_rows(spark):
+    mit = license_scan.NOTICES["mit"][-1]
+    words = mit.split()
+    lacking = [("zz" if i % 10 == 0 and i > 12 else w) for i, w in enumerate(words)]  # a tenth of the words are others
+    half = " ".join(words[8 : len(words) // 2])
+    texts = ["x y " + mit, " ".join(lacking), half, license_scan.NOTICES["zlib"][0].title(), " ".join(reversed(words)), "license " * 3000, " ".join(words[: len(words) - 4])]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0]), (None, None), (0, "another text under the mit license")]
+    got = sorted(scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert len(got) == len(rows) and sum(r.doc_id == 0 and r.labels == "mit" for r in got) == 3 and sum(r.doc_id is None for r in got) == 2
+    by = {r.doc_id: r for r in got if r.doc_id}
+    assert (by[1].labels, by[2].labels, by[3].labels, by[4].labels, by[5].labels, by[6].labels) == ("mit", "", "zlib", "", "", "mit")
+    one = next(r for r in got if r.doc_id == 0 and r.n_words > 20)
+    assert one.score == 1.0 and by[3].score == 1.0 and 0.8 <= by[1].score <= 1 and 0.9 < by[6].score <= 1 and by[2].score < 0.8
+
+
 def test_language_id(spark, empty):
     r = random.Random(5)
     kinds = {"en": "the and of to that which ing tion was her".split(), "de": "der die und nicht ein sch keit ung über für".split(), "fr": "le la et une été pour que est où garçon".split()}
