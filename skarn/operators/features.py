@@ -55,6 +55,14 @@ def minimum_cardinality(features: DataFrame, least: int, id_col: str = "id") ->
     return features.join(kept, "name", "left_semi")
 
 
+def minimum_cardinality_sequences(features: DataFrame, least: int, seq_id: str = "seq", pos: str = "pos") -> DataFrame:
+    """The same over sequences, rows being (seq, pos, name, value): a feature counts once an element, and a sequence with an element left without any feature goes as a whole."""
+    kept = features.groupBy("name").agg(F.countDistinct(seq_id, pos).alias("n")).where(F.col("n") >= least).select("name", F.lit(True).alias("_kept"))
+    marked = features.join(kept, "name", "left")
+    bare = marked.groupBy(seq_id, pos).agg(F.max("_kept").alias("k")).where("k IS NULL").select(seq_id).distinct()
+    return marked.where("_kept").drop("_kept").join(bare, seq_id, "left_anti")
+
+
 def removed_features(features: DataFrame, least: int, id_col: str = "id") -> DataFrame:
     """The names that minimum_cardinality takes out, with their counts."""
     return features.groupBy("name").agg(F.countDistinct(id_col).alias("n")).where(F.col("n") < least)

@@ -137,3 +137,9 @@ def summary(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Per metric, over evaluations (rows): mean, sample deviation, min and max."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*")
     return long.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def best(evaluations: DataFrame, metric: str, name: str, highest: bool = True) -> DataFrame:
+    """One row: the evaluation with the highest (or lowest) value of a metric, ties to the first name; null and NaN never win."""
+    known = evaluations.where(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
+    return known.orderBy(F.desc(metric) if highest else F.asc(metric), name).limit(1).select(name, metric)

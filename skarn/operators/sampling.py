@@ -71,3 +71,56 @@ def cross_validate(df: DataFrame, order: list[Column], k: int, evaluate) -> Data
         part = evaluate(folds.where(F.col("fold") != i).drop("fold"), folds.where(F.col("fold") == i).drop("fold")).withColumn("fold", F.lit(i))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def at_positions(df: DataFrame, order: list[Column], indices: DataFrame) -> DataFrame:
+    """The rows at the positions (from 0, in a total order) that ``indices`` lists in its column ``position``, as often as listed; positions beyond the rows give none."""
+    return indices.select(F.col("position").cast("long")).join(position(df, order), "position")
+
+
+def cumulative(df: DataFrame, order: list[Column], weight: Column) -> DataFrame:
+    """``low`` and ``high``: the share of the total weight before each row and with it, in a total order; null and negative weights count as none.
+
+    Ranges of the order are summed apart and set off by the ranges before them; each ``low`` is the ``high`` before it to the last bit.
+    Without any weight both are null.
+    """
+    w = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
+    ranged = df.withColumn("_w", w).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranged.withColumn("_run", F.sum("_w").over(inner)).withColumn("_prior", F.coalesce(F.lag("_run").over(Window.partitionBy("_part").orderBy(*order)), F.lit(0.0)))
+    sums = ranged.groupBy("_part").agg(F.max("_run").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # over ranges
+    sums = sums.withColumn("_before", before).withColumn("_total", F.max(F.col("_before") + F.col("_sum")).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    share = lambda c: F.try_divide(F.col("_before") + F.col(c), F.col("_total"))
+    return ranged.join(F.broadcast(sums), "_part").withColumn("low", share("_prior")).withColumn("high", share("_run")).drop("_w", "_part", "_run", "_prior", "_sum", "_before", "_total")
+
+
+def weighted_bootstrap(df: DataFrame, order: list[Column], weight: Column, n: int, seed: int) -> DataFrame:
+    """``draw`` 0 to n - 1 and the row that each takes: n draws with replacement, by shares of the weight; no draws where there is no weight.
+
+    Draws and rows are sorted together by ranges of the cumulative weight, and each draw takes the last row at or before it:
+    nothing is paired off, and neither a heavy row nor many light ones meet in one task.
+    """
+    columns = df.columns
+    rows = cumulative(df, order, weight).where("high > low").select(F.col("low").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("draw"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    drawn = df.sparkSession.range(n).select(_uniform(F.lit(seed), F.col("id")).alias("at"), F.lit(1).alias("kind"), F.col("id").alias("draw"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    ranged = rows.unionByName(drawn).repartitionByRange("at", "kind").withColumn("_part", F.spark_partition_id()).persist()
+    inside = F.last("row", ignorenulls=True).over(Window.partitionBy("_part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    tails = ranged.groupBy("_part").agg(F.max_by("row", F.when(F.col("kind") == 0, F.col("at"))).alias("_tail"))
+    tails = tails.select("_part", F.last("_tail", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_tail"))  # over ranges
+    found = ranged.withColumn("row", inside).where("kind = 1").join(F.broadcast(tails), "_part").select("draw", F.coalesce("row", "_tail").alias("row"))
+    return found.where("row IS NOT NULL").select("draw", "row.*")
+
+
+def sample_values(df: DataFrame, col: str, n: int, seed: int, by_frequency: bool = False, total: int | None = None) -> DataFrame:
+    """``draw`` and ``value``: n draws with replacement from the distinct non-null values, each alike or by how often it occurs.
+
+    By frequency, ``total`` observations beyond those counted are zeros.
+    """
+    held = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    if by_frequency:
+        if total is not None:
+            zeros = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(0).cast(held.schema["value"].dataType).alias("value"), (F.lit(total) - F.col("n")).alias("n"))
+            held = held.unionByName(zeros.where("n > 0")).groupBy("value").agg(F.sum("n").alias("n"))
+        return weighted_bootstrap(held, [F.col("value")], F.col("n"), n, seed).select("draw", "value")
+    return weighted_bootstrap(held, [F.col("value")], F.lit(1.0), n, seed).select("draw", "value")
