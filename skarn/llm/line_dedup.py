@@ -128,9 +128,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
-    """The lines to drop: (doc, copy, lines) with the numbers of a text's lines that repeat an earlier one, by (doc, line).
+    """The lines to drop: (doc, copy, lines, all) with the numbers of a text's lines that repeat an earlier one, by (doc, line).
 
-    copy: xxhash64 of the text, to tell texts under one id apart.
+    copy: xxhash64 of the text, to tell texts under one id apart.  all: the numbers of
+    all visible lines, where several rows have the id and the text (these go from all of the rows but one); else null.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -138,20 +139,23 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sign(batches):
         for b in slices(batches, most=1 << 19):
-            doc, copy, no, lines = [], [], [], []
+            doc, copy, no, lines, lead = [], [], [], [], []
             for d, c, t in zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), b.column("text").to_pylist()):
+                first = True
                 for i, line in enumerate(t.split("\n")):
                     if line := normal_line(line):
                         doc.append(d)
                         copy.append(c)
                         no.append(i)
                         lines.append(line)
+                        lead.append(first)
+                        first = False
             if lines:
                 h = np.fromiter((xxhash.xxh3_64_intdigest(l.encode("utf-8", "surrogatepass")) for l in lines), np.uint64, len(lines)).view(np.int64)
                 keys = band_keys(lines, k, bands, rows).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(no, pa.int32()), pa.array(h), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))], names=["doc", "copy", "no", "h", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(no, pa.int32()), pa.array(lead, pa.bool_()), pa.array(h), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))], names=["doc", "copy", "no", "lead", "h", "keys"])
 
-    signed = written(texts.mapInArrow(sign, "doc long, copy long, no int, h long, keys array<long>"), "signed")
+    signed = written(texts.mapInArrow(sign, "doc long, copy long, no int, lead boolean, h long, keys array<long>"), "signed")
     # equal lines once; the keys that several of them share
     distinct = signed.groupBy("h").agg(F.first("keys").alias("keys"))
     keyed = distinct.select("h", F.explode("keys").alias("key"))
@@ -206,20 +210,38 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = named.groupBy("part").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     repeated = named.join(kept.drop("n"), "part").select("h", "keep").checkpoint()
     gone = signed.select("doc", "copy", "no", "h").join(if_small(repeated, 64), "h").where(~F.struct("doc", "copy", "no").eqNullSafe(F.col("keep")))
-    gone = written(gone.groupBy("doc", "copy").agg(F.collect_set("no").alias("lines")), "gone")
+    gone = gone.groupBy("doc", "copy").agg(F.collect_set("no").alias("lines")).withColumn("all", F.lit(None).cast("array<int>"))
+    # rows that share id and text: each text's first visible line is met once a row
+    again = signed.where("lead").groupBy("doc", "copy").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("d"), F.col("copy").alias("c")).checkpoint()
+    if not again.isEmpty():
+        theirs = signed.join(if_small(again, 48), F.col("doc").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left_semi")
+        theirs = theirs.groupBy("doc", "copy").agg(F.collect_set("no").alias("all"))
+        gone = gone.unionByName(theirs, allowMissingColumns=True).groupBy("doc", "copy").agg(F.first("lines", True).alias("lines"), F.first("all", True).alias("all"))
+    gone = written(gone, "gone")
     release(signed, groups)
     return gone
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "text", n_col: str | None = None) -> DataFrame:
-    """``docs`` with the lines ``gone`` (see duplicate_lines) taken out of the text; all columns stay, in order."""
-    size = gone.agg(F.sum(F.size("lines") * 4 + 48)).first()[0] or 0
-    side = gone.select(F.col("doc").alias("gone_doc"), F.col("copy").alias("gone_copy"), F.col("lines").alias("gone_lines"))
+    """``docs`` with the lines ``gone`` (see duplicate_lines) taken out of the text; all columns stay, in order.
+
+    Of rows that share id and text all but one lose all visible lines.
+    """
+    length = lambda c: F.coalesce(F.size(c), F.lit(0)) * 4
+    size, repeated = gone.agg(F.sum(length("lines") + length("all") + 56), F.count("all")).first()
+    size = size or 0
+    side = gone.select(F.col("doc").alias("gone_doc"), F.col("copy").alias("gone_copy"), F.col("lines").alias("gone_lines"), F.col("all").alias("gone_all"))
     side = F.broadcast(side) if size <= BROADCAST_BYTES else side
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     i, t = names.index(id_col), names.index(text_col)
     joined = inner.join(side, F.col(f"c{i}").cast("long").eqNullSafe(F.col("gone_doc")) & (F.xxhash64(f"c{t}") == F.col("gone_copy")), "left")
+    if repeated:
+        # the rows are numbered in a written table, so that a lost task can't choose another row
+        same = written(joined.where("gone_all IS NOT NULL").withColumn("row_no", F.monotonically_increasing_id()), "same")
+        stays = same.groupBy("gone_doc", "gone_copy").agg(F.min("row_no").alias("row_no")).select("row_no", F.lit(True).alias("stays"))
+        same = same.join(stays, "row_no", "left").withColumn("gone_lines", F.when(F.col("stays"), F.col("gone_lines")).otherwise(F.col("gone_all")))
+        joined = joined.where("gone_all IS NULL").unionByName(same.drop("row_no", "stays"))
     # by sets: a text of many lines of which many go takes no longer than reading it
     def left(lines):  # a function's parameter, so that the text is split once
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone_lines"), lambda n: F.get(lines, n)), "\n")
@@ -240,7 +262,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     visible character always stay.  Lines link at a Jaccard similarity of
     ``similar`` or more between their sets of ``k``-character shingles (a
     shorter line is one shingle).  Null and empty texts stay as they are; null
-    ids sort first; rows that repeat an id and text are treated alike.  Other columns are
-    passed through; ``n_col`` adds the number of lines removed.
+    ids sort first; of rows that repeat an id and a text one (any) keeps what the text keeps, the others
+    lose all visible lines.  Other columns are passed through; ``n_col`` adds the number of lines removed.
     """
     return drop_lines(docs, duplicate_lines(docs, id_col, text_col, **options), id_col, text_col, n_col=n_col)

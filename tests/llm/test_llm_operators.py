@@ -625,6 +625,19 @@ def test_line_dedup_keeps_one_of_two_texts_under_an_id(spark):
     assert sum("the same first line" in t for t in got) == 1 and "" in got and len(got) == 3
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    """Of rows that share id and text one keeps its lines; blank lines stay in all, other columns and rows too."""
+    rows = [(7, "a line of one text\n\nits other line", i) for i in range(5)] + [(None, "no id at all here", 9)] * 3 + [(8, None, 1)] * 2 + [(9, "", 1)] * 2 + [(9, " \n ", 1)] * 2 + [(3, "its other line", 4)]
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string, row_no int").repartition(parts)
+        got = [tuple(x) for x in line_dedup.dedup_lines(df, n_col="gone").collect()]
+        assert sorted(x[2] for x in got) == sorted(x[2] for x in rows)
+        assert sorted((x[1], x[3]) for x in got if x[0] == 7) == sorted([("", 2)] * 4 + [("a line of one text\n", 1)])
+        assert sorted((x[1], x[3]) for x in got if x[0] is None) == [("", 1)] * 2 + [("no id at all here", 0)]
+        assert [x[1] for x in got if x[0] == 8] == [None] * 2 and sorted(x[1] for x in got if x[0] == 9) == ["", "", " \n ", " \n "]
+        assert [(x[1], x[3]) for x in got if x[0] == 3] == [("its other line", 0)]
+
+
 def test_line_dedup_of_a_text_of_very_many_repeated_lines(spark):
     text = "\n".join(["the line of a log that says the same"] * 200_000 + ["the end"])
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), n_col="gone").first()
