@@ -88,12 +88,17 @@ def average_precision(points: DataFrame) -> DataFrame:
 
 
 def regression(df: DataFrame, truth: Column, predicted: Column, weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
-    """rmse, mae, r2 and explained_variance, weighted; one aggregation of moments."""
+    """rmse, mae, r2 and explained_variance; one aggregation.
+
+    Rows whose truth or prediction is null take no part.  Without weights the variances are merged around the
+    mean; with weights they are differences of moments, which lose digits where the mean is far from 0.
+    """
+    df, plain = df.where((truth - predicted).isNotNull()), weight is None
     w = weight if weight is not None else F.lit(1.0)
     e = truth - predicted
-    m = df.groupBy(*(by or [])).agg(F.sum(w).alias("w"), F.sum(w * e).alias("e"), F.sum(w * e * e).alias("ee"), F.sum(w * F.abs(e)).alias("ae"), F.sum(w * truth).alias("y"), F.sum(w * truth * truth).alias("yy"))
-    var_y = F.col("yy") / F.col("w") - F.pow(F.col("y") / F.col("w"), F.lit(2))
-    var_e = F.col("ee") / F.col("w") - F.pow(F.col("e") / F.col("w"), F.lit(2))
+    m = df.groupBy(*(by or [])).agg(F.sum(w).alias("w"), F.sum(w * e).alias("e"), F.sum(w * e * e).alias("ee"), F.sum(w * F.abs(e)).alias("ae"), F.sum(w * truth).alias("y"), F.sum(w * truth * truth).alias("yy"), F.var_pop(truth).alias("vy"), F.var_pop(e).alias("ve"))
+    var_y = F.col("vy") if plain else F.col("yy") / F.col("w") - F.pow(F.col("y") / F.col("w"), F.lit(2))
+    var_e = F.col("ve") if plain else F.col("ee") / F.col("w") - F.pow(F.col("e") / F.col("w"), F.lit(2))
     return m.select(*(by or []), F.sqrt(F.col("ee") / F.col("w")).alias("rmse"), (F.col("ae") / F.col("w")).alias("mae"), (1 - F.col("ee") / F.col("w") / var_y).alias("r2"), (1 - var_e / var_y).alias("explained_variance"))
 
 

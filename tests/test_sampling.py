@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skarn.operators import features, matrix, metrics, sampling, text, trees
@@ -114,3 +115,16 @@ def test_extra_trees_against_plain_means(spark):
     many = {g.id: g.scores for g in trees.fit(df, "id", "v", "y", 2, members=10, depth=6).predict(df, "v").where("id < 1000").collect()}
     assert np.mean([(many[i][0] > 0.5) == (y[0] > 0.5) for i, _, y in rows]) > 0.95
     assert np.mean([(many[i][1] - y[1]) ** 2 for i, _, y in rows]) < 0.3 * np.var([y[1] for *_, y in rows])
+
+
+def test_regression_far_from_zero(spark):
+    """Values near 1e9 keep the digits of their spread; a null takes no part; weights of one give the same on small values."""
+    y, p = [1.0, 2.0, 4.0, 7.0], [1.5, 2.0, 3.0, 7.5]
+    e = [a - b for a, b in zip(y, p)]
+    var = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)
+    want = (1 - sum(x * x for x in e) / len(e) / var(y), 1 - var(e) / var(y))
+    for far in (0.0, 1e9):
+        df = spark.createDataFrame([(a + far, b + far) for a, b in zip(y, p)] + [(None, 1.0), (1.0, None)], "y double, p double")
+        for weight in (None, *([F.lit(1.0)] if not far else [])):
+            r = metrics.regression(df, F.col("y"), F.col("p"), weight).first()
+            assert r.r2 == pytest.approx(want[0]) and r.explained_variance == pytest.approx(want[1])
