@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -88,3 +89,33 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             held += int(n) + 64
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+#: Groups into which the partial results of tasks are dealt before the driver merges what is left of each.
+FOLDS = 64
+
+
+def folded(df: DataFrame, partial: Callable, merge: Callable, nothing: np.ndarray) -> np.ndarray:
+    """One vector from all rows: ``partial`` turns the Arrow batches of a task into vectors of doubles, ``merge`` makes one of two.
+
+    Tasks are merged FOLDS ways on executors, in the order of their partitions; FOLDS vectors at most reach the driver.  No rows: ``nothing``.
+    """
+
+    def one(batches):
+        for v in partial(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(v, np.float64).tobytes()], pa.binary())], names=["v"])
+
+    def merged(table):
+        at = np.argsort(table.column("part").to_numpy())
+        out = None
+        for raw in table.column("v").take(pa.array(at)).to_pylist():
+            v = np.frombuffer(raw)
+            out = v if out is None else merge(out, v)
+        return pa.table({"v": pa.array([out.tobytes()], pa.binary()), "fold": table.column("fold").slice(0, 1)})
+
+    parts = df.mapInArrow(one, "v binary").withColumn("part", F.spark_partition_id())
+    parts = parts.withColumn("fold", F.pmod("part", F.lit(FOLDS))).groupBy("fold").applyInArrow(merged, "v binary, fold int")
+    out = nothing
+    for i, r in enumerate(sorted(parts.collect(), key=lambda r: r.fold)):
+        out = np.frombuffer(r.v) if not i else merge(out, np.frombuffer(r.v))
+    return out
