@@ -1,18 +1,26 @@
-"""Nearest neighbours, exact, in blocks: probes against all points, no pairs of rows joined.
+"""Nearest neighbours, exact, by a metric index: space is cut into balls, and balls that can't hold a neighbour are never compared.
 
-Points are packed into blocks of bounded size and probes too; each pair of
-blocks keeps k points a probe, and a window ranks what is left: k rows a
-probe and block of points, instead of a row for each pair.
+Points go to the nearest of some pivots drawn from them, and each pivot's points to blocks of bounded size, with the radius
+of each.  Probes are dealt the same way.  A block of probes first meets the blocks nearest to it that hold k points; the worst
+k-th distance found there is a bound, and of the other blocks only those whose ball comes within it are met.
+The index is exact for every metric; without one (cosine) all blocks are met.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from skarn.operators.scratch import Scratch
+
+#: Points of a block, and pivots at most: a bound on what is broadcast (further points make more blocks a pivot).
+BLOCK, MOST_PIVOTS = 2048, 16_384
+#: More than the rounding of a distance.
+SLACK = 1e-9
 
 
 def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
@@ -25,45 +33,146 @@ def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     return np.array([np.sqrt(((b - x) ** 2).sum(axis=1)) for x in a])
 
 
-def _packed(df: DataFrame, id_col: str, vector: str, name: str, extra: str | None = None) -> DataFrame:
-    fields = [F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")]
-    rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(*fields)
-    n = max(1, -(-rows.count() // BLOCK))
-    return rows.withColumn(f"{name}_block", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy(f"{name}_block").agg(F.collect_list(F.struct("id", "v")).alias(name)), n
-
-
-def k_nearest(probes: DataFrame, points: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", distance: str = "L2") -> DataFrame:
+def vectors_of(column) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    at = column.offsets.to_numpy()
+    return column.flatten().to_numpy().reshape(len(at) - 1, -1) if len(at) > 1 else np.empty((0, 1))
+
+
+@dataclass
+class Space:
+    """Points dealt to balls: ``rows`` (id, v, block), and for each block its centre, radius and number of points."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+    counts: np.ndarray
+    distance: str
+
+    @classmethod
+    def build(cls, scratch: Scratch, df: DataFrame, id_col: str, vector: str, distance: str = "L2", pivots: np.ndarray | None = None) -> Space:
+        """Null ids or vectors take no part.  pivots: those of another space; else a sample of the points, one for BLOCK of them."""
+        rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        if pivots is None:
+            n = min(MOST_PIVOTS, max(1, -(-rows.count() // BLOCK)))
+            drawn = rows.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+            pivots = np.array([r.v for r in drawn], float) if drawn else np.empty((0, 1))
+
+        def dealt(batches):
+            for b in batches:
+                x, cell, far = vectors_of(b.column("v")), [], []
+                for a in range(0, len(x), 256):
+                    d = _distances(x[a : a + 256], pivots, distance)
+                    cell.append(d.argmin(axis=1))
+                    far.append(d.min(axis=1))
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(np.concatenate(cell)), pa.array(np.concatenate(far))], names=["id", "v", "cell", "far"])
+
+        near = scratch.write(rows.mapInArrow(dealt, "id long, v array<double>, cell long, far double"), "dealt")
+        cells = near.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()
+        slices = [max(1, -(-r.n // BLOCK)) for r in cells]
+        first = np.append(0, np.cumsum(np.array(slices, np.int64))).tolist()
+        of = df.sparkSession.createDataFrame([(r.cell, first[i], slices[i]) for i, r in enumerate(cells)], "cell long, first long, slices long")
+        block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("slices"))
+        rows = near.join(F.broadcast(of), "cell").select("id", "v", "far", block.alias("block"))  # a row a pivot
+        balls = {r.block: r for r in rows.groupBy("block").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
+        centres = np.repeat(pivots[[r.cell for r in cells]], slices, axis=0) if cells else np.empty((0, 1))
+        radii = np.array([balls[i].far if i in balls else 0.0 for i in range(first[-1])])
+        return cls(rows.select("id", "v", "block"), pivots, centres, radii, np.array([balls[i].n if i in balls else 0 for i in range(first[-1])], int), distance)
+
+    def packed(self, name: str, extra: DataFrame | None = None) -> DataFrame:
+        """(``name``_block, ``name``): each block's points in one row, with the columns that ``extra`` has by id."""
+        rows = self.rows if extra is None else self.rows.join(extra, "id")
+        fields = [c for c in rows.columns if c != "block"]
+        return rows.groupBy(F.col("block").alias(f"{name}_block")).agg(F.collect_list(F.struct(*fields)).alias(name))
+
+    def pairs(self, other: Space, choose) -> DataFrame:
+        """(left_block, right_block) for the blocks of ``other`` that ``choose`` names: a function of own block numbers, centre distances and least distances to all blocks of ``other``."""
+        spark, metric = self.rows.sparkSession, self.distance != "COSINE"
+        mine, theirs, kind = (self.centres, self.radii), (other.centres, other.radii, other.counts), self.distance
+
+        def run(batches):
+            for b in batches:
+                blocks = b.column("left_block").to_numpy()
+                for a in range(0, len(blocks), 64):
+                    some = blocks[a : a + 64]
+                    d = _distances(mine[0][some], theirs[0], kind)
+                    least = np.maximum(0, d - mine[1][some][:, None] - theirs[1][None]) * (1 - SLACK) if metric else np.zeros_like(d)
+                    keep = choose(some, d, least) & (theirs[2] > 0)[None]
+                    i, j = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[i]), pa.array(j.astype(np.int64))], names=["left_block", "right_block"])
+
+        filled = np.flatnonzero(self.counts).tolist()
+        numbers = spark.createDataFrame([(i,) for i in filled], "left_block long")
+        return numbers.mapInArrow(run, "left_block long, right_block long")
+
+
+def _side(b: pa.RecordBatch, c: str, r: int) -> tuple[np.ndarray, np.ndarray]:
+    v = b.column(c)[r].values
+    return v.field("id").to_numpy(), vectors_of(v.field("v"))
+
+
+def k_nearest(probes: DataFrame, points: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", distance: str = "L2", stats: dict | None = None) -> DataFrame:
     """(probe, rank from 1, neighbour, distance): the k points nearest to each probe, ties to the smaller id; a point is its own neighbour.
 
-    Fewer than k points give fewer rows.  Null ids or vectors take no part.
+    Fewer than k points give fewer rows.  Null ids or vectors take no part; all vectors have one length.
+    stats: a dictionary that gets the number of block pairs there are (``pairs``) and how many were compared (``visited``).
     """
-    q, nq = _packed(probes, id_col, vector, "probes")
-    x, _ = _packed(points, id_col, vector, "points")
-    pairs = x.withColumn("probes_block", F.explode(F.sequence(F.lit(0), F.lit(nq - 1).cast("long")))).join(q, "probes_block").select("probes", "points")
+    scratch = Scratch(points.sparkSession)
+    x = Space.build(scratch, points, id_col, vector, distance)
+    empty = points.sparkSession.createDataFrame([], "probe long, rank int, neighbour long, distance double")
+    if not len(x.counts):
+        return empty
+    q = x if probes is points else Space.build(scratch, probes, id_col, vector, distance, x.pivots)
+    if not len(q.counts):
+        return empty
+    return search(scratch, q, x, k, stats)
+
+
+def search(scratch: Scratch, q: Space, x: Space, k: int, stats: dict | None = None) -> DataFrame:
+    """``k_nearest`` between two spaces."""
+    kind, counts = q.distance, x.counts
 
     def best(batches):
         for b in batches:
             for r in range(b.num_rows):
-                side = []
-                for c in ("probes", "points"):
-                    v = b.column(c)[r].values
-                    lists = v.field("v")
-                    at = lists.offsets.to_numpy()
-                    side.append((v.field("id").to_numpy(), lists.flatten().to_numpy().reshape(len(at) - 1, -1)))
-                (qi, qv), (xi, xv) = side
+                (qi, qv), (xi, xv) = _side(b, "left", r), _side(b, "right", r)
                 out = [[], [], []]
                 for a in range(0, len(qi), 256):
-                    d = _distances(qv[a : a + 256], xv, distance)
+                    d = _distances(qv[a : a + 256], xv, kind)
                     for i, row in enumerate(d):
-                        near = np.lexsort((xi, row))[:k]
-                        out[0] += [int(qi[a + i])] * len(near)
-                        out[1] += xi[near].tolist()
-                        out[2] += row[near].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["probe", "neighbour", "distance"])
+                        some = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                        near = some[np.lexsort((xi[some], row[some]))[:k]]
+                        out[0].append(np.full(len(near), qi[a + i]))
+                        out[1].append(xi[near])
+                        out[2].append(row[near])
+                block = np.full(sum(map(len, out[0])), b.column("left_block")[r].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block), *[pa.array(np.concatenate(c)) for c in out]], names=["block", "probe", "neighbour", "distance"])
+
+    left, right = scratch.write(q.packed("left"), "left"), scratch.write(x.packed("right"), "right")
+    met = lambda pairs: left.join(pairs, "left_block").join(right, "right_block").select("left_block", "left", "right").mapInArrow(best, "block long, probe long, neighbour long, distance double")
+
+    def nearest(blocks, d, least):
+        """The blocks of the nearest centres that hold k points."""
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(counts[order], axis=1)
+        keep = np.zeros(d.shape, bool)
+        np.put_along_axis(keep, order, np.column_stack([np.full(len(d), True), held[:, :-1] < k]), axis=1)
+        return keep
 
-    found = pairs.mapInArrow(best, "probe long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("probe", "rank", "neighbour", "distance")
+    first = scratch.write(q.pairs(x, nearest), "pairs")
+    found = scratch.write(met(first).withColumn("rank", rank).where(F.col("rank") <= k), "found")
+    reach = found.groupBy("block", "probe").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("d")).groupBy("block").agg(F.max("d").alias("d"))
+    bound = np.full(len(q.counts), -1.0)
+    for r in reach.collect():  # a number a block
+        bound[r.block] = r.d
+    others = scratch.write(q.pairs(x, lambda blocks, d, least: (least <= bound[blocks][:, None]) & ~nearest(blocks, d, least)), "pairs")
+    if stats is not None:
+        stats |= {"pairs": int((q.counts > 0).sum() * (x.counts > 0).sum()), "visited": first.count() + others.count()}
+    every = found.select("probe", "neighbour", "distance").unionByName(met(others).select("probe", "neighbour", "distance"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("probe", "rank", "neighbour", "distance")
 
 
 def core_distances(points: DataFrame, k: int, **options) -> DataFrame:

@@ -89,6 +89,14 @@ def density_clusters(spark, sf_dir):
     return hdbscan.hdbscan(e, 5).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def density_predict(spark, sf_dir):
+    """Every vector's own cluster and score, and those that the exemplars give it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = hdbscan.fit(e, 5)
+    found = model.predict(e).select(F.col("probe").alias("vec_id"), F.col("cluster").alias("predicted"), F.round("outlier_score", 6).alias("predicted_score"))
+    return model.assigned.select(F.col("id").alias("vec_id"), "cluster", F.round("outlier_score", 6).alias("outlier_score")).join(found, "vec_id")
+
+
 def explained_columns(spark, sf_dir):
     """What a discount rule over orders' lines rests on."""
     line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount")
@@ -149,6 +157,7 @@ QUERIES = {
     "kernel_svm": (kernel_svm, None),
     "crf_roles": (crf_roles, None),
     "density_clusters": (density_clusters, None),
+    "density_predict": (density_predict, None),
     "explained_columns": (explained_columns, None),
     "forward_selection": (forward_selection, "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, corr(l_extendedprice, {c}) AS r, regr_slope(l_extendedprice, {c}) AS s, regr_intercept(l_extendedprice, {c}) AS i FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")) + "), b AS (SELECT * FROM c ORDER BY abs(r) DESC LIMIT 1) SELECT f AS name, round(s, 4) AS weight FROM b UNION ALL SELECT 'bias', round(i, 4) FROM b"),
     "lars_path": (lars_path, None),

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from skarn.operators import crf, factorisation, hdbscan, kernel, lime, linear
+from skarn.operators import crf, factorisation, kernel, lime, linear
 
 
 def _slope(f, p, i, h=1e-6):
@@ -94,30 +94,6 @@ def test_going_on_from_a_model(spark):
     assert np.allclose(whole.weights, more.weights)
 
 
-def test_hdbscan(spark, monkeypatch):
-    monkeypatch.setattr(hdbscan, "BLOCK", 16)
-    r = np.random.default_rng(6)
-    v = np.concatenate([r.normal(0, 0.3, (30, 2)), r.normal(5, 0.3, (25, 2)), [[2.5, -4.0], [9.0, 0.0]]])
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (None, [0.0, 0.0])], "vec_id long, embedding array<double>")
-    ids, edges = hdbscan.spanning_tree(df, 5, "vec_id", "embedding")
-    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
-    core = np.sort(d, axis=1)[:, 4]
-    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
-    inside, total = {0}, 0.0  # Prim's
-    while len(inside) < len(v):
-        w, j = min((reach[i, j], j) for i in inside for j in range(len(v)) if j not in inside)
-        inside.add(j)
-        total += w
-    assert ids.tolist() == list(range(57)) and len(edges) == 56 and abs(edges[:, 2].sum() - total) < 1e-9
-    got = {x.id: x for x in hdbscan.hdbscan(df, 5).collect()}
-    a, b = {got[i].cluster for i in range(30)}, {got[i].cluster for i in range(30, 55)}
-    assert len(a - {0}) == 1 and len(b - {0}) == 1 and a != b and sum(got[i].cluster == 0 for i in range(55)) <= 5
-    assert max(got[i].outlier_score for i in range(55)) <= 1 and min(got[55].outlier_score, got[56].outlier_score) > 0.5
-    near = hdbscan.predict(spark.createDataFrame([(1, [5.1, 5.0])], "vec_id long, embedding array<double>"), df, hdbscan.hdbscan(df, 5)).first()
-    assert near.cluster == (b - {0}).pop()
-    assert hdbscan.hdbscan(df.where("vec_id < 0")).count() == 0
-
-
 def test_explanations(spark):
     predict = lambda t: t.withColumn("y", F.when(F.col("text").contains("good"), 1.0).otherwise(0.0))
     found = lime.explain_text(predict, "a good day for it".split(), spark, k=1)
