@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.operators.neighbours import Space, _distances, search, vectors_of
+from skarn.operators.neighbours import SLACK, Space, _distances, between, exactly, met, search, vectors_of
 from skarn.operators.scratch import Scratch
 
 NOISE = 0
@@ -68,9 +68,9 @@ def spanning_tree(scratch: Scratch, space: Space, k: int) -> tuple[DataFrame, Da
         # an edge that isn't a candidate weighs as much as the k-th distance of its ends: below it the lightest is proved
         chosen, n_proved = best.where("w < far"), best.where("w < far").count()
         if n_proved * 4 < n_own:
-            met = _lightest(scratch, space, state.join(seen, "id").join(best.select("own", F.coalesce("w", F.lit(float("inf"))).alias("most"), (F.coalesce("w", F.lit(float("inf"))) < F.col("far")).alias("proved")), "own"))
-            met = met.unionByName(best.where("w IS NOT NULL").select("own", "w", "a", "b", "up")).groupBy("own").agg(F.min(F.struct("w", "a", "b", "up")).alias("e"))
-            chosen = scratch.write(met.select("own", "e.*"), "chosen")
+            found = _lightest(scratch, space, state.join(seen, "id").join(best.select("own", F.coalesce("w", F.lit(float("inf"))).alias("most"), (F.coalesce("w", F.lit(float("inf"))) < F.col("far")).alias("proved")), "own"))
+            found = found.unionByName(best.where("w IS NOT NULL").select("own", "w", "a", "b", "up")).groupBy("own").agg(F.min(F.struct("w", "a", "b", "up")).alias("e"))
+            chosen = scratch.write(found.select("own", "e.*"), "chosen")
         tree = tree.unionByName(scratch.write(chosen.select("a", "b", "w").distinct(), "tree"))
         up = roots(scratch, chosen.select(F.col("own").alias("id"), "up"))
         state = scratch.write(state.join(up.select(F.col("id").alias("own"), "root"), "own", "left").select("id", F.coalesce("root", "own").alias("own")), "state")
@@ -82,6 +82,26 @@ def _columns(rows) -> tuple[np.ndarray, ...]:
     return rows.field("id").to_numpy(), rows.field("core").to_numpy(), rows.field("own").to_numpy(), vectors_of(rows.field("v"))
 
 
+def _least(v: np.ndarray, core: np.ndarray, own: np.ndarray, vj: np.ndarray, core_j: np.ndarray, own_j: np.ndarray, kind: str):
+    """(row, row of the other side, weight) of each row's lightest pairs with another component, exact and with all ties.
+
+    A matrix product tells which pairs can be the lightest; only these are computed as everywhere else.
+    """
+    low, high = between(v, vj, kind)
+    cores = np.maximum(core[:, None], core_j[None])
+    other = own[:, None] != own_j[None]
+    most = np.where(other, np.maximum(high, cores), np.inf).min(axis=1)
+    x, y = np.nonzero(other & (np.maximum(low, cores) <= most[:, None]))
+    if not len(x):
+        return
+    d = exactly(v[x], vj[y]) if kind == "L2" else low[x, y]
+    w = np.maximum(d, cores[x, y])
+    least = np.full(len(v), np.inf)
+    np.minimum.at(least, x, w)
+    keep = w == least[x]
+    yield from zip(x[keep].tolist(), y[keep].tolist(), w[keep].tolist())
+
+
 def _lightest(scratch: Scratch, space: Space, rows: DataFrame) -> DataFrame:
     """(own, w, a, b, up): for the components that have no proof their lightest edges among all points; ``most`` bounds them from above.
 
@@ -94,31 +114,30 @@ def _lightest(scratch: Scratch, space: Space, rows: DataFrame) -> DataFrame:
         bound[r.block], low[r.block], high[r.block] = -1.0 if r.most is None else r.most, r.low, r.high  # a row a block
     one = low == high
     within = lambda blocks, d, least: (least <= bound[blocks][:, None]) & ~(one[blocks][:, None] & one[None] & (low[blocks][:, None] == low[None]))
-    left, right, kind = scratch.write(space.packed("left", rows), "left"), scratch.write(space.packed("right", rows.select("id", "own", "core")), "right"), space.distance
+    left, right = scratch.write(space.packed("left", rows), "left"), scratch.write(space.packed("right", rows.select("id", "own", "core")), "right")
+    kind, centres, radii = space.distance, space.centres, space.radii
 
     def run(batches):
+        best: dict[int, tuple] = {}
         for b in batches:
             for r in range(b.num_rows):
-                (p, q), best = (b.column(c)[r].values for c in ("left", "right")), {}
-                open_ = np.flatnonzero(p.field("open").to_numpy(zero_copy_only=False))
+                p, q, ball = b.column("left")[r].values, b.column("right")[r].values, b.column("right_block")[r].as_py()
+                most = p.field("most").to_numpy()
+                reach = most if kind == "COSINE" else most - (_distances(centres[ball][None], vectors_of(p.field("v")), kind)[0] - radii[ball]) * (1 - SLACK)
+                open_ = np.flatnonzero(p.field("open").to_numpy(zero_copy_only=False) & (reach >= 0))  # whose component's bound comes to the ball
                 i, ci, oi, vi = (x[open_] for x in _columns(p))
                 j, cj, oj, vj = _columns(q)
                 for s in range(0, len(i), 256):
                     t = slice(s, s + 256)
-                    w = np.maximum(np.maximum(_distances(vi[t], vj, kind), ci[t][:, None]), cj[None])
-                    w[oi[t][:, None] == oj[None]] = np.inf
-                    least = w.min(axis=1)
-                    for x in np.flatnonzero(np.isfinite(least)).tolist():
-                        for y in np.flatnonzero(w[x] == least[x]).tolist():
-                            e = (float(least[x]), int(min(i[s + x], j[y])), int(max(i[s + x], j[y])), int(oj[y]))
-                            own = int(oi[s + x])
-                            if own not in best or e < best[own]:
-                                best[own] = e
-                if best:
-                    yield pa.RecordBatch.from_pylist([{"own": o, "w": e[0], "a": e[1], "b": e[2], "up": e[3]} for o, e in best.items()])
-
-    pairs = space.pairs(space, within)
-    return left.join(pairs, "left_block").join(right, "right_block").select("left", "right").mapInArrow(run, "own long, w double, a long, b long, up long")
+                    for x, y, w in _least(vi[t], ci[t], oi[t], vj, cj, oj, kind):
+                        e = (w, int(min(i[s + x], j[y])), int(max(i[s + x], j[y])), int(oj[y]))
+                        own = int(oi[s + x])
+                        if own not in best or e < best[own]:
+                            best[own] = e
+        if best:
+            yield pa.RecordBatch.from_pylist([{"own": o, "w": e[0], "a": e[1], "b": e[2], "up": e[3]} for o, e in best.items()])
+
+    return met(left, space.pairs(space, within), right).mapInArrow(run, "own long, w double, a long, b long, up long")
 
 
 def noise_levels(scratch: Scratch, tree: DataFrame, ids: DataFrame, least: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from skarn.operators.scratch import Scratch
 
 #: Points of a block, and pivots at most: a bound on what is broadcast (further points make more blocks a pivot).
-BLOCK, MOST_PIVOTS = 2048, 16_384
+BLOCK, MOST_PIVOTS = 1024, 16_384
 #: More than the rounding of a distance.
 SLACK = 1e-9
 
@@ -39,6 +39,33 @@ def vectors_of(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(at) - 1, -1) if len(at) > 1 else np.empty((0, 1))
 
 
+def between(a: np.ndarray, b: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds from below and above of all distances: for L2 from one matrix product, a little wider than its rounding; else the distances themselves."""
+    if kind != "L2":
+        d = _distances(a, b, kind)
+        return d, d
+    square = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None]
+    near, slack = np.maximum(square - 2 * (a @ b.T), 0), 1e-12 * square.max(initial=0)
+    return np.sqrt(np.maximum(near - slack, 0)), np.sqrt(near + slack)
+
+
+def exactly(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """L2 distances of rows to rows."""
+    return np.sqrt(((b - a) ** 2).sum(axis=1))
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, distance) of the k nearest to each row, ties to the smaller id: those that the bounds leave are computed exactly."""
+    low, high = between(q, x, kind)
+    most = np.partition(high, k - 1, axis=1)[:, k - 1] if x.shape[0] > k else np.full(len(q), np.inf)
+    row, col = np.nonzero(low <= most[:, None])
+    d = exactly(q[row], x[col]) if kind == "L2" else low[row, col]
+    order = np.lexsort((ids[col], d, row))
+    row, col, d = row[order], col[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], d[keep]
+
+
 @dataclass
 class Space:
     """Points dealt to balls: ``rows`` (id, v, block), and for each block its centre, radius and number of points."""
@@ -108,6 +135,13 @@ class Space:
         return numbers.mapInArrow(run, "left_block long, right_block long")
 
 
+def met(left: DataFrame, pairs: DataFrame, right: DataFrame) -> DataFrame:
+    """Both blocks of every pair in one row, dealt evenly: the pairs are the work, whatever their bytes, and a block that many meet doesn't stay in one task."""
+    spark = pairs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return pairs.join(left, "left_block").join(right, "right_block").select("left_block", "right_block", "left", "right").repartition(tasks)
+
+
 def _side(b: pa.RecordBatch, c: str, r: int) -> tuple[np.ndarray, np.ndarray]:
     v = b.column(c)[r].values
     return v.field("id").to_numpy(), vectors_of(v.field("v"))
@@ -140,18 +174,15 @@ def search(scratch: Scratch, q: Space, x: Space, k: int, stats: dict | None = No
                 (qi, qv), (xi, xv) = _side(b, "left", r), _side(b, "right", r)
                 out = [[], [], []]
                 for a in range(0, len(qi), 256):
-                    d = _distances(qv[a : a + 256], xv, kind)
-                    for i, row in enumerate(d):
-                        some = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-                        near = some[np.lexsort((xi[some], row[some]))[:k]]
-                        out[0].append(np.full(len(near), qi[a + i]))
-                        out[1].append(xi[near])
-                        out[2].append(row[near])
+                    row, near, d = _nearest(qv[a : a + 256], xv, xi, k, kind)
+                    out[0].append(qi[a + row])
+                    out[1].append(xi[near])
+                    out[2].append(d)
                 block = np.full(sum(map(len, out[0])), b.column("left_block")[r].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(block), *[pa.array(np.concatenate(c)) for c in out]], names=["block", "probe", "neighbour", "distance"])
 
     left, right = scratch.write(q.packed("left"), "left"), scratch.write(x.packed("right"), "right")
-    met = lambda pairs: left.join(pairs, "left_block").join(right, "right_block").select("left_block", "left", "right").mapInArrow(best, "block long, probe long, neighbour long, distance double")
+    compared = lambda pairs: met(left, pairs, right).mapInArrow(best, "block long, probe long, neighbour long, distance double")
 
     def nearest(blocks, d, least):
         """The blocks of the nearest centres that hold k points."""
@@ -163,7 +194,7 @@ def search(scratch: Scratch, q: Space, x: Space, k: int, stats: dict | None = No
 
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("distance", "neighbour"))
     first = scratch.write(q.pairs(x, nearest), "pairs")
-    found = scratch.write(met(first).withColumn("rank", rank).where(F.col("rank") <= k), "found")
+    found = scratch.write(compared(first).withColumn("rank", rank).where(F.col("rank") <= k), "found")
     reach = found.groupBy("block", "probe").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("d")).groupBy("block").agg(F.max("d").alias("d"))
     bound = np.full(len(q.counts), -1.0)
     for r in reach.collect():  # a number a block
@@ -171,7 +202,7 @@ def search(scratch: Scratch, q: Space, x: Space, k: int, stats: dict | None = No
     others = scratch.write(q.pairs(x, lambda blocks, d, least: (least <= bound[blocks][:, None]) & ~nearest(blocks, d, least)), "pairs")
     if stats is not None:
         stats |= {"pairs": int((q.counts > 0).sum() * (x.counts > 0).sum()), "visited": first.count() + others.count()}
-    every = found.select("probe", "neighbour", "distance").unionByName(met(others).select("probe", "neighbour", "distance"))
+    every = found.select("probe", "neighbour", "distance").unionByName(compared(others).select("probe", "neighbour", "distance"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("probe", "rank", "neighbour", "distance")
 
 
