@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Poisson rates above this are drawn in parts.
+RATE = 256
+
+
 def position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Rows numbered from 0 in a total order, in two steps: ranges of the order are sorted apart, each set off by the rows before it.
 
@@ -46,14 +50,25 @@ def bootstrap(df: DataFrame, key: Column, seed: int, weight: Column | None = Non
     """``copies``: how often a row is drawn in a bootstrap, each row by itself (Poisson of mean 1, or of its weight); rows never drawn are gone.
 
     Independent Poisson counts are the limit of n draws with replacement, and need no pass over the others.
+    Null and negative weights count as none; no weight is too large.
     """
-    u = _uniform(F.lit(seed), key)
-    rate = weight if weight is not None else F.lit(1.0)
-    terms, p, copies = F.exp(-rate), F.exp(-rate), F.lit(0)
-    for i in range(1, 12):
-        copies = copies + F.when(u > terms, 1).otherwise(0)
-        p = p * rate / i
-        terms = terms + p
+    rate = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)) if weight is not None else F.lit(1.0)
+    # a Poisson count of a large rate is a sum of counts of equal parts of it, whose exponentials don't vanish
+    parts = F.greatest(F.ceil(rate / RATE), F.lit(1)).cast("int")
+    share = rate / parts
+    # beyond this many the chance is below that of any of the 2**53 numbers drawn
+    most = F.ceil(share + 9 * F.sqrt(share) + 20).cast("int")
+
+    def count(u: Column) -> Column:
+        def next_(s, i):
+            p = s.p * share / i
+            return F.struct(p.alias("p"), (s.upto + p).alias("upto"), (s.n + F.when(u > s.upto, 1).otherwise(0)).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(1), most), F.struct(F.exp(-share).alias("p"), F.exp(-share).alias("upto"), F.lit(0).alias("n")), next_, lambda s: s.n)
+
+    first = count(_uniform(F.lit(seed), key))
+    others = F.aggregate(F.filter(F.sequence(F.lit(0), parts - 1), lambda j: j > 0), F.lit(0), lambda a, j: a + count(_uniform(F.lit(seed), key, j)))
+    copies = first if weight is None else first + others
     return df.withColumn("copies", copies).where("copies > 0")
 
 

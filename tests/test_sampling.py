@@ -128,3 +128,18 @@ def test_regression_far_from_zero(spark):
         for weight in (None, *([F.lit(1.0)] if not far else [])):
             r = metrics.regression(df, F.col("y"), F.col("p"), weight).first()
             assert r.r2 == pytest.approx(want[0]) and r.explained_variance == pytest.approx(want[1])
+
+
+@pytest.mark.parametrize("weight", [0.5, 5.0, 50.0, 5000.0])
+def test_bootstrap_by_weight_has_no_end(spark, weight):
+    """Poisson counts of any rate: mean and variance are the weight."""
+    n = 4000 if weight < 1000 else 400
+    got = [r.copies for r in sampling.bootstrap(spark.range(n).withColumn("w", F.lit(weight)), F.col("id"), 7, F.col("w")).collect()]
+    got += [0] * (n - len(got))
+    mean, var = np.mean(got), np.var(got)
+    assert abs(mean - weight) < 5 * (weight / n) ** 0.5 and 0.75 < var / weight < 1.3
+
+
+def test_bootstrap_without_a_weight(spark):
+    odd = spark.createDataFrame([(1, None), (2, -3.0), (3, 0.0), (4, 1e-300)], "id long, w double")
+    assert sampling.bootstrap(odd, F.col("id"), 1, F.col("w")).count() == 0
