@@ -1,4 +1,4 @@
-"""Linear models by distributed full-gradient steps, for any objective and optimiser.
+"""Linear models by distributed full-gradient steps or mini-batches, for any objective and optimiser.
 
 A step is one pass: each task adds up its rows' loss and gradient with the
 weights it was sent; partial gradients are summed by a shuffle keyed by
@@ -7,6 +7,8 @@ parameter.  What the driver holds is the parameters (features x outputs), whose
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,11 +88,17 @@ class Linear:
 
     def scores(self, df: DataFrame, features: str) -> DataFrame:
         """``df`` with ``scores``: array of the outputs' scores (probabilities for log and binary), in the order of ``outputs``."""
-        dot = lambda j: F.aggregate(F.zip_with(features, F.array(*[F.lit(float(w)) for w in self.weights[:-1, j]]), lambda x, w: x * w), F.lit(float(self.weights[-1, j])), lambda a, x: a + x)
-        z = F.array(*[dot(j) for j in range(len(self.outputs))])
-        from skarn.functions.scalars import sigmoid, softmax
+        sent, shown = df.sparkSession.sparkContext.broadcast(self.weights), {"log": _softmax, "binary": lambda z: 1 / (1 + np.exp(-z))}.get(self.objective, lambda z: z)
+
+        @F.arrow_udf("array<double>")
+        def scored(x: pa.Array) -> pa.Array:
+            w, known = sent.value, np.asarray(x.is_valid())
+            rows = x.filter(pa.array(known))
+            z = shown(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) @ w[:-1] + w[-1]) if len(rows) else np.empty((0, w.shape[1]))
+            made = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, w.shape[1], dtype=np.int32)), pa.array(z.ravel()))
+            return made.take(pa.array(np.maximum(np.cumsum(known) - 1, 0), mask=~known))
 
-        return df.withColumn("scores", softmax(z) if self.objective == "log" else F.transform(z, sigmoid) if self.objective == "binary" else z)
+        return df.withColumn("scores", scored(F.col(features).cast("array<double>")))
 
     def predict(self, df: DataFrame, features: str, threshold: float | None = None) -> DataFrame:
         """``prediction``: the best output (ties to the first); with a threshold, the array of outputs above it."""
@@ -135,13 +143,85 @@ def descend(rows: DataFrame, start: np.ndarray, gradient, optimiser: Optimiser,
     return mean if average else w
 
 
+def descend_in_batches(rows: DataFrame, key: str, start: np.ndarray, gradient, optimiser: Optimiser, epochs: int, batch: int, shards: int, seed: int) -> np.ndarray:
+    """Mini-batch descent: each shard of the rows is streamed in a shuffled order, a step for every ``batch`` rows, and the shards' models are averaged after each epoch.
+
+    Shards (by a hash of ``key``, their number a parameter) and orders (by a hash of key, seed and epoch) don't depend on the
+    partitioning, nor do batches on Arrow's; averages are taken in the order of the shards, weighted by their rows.  So a seed gives one model on any cluster.
+    The optimiser's sums are averaged with the parameters, and its steps count on.  A task holds a batch and the parameters; the driver one shard's at a time.
+    """
+    if len(start) > MOST_PARAMETERS:
+        raise ValueError(f"{len(start)} parameters are beyond the bound of {MOST_PARAMETERS}")
+    n, steps = len(start), 0
+    state = np.concatenate([start, np.zeros(2 * n)])
+    shard = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(shards)).cast("int")
+    for epoch in range(epochs):
+        sent = rows.sparkSession.sparkContext.broadcast((state, steps))
+
+        def run(batches, sent=sent):
+            own, held = None, []
+            model = count = t = None
+
+            def step(some):
+                nonlocal t
+                t += 1
+                g, u = gradient(some, model[0])
+                if u > 0:
+                    model[1].a, model[1].b = model[2], model[3]
+                    model[0] = model[0] - model[1].step(g / u + optimiser.l2 * model[0], t)
+                    model[2], model[3] = model[1].a, model[1].b
+
+            def drained(last):
+                nonlocal held
+                if held:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    at = 0
+                    while table.num_rows - at >= batch or (last and at < table.num_rows):
+                        step(table.slice(at, batch).combine_chunks().to_batches()[0])
+                        at += batch
+                    held = table.slice(at).to_batches()
+
+            def finished():
+                drained(True)
+                full = [np.broadcast_to(np.asarray(v, float), n) for v in (model[0], model[2], model[3])]
+                return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([count]), pa.array([t]), pa.array([np.concatenate(full).tobytes()], pa.binary())], names=["shard", "n", "t", "state"])
+
+            for b in batches:
+                numbers = b.column("shard").to_numpy()
+                for first in np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])).tolist() if len(numbers) else []:
+                    some = b.slice(first, int((numbers[first:] == numbers[first]).sum()))
+                    if own != int(numbers[first]):
+                        if own is not None:
+                            yield finished()
+                        own, held, count, t = int(numbers[first]), [], 0, sent.value[1]
+                        w, a, c = sent.value[0].reshape(3, n)
+                        model = [w, copy.copy(optimiser), a, c]
+                    held.append(some)
+                    count += some.num_rows
+                    if sum(x.num_rows for x in held) >= batch:
+                        drained(False)
+            if own is not None:
+                yield finished()
+
+        order = [F.xxhash64(F.lit(seed), F.lit(epoch), key), F.col(key)]
+        dealt = rows.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", *order)
+        mean, total, steps_now = np.zeros(3 * n), 0, steps
+        for r in dealt.mapInArrow(run, "shard int, n long, t long, state binary").orderBy("shard").toLocalIterator():
+            total += r.n
+            mean += (np.frombuffer(r.state) - mean) * (r.n / total)
+            steps_now = max(steps_now, r.t)
+        state, steps = mean, steps_now
+        sent.unpersist()
+    return state[:n]
+
+
 def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
     """A column of lists of one length as the rows of a matrix."""
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def encoded(df: DataFrame, features: str, target: str, outputs: list[str], weight: str | None = None) -> tuple[DataFrame, int]:
-    """(x, y, w): features, one-hot labels (or several, or real targets) and weights of the rows that have both; the number of features."""
+def encoded(df: DataFrame, features: str, target: str, outputs: list[str], weight: str | None = None, key: str | None = None) -> tuple[DataFrame, int]:
+    """(x, y, w, and the key if there is one): features, one-hot labels (or several, or real targets) and weights of the rows that have both; the number of features."""
     kind = dict(df.dtypes)[target]
     if kind == "string":
         y = F.array(*[(F.col(target) == o).cast("double") for o in outputs])
@@ -149,19 +229,22 @@ def encoded(df: DataFrame, features: str, target: str, outputs: list[str], weigh
         y = F.array(*[F.array_contains(target, o).cast("double") for o in outputs])
     else:
         y = F.col(target).cast("array<double>")
-    rows = df.select(F.col(features).cast("array<double>").alias("x"), y.alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), F.col(target).isNotNull().alias("known")).where("x IS NOT NULL AND known").drop("known").cache()
+    rows = df.select(F.col(features).cast("array<double>").alias("x"), y.alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), F.col(target).isNotNull().alias("known"), *([F.col(key).alias("key")] if key else [])).where("x IS NOT NULL AND known").drop("known").cache()
     first = rows.first()
     if first is None:
         raise ValueError("no rows to learn from")
     return rows, len(first.x)
 
 
-def fit(df: DataFrame, features: str, target: str, outputs: list[str], objective: str = "log", optimiser: Optimiser | None = None, epochs: int = 30, weight: str | None = None, average: bool = False, start: Linear | None = None) -> Linear:
+def fit(df: DataFrame, features: str, target: str, outputs: list[str], objective: str = "log", optimiser: Optimiser | None = None, epochs: int = 30, weight: str | None = None, average: bool = False, start: Linear | None = None, batch: int | None = None, key: str | None = None, shards: int = 32, seed: int = 1) -> Linear:
     """Trains on array columns: ``features`` of doubles; ``target`` a label of ``outputs``, an array of labels (binary objectives) or an array of doubles (regression).
 
     start: a model to go on from, so that new rows are learnt step by step as they come.
+    batch: rows of a step, in shards (see ``descend_in_batches``; ``key`` is a column that tells rows apart); without it a step takes all rows.
     """
-    rows, n_in = encoded(df, features, target, outputs, weight)
+    if batch and not key:
+        raise ValueError("batches need a key")
+    rows, n_in = encoded(df, features, target, outputs, weight, key if batch else None)
     shape, loss = (n_in + 1, len(outputs)), OBJECTIVES[objective]
 
     def gradient(b, w):
@@ -170,6 +253,10 @@ def fit(df: DataFrame, features: str, target: str, outputs: list[str], objective
         _, g = loss(x @ w.reshape(shape), matrix(b, "y"))
         return (x.T @ (g * u[:, None])).ravel(), u.sum()
 
-    w = descend(rows, np.zeros(shape).ravel() if start is None else start.weights.ravel(), gradient, optimiser or Optimiser(), epochs, average)
+    first = np.zeros(shape).ravel() if start is None else start.weights.ravel()
+    if batch:
+        w = descend_in_batches(rows, "key", first, gradient, optimiser or Optimiser(), epochs, batch, shards, seed)
+    else:
+        w = descend(rows, first, gradient, optimiser or Optimiser(), epochs, average)
     rows.unpersist()
     return Linear(w.reshape(shape), outputs, objective)

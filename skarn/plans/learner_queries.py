@@ -37,6 +37,14 @@ def linear_sgd(spark, sf_dir):
     return _accuracy(linear.fit(p, "v", "label", labels, "log", linear.Optimiser("adam", 0.2), epochs=10).predict(p, "v"), "prediction")
 
 
+def minibatch_sgd(spark, sf_dir):
+    """As ``linear_sgd``, by mini-batches of 32 in two passes."""
+    p = _points(spark, sf_dir)
+    labels = [r[0] for r in p.select("label").distinct().orderBy("label").collect()]
+    model = linear.fit(p, "v", "label", labels, "log", linear.Optimiser("adagrad", 0.5), epochs=2, batch=32, key="vec_id")
+    return _accuracy(model.predict(p, "v"), "prediction")
+
+
 def bagging(spark, sf_dir):
     p = _points(spark, sf_dir)
     out = models.bagging(p, _NAMES, "label", 3, "vec_id", maxDepth=4)(p)
@@ -149,6 +157,7 @@ QUERIES = {
     "logistic_regression": (logistic_regression, None),
     "random_forest": (random_forest, None),
     "linear_sgd": (linear_sgd, None),
+    "minibatch_sgd": (minibatch_sgd, None),
     "bagging": (bagging, None),
     "kmeans": (kmeans, None),
     "gaussian_mixture": (gaussian_mixture, None),
