@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.operators.sampling import running
 from skarn.operators.transforms import if_few
 
 
@@ -32,13 +33,8 @@ def dummy_classifier(df: DataFrame, label: str, kind: str = "MOST_FREQUENT", con
 def ranked_value(df: DataFrame, value: str, at) -> DataFrame:
     """One row: the value at 0-based sorted place ``at(n)``; found over counts of distinct values, cut into ranges, so no task sorts all rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    cut = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.collect_list(F.struct("v", "c")).alias("rows"), F.sum("c").alias("s"))
-    every = Window.orderBy("part")  # over ranges
-    cut = cut.withColumn("before", F.sum("s").over(every) - F.col("s")).withColumn("n", F.sum("s").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    cut = cut.withColumn("at", at(F.col("n"))).where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("s")))
-    rows = cut.select("at", "before", F.explode("rows").alias("r"))
-    upto = F.col("before") + F.sum("r.c").over(Window.orderBy("r.v"))  # one range
-    return rows.withColumn("upto", upto).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("r.c") <= F.col("at"))).select(F.col("r.v").alias("value"))
+    placed = running(counts, [F.col("v")], ["c"]).withColumn("at", at(F.col("c_total")))
+    return placed.where((F.col("c_upto") > F.col("at")) & (F.col("c_upto") - F.col("c") <= F.col("at"))).select(F.col("v").alias("value"))
 
 
 def dummy_regressor(df: DataFrame, target: str, kind: str = "MEAN", quartile: float = 0.5, constant: float = 0.0) -> DataFrame:

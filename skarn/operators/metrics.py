@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.scalars import ratio
+from skarn.operators.sampling import running
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -58,16 +59,8 @@ def roc_points(df: DataFrame, positive: Column, score: Column, digits: int = 12)
     each range summed by itself and set off by the sums of those above, so no task sees all thresholds.
     """
     by = df.select(F.round(score.cast("double"), digits).alias("threshold"), positive.cast("int").alias("pos")).groupBy("threshold").agg(F.sum("pos").cast("long").alias("p"), F.sum(1 - F.col("pos")).cast("long").alias("q"))
-    cut = by.repartitionByRange(F.desc("threshold")).withColumn("range", F.spark_partition_id())
-    # range numbers follow the order of scores; the numbers are taken once for both uses
-    cut = cut.groupBy("range").agg(F.collect_list(F.struct("threshold", "p", "q")).alias("rows"), F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    up = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over ranges
-    cut = cut.withColumn("bp", F.coalesce(F.sum("sp").over(up), F.lit(0))).withColumn("bq", F.coalesce(F.sum("sq").over(up), F.lit(0)))
-    every = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cut = cut.withColumn("positives", F.sum("sp").over(every)).withColumn("negatives", F.sum("sq").over(every))
-    rows = cut.select("range", "bp", "bq", "positives", "negatives", F.explode("rows").alias("r"))
-    inner = Window.partitionBy("range").orderBy(F.desc("r.threshold"))
-    return rows.select(F.col("r.threshold").alias("threshold"), (F.col("bp") + F.sum("r.p").over(inner)).alias("tp"), (F.col("bq") + F.sum("r.q").over(inner)).alias("fp"), "positives", "negatives", F.col("r.p").alias("dp"), F.col("r.q").alias("dq"))
+    found = running(by, [F.desc("threshold")], ["p", "q"])
+    return found.select("threshold", F.col("p_upto").alias("tp"), F.col("q_upto").alias("fp"), F.col("p_total").alias("positives"), F.col("q_total").alias("negatives"), F.col("p").alias("dp"), F.col("q").alias("dq"))
 
 
 def auroc(points: DataFrame) -> DataFrame:

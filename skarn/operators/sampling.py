@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.operators.scratch import Scratch
+
 
 #: Poisson rates above this are drawn in parts.
 RATE = 256
@@ -21,6 +23,26 @@ def position(df: DataFrame, order: list[Column], name: str = "position") -> Data
     return ranged.join(F.broadcast(low), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_low")).drop("_part", "_at", "_low", "_n", "_before")
 
 
+def running(df: DataFrame, order: list[Column], values: list[str], by: list[str] | None = None) -> DataFrame:
+    """``v_upto`` and ``v_total`` for each of ``values``: the sum up to a row, it included, in a total order, and over all rows; ``by`` columns each have sums of their own.
+
+    Ranges of the order are cut once, written, and summed apart; what meets beyond a range is one row of sums for it (and each ``by`` in it), never its rows.
+    """
+    by = by or []
+    ranged = Scratch(df.sparkSession).write(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("_part", *by).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    over = Window.partitionBy(*by).orderBy("_part")  # over ranges
+    before = [F.coalesce(F.sum(f"_{v}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_before_{v}") for v in values]
+    total = [F.sum(f"_{v}").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"{v}_total") for v in values]
+    sums = sums.select("_part", *by, *before, *total)
+    own = ranged.select("*", *[F.sum(v).over(inner).alias(f"_own_{v}") for v in values])
+    out = own.join(sums if by else F.broadcast(sums), ["_part", *by])  # without ``by`` a row a range
+    for v in values:
+        out = out.withColumn(f"{v}_upto", F.col(f"_own_{v}") + F.col(f"_before_{v}"))
+    return out.drop("_part", *[f"_own_{v}" for v in values], *[f"_before_{v}" for v in values])
+
+
 def shuffled(key: Column, seed: int) -> list[Column]:
     """A pseudo-random total order of a unique key."""
     return [F.xxhash64(F.lit(seed), key), key]

@@ -7,9 +7,11 @@ what earlier ones made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.operators.sampling import running
+
 
 def simple(op: str, a: float = 0.0, b: float = 0.0):
     """exp, log, add, sub, mul, div by ``a``; binarise; threshold to [a, b]: a function of a column."""
@@ -108,20 +110,13 @@ class Bins(Step):
             half = n // 2
             edges = F.array(*[F.col("m") + F.col("s") * k for k in range(-half + 1, half + 1)])
             return features.groupBy("name").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).select("name", edges.alias("edges"))
-        # ranks by counts of distinct values, in ranges: a range sums its own and is set off by those before it
+        # ranks by running counts of distinct values
         counts = features.groupBy("name", "value").agg(F.count("*").alias("c"))
-        cut = counts.repartitionByRange("name", "value").groupBy(F.spark_partition_id().alias("part"), "name").agg(F.collect_list(F.struct("value", "c")).alias("rows"), F.sum("c").alias("s"))
-        over = Window.partitionBy("name").orderBy("part")  # a row a range
-        cut = cut.withColumn("before", F.sum("s").over(over) - F.col("s")).withColumn("total", F.sum("s").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        step = F.floor(F.col("total") / n)
-        wanted = F.filter(F.array(*[F.least(step * (i + 1), F.col("total") - 1) for i in range(n)]), lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("s")))
-        # only the ranges that hold an edge are looked into
-        ranked = cut.where(F.size(wanted) > 0).select("part", "name", "before", "total", F.explode("rows").alias("r"))
-        upto = F.col("before") + F.sum("r.c").over(Window.partitionBy("part", "name").orderBy("r.value"))
-        ranked = ranked.withColumn("upto", upto).select("name", "total", "upto", F.col("r.value").alias("value"), F.col("r.c").alias("c"))
+        ranked = running(counts, [F.col("value")], ["c"], ["name"])
+        step = F.floor(F.col("c_total") / n)
         # the value at 0-based sorted place (i + 1) * step
-        wanted = F.array(*[F.least(step * (i + 1), F.col("total") - 1) for i in range(n)])
-        placed = ranked.withColumn("at", F.explode(wanted)).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at")))
+        wanted = F.filter(F.array(*[F.least(step * (i + 1), F.col("c_total") - 1) for i in range(n)]), lambda at: (F.col("c_upto") > at) & (F.col("c_upto") - F.col("c") <= at))
+        placed = ranked.select("name", "value", F.explode(wanted).alias("at"))
         return placed.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("edges"))
 
     def apply(self, features, fitted):

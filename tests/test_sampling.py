@@ -143,3 +143,18 @@ def test_bootstrap_by_weight_has_no_end(spark, weight):
 def test_bootstrap_without_a_weight(spark):
     odd = spark.createDataFrame([(1, None), (2, -3.0), (3, 0.0), (4, 1e-300)], "id long, w double")
     assert sampling.bootstrap(odd, F.col("id"), 1, F.col("w")).count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    """Sums in a total order, by group and over all; no task gets the rows of more than a range."""
+    r = np.random.default_rng(3)
+    rows = [(int(g), int(v), int(c)) for g, v, c in zip(r.integers(0, 3, 500), r.permutation(500), r.integers(1, 9, 500))]
+    df = spark.createDataFrame(rows, "g int, v int, c long")
+    for by in ([], ["g"]):
+        out = sampling.running(df, [F.desc("v")], ["c"], by)
+        for x in out.collect():
+            own = [c for g, v, c in rows if not by or g == x.g]
+            assert x.c_total == sum(own) and x.c_upto == sum(c for g, v, c in rows if v >= x.v and (not by or g == x.g))
+    plan = sampling.running(df, [F.col("v")], ["c"])._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    assert sampling.running(df.where("g = 9"), [F.col("v")], ["c"]).count() == 0
