@@ -152,7 +152,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         first = False
             if lines:
                 h = np.fromiter((xxhash.xxh3_64_intdigest(l.encode("utf-8", "surrogatepass")) for l in lines), np.uint64, len(lines)).view(np.int64)
-                keys = band_keys(lines, k, bands, rows).view(np.int64)
+                _, once, own = np.unique(h, return_index=True, return_inverse=True)  # a line that a slice repeats is signed once
+                keys = band_keys([lines[i] for i in once.tolist()], k, bands, rows).view(np.int64)[own]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(no, pa.int32()), pa.array(lead, pa.bool_()), pa.array(h), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))], names=["doc", "copy", "no", "lead", "h", "keys"])
 
     signed = written(texts.mapInArrow(sign, "doc long, copy long, no int, lead boolean, h long, keys array<long>"), "signed")
@@ -169,26 +170,26 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = groups.select("g", F.explode("hs").alias("h"))
     needed = wanted.select("h").distinct().checkpoint()
 
-    def whole(batches):
-        for b in slices(batches):
-            hs, out = [], []
-            for t in b.column("text").to_pylist():
-                for line in {normal_line(l) for l in t.split("\n")}:
-                    if line:
-                        hs.append(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))
-                        out.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(out, pa.string())], names=["h", "line"])
-
-    # the candidates' texts, by another look at the documents that hold them
-    lines = texts.select("text").mapInArrow(whole, "h long, line string").join(if_small(needed, 32), "h", "left_semi")
-    lines = lines.groupBy("h").agg(F.first("line").alias("line"))
+    # the candidates' texts: each from the first place that has it, so that only those lines of those documents are looked at
+    places = signed.select("h", "doc", "copy", "no").join(if_small(needed, 32), "h").groupBy("h").agg(F.min(F.struct("doc", "copy", "no")).alias("at"))
+    places = places.groupBy(F.col("at.doc").alias("at_doc"), F.col("at.copy").alias("at_copy")).agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "h")).alias("wanted"))
+    places = written(places, "places")
+    size = places.agg(F.sum(F.size("wanted") * 16 + 56)).first()[0] or 0
+    side = F.broadcast(places) if size <= BROADCAST_BYTES else places
+    held = texts.join(side, F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("copy") == F.col("at_copy")))
+
+    def picked(lines):  # a function's parameter, so that the text is split once
+        return F.transform("wanted", lambda w: F.struct(w.h.alias("h"), F.get(lines, w.no).alias("line")))
+
+    found = F.get(F.transform(F.array(F.split("text", "\n", -1)), picked), F.lit(0))
+    lines = held.select(F.explode(found).alias("x")).groupBy("x.h").agg(F.first("x.line").alias("line"))
     full = wanted.join(lines, "h").groupBy("g").agg(F.collect_list(F.struct("h", "line")).alias("members"))
 
     def verify(batches):
         for batch in batches:
             members = batch.column("members")
             at = (members.offsets.to_numpy() - members.offsets[0].as_py()).tolist()
-            hs, lines = members.flatten().field("h").to_numpy(), members.flatten().field("line").to_pylist()
+            hs, lines = members.flatten().field("h").to_numpy(), [normal_line(l) for l in members.flatten().field("line").to_pylist()]
             i = 0
             while i < len(at) - 1:  # some groups at a time
                 j = i + 1
@@ -218,7 +219,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         theirs = theirs.groupBy("doc", "copy").agg(F.collect_set("no").alias("all"))
         gone = gone.unionByName(theirs, allowMissingColumns=True).groupBy("doc", "copy").agg(F.first("lines", True).alias("lines"), F.first("all", True).alias("all"))
     gone = written(gone, "gone")
-    release(signed, groups)
+    release(signed, groups, places)
     return gone
 
 
