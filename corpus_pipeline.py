@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.llm.common import release, written
 from skarn.llm.decontamination import decontaminate
 from skarn.llm.langid import UNKNOWN, identify, learn, least_cosine
 from skarn.llm.line_dedup import dedup_lines
@@ -67,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; what a stage keeps is written once to the shared folder, as it is read several times by the next."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            release(held)
+        held = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
