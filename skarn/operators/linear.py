@@ -114,16 +114,16 @@ class Linear:
         return [(o, names[i], float(self.weights[i, j])) for j, o in enumerate(self.outputs) for i in np.argsort(-np.abs(self.weights[:-1, j]), kind="stable")[:n].tolist()]
 
 
-def descend(rows: DataFrame, start: np.ndarray, gradient, optimiser: Optimiser, epochs: int, average: bool = False) -> np.ndarray:
+def descend(rows: DataFrame, start: np.ndarray, gradient, optimiser: Optimiser, epochs: int, average: bool = False, done: int = 0) -> np.ndarray:
     """Full-gradient descent over a flat vector of parameters.
 
     gradient: (batch, parameters) -> (sum of the rows' weighted gradients, sum of their weights), run in the tasks; a
-    pass sums them by parameter.  average: the mean of the steps' parameters.
+    pass sums them by parameter.  average: the mean of the steps' parameters.  done: steps that the optimiser took before.
     """
     if len(start) > MOST_PARAMETERS:
         raise ValueError(f"{len(start)} parameters are beyond the bound of {MOST_PARAMETERS}")
     w, mean = start.copy(), np.zeros_like(start)
-    for t in range(1, epochs + 1):
+    for t in range(done + 1, done + epochs + 1):
         sent = rows.sparkSession.sparkContext.broadcast(w)
 
         def run(batches, sent=sent):
@@ -138,7 +138,7 @@ def descend(rows: DataFrame, start: np.ndarray, gradient, optimiser: Optimiser,
         for r in rows.mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toLocalIterator():
             g[r.i] = r.g
         w = w - optimiser.step(g[:-1] / max(g[-1], 1e-12) + optimiser.l2 * w, t)
-        mean += (w - mean) / t
+        mean += (w - mean) / (t - done)
         sent.unpersist()
     return mean if average else w
 
