@@ -18,11 +18,13 @@ from skarn.operators.linear import Optimiser, descend
 
 def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
+    top = np.where(np.isfinite(top), top, 0.0)  # where no labelling is allowed
+    with np.errstate(divide="ignore"):
+        return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
 
 
-def chain_sums(local: np.ndarray, moves: np.ndarray):
-    """(log of the sum over all labellings, marginals by place, marginals of neighbours by place) of local scores (places, labels) and moves (label, next label)."""
+def _passes(local: np.ndarray, moves: np.ndarray):
+    """(logs of the sums over the labellings that end in each label of each place, of those that go on from there, of all)."""
     n, k = local.shape
     ahead, back = np.empty((n, k)), np.zeros((n, k))
     ahead[0] = local[0]
@@ -30,11 +32,38 @@ def chain_sums(local: np.ndarray, moves: np.ndarray):
         ahead[t] = local[t] + _log_sum(ahead[t - 1][:, None] + moves, 0)
     for t in range(n - 2, -1, -1):
         back[t] = _log_sum(moves + local[t + 1] + back[t + 1], 1)
-    total = _log_sum(ahead[-1], 0)
+    return ahead, back, _log_sum(ahead[-1], 0)
+
+
+def chain_sums(local: np.ndarray, moves: np.ndarray):
+    """(log of the sum over all labellings, marginals by place, marginals of neighbours by place) of local scores (places, labels) and moves (label, next label)."""
+    ahead, back, total = _passes(local, moves)
     pairs = np.exp(ahead[:-1, :, None] + moves + (local + back)[1:, None, :] - total)
     return total, np.exp(ahead + back - total), pairs
 
 
+def chunk_shares(local: np.ndarray, moves: np.ndarray, chunks: list[tuple[int, np.ndarray]]) -> list[float]:
+    """The share of all labellings' weight that has the labels of each chunk (its first place, label numbers) in its places: the sums before and after it are those of all labellings."""
+    ahead, back, total = _passes(local, moves)
+    out = []
+    for begin, y in chunks:
+        inside = moves[y[:-1], y[1:]].sum() + local[np.arange(begin + 1, begin + len(y)), y[1:]].sum()
+        out.append(float(np.exp(ahead[begin, y[0]] + inside + back[begin + len(y) - 1, y[-1]] - total)))
+    return out
+
+
+def spans(labels: list[str]) -> list[tuple[int, int, str]]:
+    """(first place, number of places, kind) of the chunks of labels B-kind, I-kind and others: an I that continues nothing of its kind begins a chunk."""
+    out: list[tuple[int, int, str]] = []
+    for t, label in enumerate(labels):
+        mark, _, kind = label.partition("-")
+        if mark == "I" and kind and out and out[-1][2] == kind and out[-1][0] + out[-1][1] == t:
+            out[-1] = (out[-1][0], out[-1][1] + 1, kind)
+        elif mark in ("B", "I") and kind:
+            out.append((t, 1, kind))
+    return out
+
+
 def best_path(local: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """The labelling of the greatest score."""
     score, came = local[0], []
@@ -89,6 +118,90 @@ class Crf:
 
         return df.withColumn("_p", run(features)).select(*df.columns, "_p.prediction", "_p.confidence")
 
+    def _scores(self) -> tuple[np.ndarray, np.ndarray]:
+        k, n_in = len(self.labels), self.n_in
+        return self.parameters[: (n_in + 1) * k].reshape(n_in + 1, k), self.parameters[(n_in + 1) * k :].reshape(k, k)
+
+    def predict_within(self, df: DataFrame, features: str, allowed: str, forbidden: list[tuple[str, str]] | None = None) -> DataFrame:
+        """As ``predict``, over the labellings that the rules leave, with ``share``: how likely these are without the rules.
+
+        allowed: an array with the labels that each place may have; null, or an end before the sequence's, leaves all.
+        forbidden: pairs of labels that may not follow each other.  Where no labelling is left ``prediction`` and ``confidence`` are null and ``share`` is 0.
+        """
+        w, moves, labels = *self._scores(), self.labels
+        number, ruled = {o: i for i, o in enumerate(labels)}, moves.copy()
+        for a, b in forbidden or []:
+            ruled[number[a], number[b]] = -np.inf
+
+        @F.pandas_udf("struct<prediction:array<string>,confidence:array<double>,share:double>")
+        def run(s, rules):
+            import pandas as pd
+
+            out = []
+            for x, rule in zip(s, rules):
+                if x is None or not len(x):
+                    out.append(([], [], 1.0))
+                    continue
+                local = np.array([np.asarray(v, float) for v in x]) @ w[:-1] + w[-1]
+                within = local.copy()
+                for t, some in enumerate(rule[: len(local)] if rule is not None else []):
+                    if some is not None:
+                        within[t, [i for i, o in enumerate(labels) if o not in set(some)]] = -np.inf
+                ahead, back, left = _passes(within, ruled)
+                if left == -np.inf:
+                    out.append((None, None, 0.0))
+                    continue
+                path = best_path(within, ruled)
+                at = np.arange(len(path))
+                out.append(([labels[i] for i in path], np.exp(ahead[at, path] + back[at, path] - left).tolist(), float(np.exp(left - _passes(local, moves)[2]))))
+            return pd.DataFrame(out, columns=["prediction", "confidence", "share"])
+
+        return df.withColumn("_p", run(F.col(features).cast("array<array<double>>"), F.col(allowed))).select(*df.columns, "_p.prediction", "_p.confidence", "_p.share")
+
+    def predict_chunks(self, df: DataFrame, features: str) -> DataFrame:
+        """``df`` with ``chunks``: those of the best labelling (labels B-kind, I-kind and others), each with how likely all its labels are together."""
+        w, moves, labels = *self._scores(), self.labels
+
+        @F.pandas_udf("array<struct<begin:int,length:int,kind:string,confidence:double>>")
+        def run(s):
+            import pandas as pd
+
+            out = []
+            for x in s:
+                if x is None or not len(x):
+                    out.append([])
+                    continue
+                local = np.array([np.asarray(v, float) for v in x]) @ w[:-1] + w[-1]
+                path = best_path(local, moves)
+                found = spans([labels[i] for i in path])
+                shares = chunk_shares(local, moves, [(b, path[b : b + n]) for b, n, _ in found])
+                out.append([{"begin": b, "length": n, "kind": kind, "confidence": c} for (b, n, kind), c in zip(found, shares)])
+            return pd.Series(out)
+
+        return df.withColumn("chunks", run(F.col(features).cast("array<array<double>>")))
+
+    def score_chunks(self, df: DataFrame, features: str, chunks: str) -> DataFrame:
+        """``df`` with ``chunk_scores``: how likely each given chunk is, an array of (begin, labels); null for one that leaves the sequence, has no labels or an unknown one."""
+        w, moves, number = *self._scores(), {o: i for i, o in enumerate(self.labels)}
+
+        @F.pandas_udf("array<double>")
+        def run(s, given):
+            import pandas as pd
+
+            out = []
+            for x, some in zip(s, given):
+                asked = [(int(c["begin"]), list(c["labels"])) if c is not None and not pd.isna(c["begin"]) and c["labels"] is not None else (-1, []) for c in (some if some is not None else [])]  # pandas makes nulls NaN
+                size = len(x) if x is not None else 0
+                right = [0 <= b and len(y) > 0 and b + len(y) <= size and all(o in number for o in y) for b, y in asked]
+                shares = iter([])
+                if any(right):
+                    local = np.array([np.asarray(v, float) for v in x]) @ w[:-1] + w[-1]
+                    shares = iter(chunk_shares(local, moves, [(b, np.array([number[o] for o in y])) for (b, y), ok in zip(asked, right) if ok]))
+                out.append([next(shares) if ok else None for ok in right])
+            return pd.Series(out)
+
+        return df.withColumn("chunk_scores", run(F.col(features).cast("array<array<double>>"), F.col(chunks)))
+
 
 def fit(df: DataFrame, features: str, target: str, labels: list[str], optimiser: Optimiser | None = None, epochs: int = 40) -> Crf:
     """Trains on rows with ``features`` (array of arrays of doubles) and ``target`` (array of labels) of one length; other rows and unknown labels take no part."""

@@ -83,15 +83,29 @@ def kernel_svm(spark, sf_dir):
     return _accuracy(kernel.fit(p, "v", "label", labels, "rbf", landmarks=64, gamma=0.05, epochs=10).predict(p, "v"), "prediction")
 
 
-def crf_roles(spark, sf_dir):
-    """Roles of conversations' turns, from a constant and the length of the text, by a conditional random field."""
+def _role_chain(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role IS NOT NULL").withColumn("x", F.array(F.log1p(F.length("text")) / 10, (F.col("turn") == 0).cast("double")))
     labels = [r[0] for r in c.select("role").distinct().orderBy("role").collect()]
     s = crf.sequences_of(c, "conv_id", ["turn"], "x", "role")
-    pairs = crf.fit(s, "xs", "labels", labels, epochs=10).predict(s, "xs").select(F.explode(F.arrays_zip("labels", "prediction")).alias("p"))
+    return s, labels, crf.fit(s, "xs", "labels", labels, epochs=10)
+
+
+def crf_roles(spark, sf_dir):
+    """Roles of conversations' turns, from a constant and the length of the text, by a conditional random field."""
+    s, _, model = _role_chain(spark, sf_dir)
+    pairs = model.predict(s, "xs").select(F.explode(F.arrays_zip("labels", "prediction")).alias("p"))
     return pairs.groupBy(F.col("p.labels").alias("role"), F.col("p.prediction").alias("prediction")).agg(F.count("*").alias("n"))
 
 
+def crf_rules(spark, sf_dir):
+    """Every conversation's roles if no role follows itself and the first turn's is known: turns, those right, how likely the rules are without being told, and how likely the true roles of the first two turns."""
+    s, labels, model = _role_chain(spark, sf_dir)
+    s = s.withColumn("rules", F.array(F.slice("labels", 1, 1))).withColumn("chunks", F.array(F.struct(F.lit(0).alias("begin"), F.slice("labels", 1, 2).alias("labels"))))
+    found = model.score_chunks(model.predict_within(s, "xs", "rules", [(o, o) for o in labels]), "xs", "chunks")
+    right = F.size(F.filter(F.zip_with("labels", "prediction", lambda a, b: a == b), lambda same: same))
+    return found.select("conv_id", F.size("labels").alias("turns"), F.when(F.col("prediction").isNotNull(), right).alias("n_right"), F.round("share", 4).alias("share"), F.round(F.get("chunk_scores", F.lit(0)), 4).alias("first_two"))
+
+
 def density_clusters(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return hdbscan.hdbscan(e, 5).groupBy("cluster").agg(F.count("*").alias("n"))
@@ -165,6 +179,7 @@ QUERIES = {
     "factorisation_machine": (factorisation_machine, None),
     "kernel_svm": (kernel_svm, None),
     "crf_roles": (crf_roles, None),
+    "crf_rules": (crf_rules, None),
     "density_clusters": (density_clusters, None),
     "density_predict": (density_predict, None),
     "explained_columns": (explained_columns, None),
