@@ -92,6 +92,33 @@ def loss_and_gradient(x: np.ndarray, y: np.ndarray, p: np.ndarray, k: int):
     return loss, np.concatenate([(x.T @ (single - true)).ravel(), d_moves.ravel()])
 
 
+#: Numbers of one step over sequences of one length, which bounds a task's memory.
+MOST_AT_ONCE = 4_000_000
+
+
+def batch_gradient(x: np.ndarray, y: np.ndarray, p: np.ndarray, k: int) -> np.ndarray:
+    """The sum of the gradients of sequences of one length: features (sequences, places, features) and label numbers (sequences, places)."""
+    m, n, n_in = x.shape
+    at_once = max(1, MOST_AT_ONCE // (n * k * k))
+    if m > at_once:
+        return sum((batch_gradient(x[a : a + at_once], y[a : a + at_once], p, k) for a in range(0, m, at_once)), np.zeros(len(p)))
+    w, moves = p[: (n_in + 1) * k].reshape(n_in + 1, k), p[(n_in + 1) * k :].reshape(k, k)
+    local = x @ w[:-1] + w[-1]
+    ahead, back = np.empty((m, n, k)), np.zeros((m, n, k))
+    ahead[:, 0] = local[:, 0]
+    for t in range(1, n):
+        ahead[:, t] = local[:, t] + _log_sum(ahead[:, t - 1, :, None] + moves, 1)
+    for t in range(n - 2, -1, -1):
+        back[:, t] = _log_sum(moves + (local[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+    total = _log_sum(ahead[:, -1], 1)[:, None, None]
+    off = np.exp(ahead + back - total)
+    off[np.arange(m)[:, None], np.arange(n), y] -= 1
+    d_moves = np.exp(ahead[:, :-1, :, None] + moves + (local + back)[:, 1:, None, :] - total[..., None]).sum(axis=(0, 1))
+    np.subtract.at(d_moves, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+    flat = off.reshape(m * n, k)
+    return np.concatenate([(x.reshape(m * n, n_in).T @ flat).ravel(), flat.sum(axis=0), d_moves.ravel()])
+
+
 class Crf:
     def __init__(self, parameters: np.ndarray, n_in: int, labels: list[str]):
         self.parameters, self.n_in, self.labels = parameters, n_in, labels
@@ -204,7 +231,10 @@ class Crf:
 
 
 def fit(df: DataFrame, features: str, target: str, labels: list[str], optimiser: Optimiser | None = None, epochs: int = 40) -> Crf:
-    """Trains on rows with ``features`` (array of arrays of doubles) and ``target`` (array of labels) of one length; other rows and unknown labels take no part."""
+    """Trains on rows with ``features`` (array of arrays of doubles) and ``target`` (array of labels) of one length; other rows and unknown labels take no part.  Feature vectors of different widths are an error.
+
+    A task takes the sequences of one length together.
+    """
     number = F.transform(target, lambda l: F.array_position(F.array(*[F.lit(o) for o in labels]), l).cast("int") - 1)
     rows = df.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(F.col(features).cast("array<array<double>>").alias("x"), number.alias("y"))
     rows = rows.where((F.size("x") > 0) & (F.size("x") == F.size("y")) & F.forall("y", lambda i: i >= 0)).cache()
@@ -212,11 +242,17 @@ def fit(df: DataFrame, features: str, target: str, labels: list[str], optimiser:
     if first is None:
         raise ValueError("no rows to learn from")
     n_in, k = len(first.x[0]), len(labels)
+    if not rows.where(F.exists("x", lambda v: v.isNull() | (F.size(v) != n_in))).isEmpty():
+        rows.unpersist()
+        raise ValueError("feature vectors of different widths")
 
     def gradient(b, p):
-        total = np.zeros(len(p))
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-            total += loss_and_gradient(np.array(x), np.array(y), p, k)[1]
+        total, places = np.zeros(len(p)), b.column("y").value_lengths().to_numpy()
+        starts = np.cumsum(places) - places
+        x, y = b.column("x").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_in), b.column("y").flatten().to_numpy()
+        for n in np.unique(places).tolist():
+            at = starts[places == n][:, None] + np.arange(n)
+            total += batch_gradient(x[at], y[at], p, k)
         return total, float(b.num_rows)
 
     p = descend(rows, np.zeros((n_in + 1) * k + k * k), gradient, optimiser or Optimiser("adam", 0.1), epochs)

@@ -74,3 +74,25 @@ def test_rules_against_all_labellings(spark, forbidden):
         assert got[i].prediction == [LABELS[k] for k in best]
         assert abs(got[i].share - sum(left.values()) / sum(whole.values())) < 1e-9
         np.testing.assert_allclose(got[i].confidence, [sum(v for s, v in left.items() if s[t] == k) / sum(left.values()) for t, k in enumerate(best)], rtol=1e-9)
+
+
+def test_gradient_of_sequences_together(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    p = r.normal(size=3 * 3 + 9)
+    for n in (1, 4):
+        x, y = r.normal(size=(7, n, 2)), r.integers(0, 3, (7, n))
+        want = sum(crf.loss_and_gradient(a, b, p, 3)[1] for a, b in zip(x, y))
+        np.testing.assert_allclose(crf.batch_gradient(x, y, p, 3), want, rtol=1e-9, atol=1e-12)
+        monkeypatch.setattr(crf, "MOST_AT_ONCE", 40)  # in several steps
+        np.testing.assert_allclose(crf.batch_gradient(x, y, p, 3), want, rtol=1e-9, atol=1e-12)
+    data = [(r.normal(size=(n, 2)).tolist(), [LABELS[k] for k in r.integers(0, 3, n)]) for n in (1, 3, 3, 5, 1)]
+    df = spark.createDataFrame([*data, ([[1.0, 2.0]], ["none"]), (None, ["O"]), ([], [])], "x array<array<double>>, y array<string>")
+    p = np.zeros(18)
+    optimiser = crf.Optimiser("sgd", 0.3)
+    for t in (1, 2):
+        g = sum(crf.loss_and_gradient(np.array(x), np.array([LABELS.index(o) for o in y]), p, 3)[1] for x, y in data) / len(data)
+        p = p - optimiser.step(g, t)
+    np.testing.assert_allclose(crf.fit(df, "x", "y", LABELS, crf.Optimiser("sgd", 0.3), epochs=2).parameters, p, atol=1e-10)
+    mixed = df.union(spark.createDataFrame([([[1.0]], ["O"])], df.schema))
+    with pytest.raises(ValueError, match="widths"):
+        crf.fit(mixed, "x", "y", LABELS)
