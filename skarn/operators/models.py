@@ -7,6 +7,8 @@ outputs, combiners) is composed of it, member by member.
 from __future__ import annotations
 
 import math
+import random
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -26,6 +28,10 @@ from pyspark.sql import functions as F
 
 from skarn.operators.baselines import average, multilabel_vote, vote
 from skarn.operators.sampling import bootstrap
+from skarn.operators.scratch import Scratch
+
+#: What a classifier's pipeline adds to the rows.
+_ADDED = ("_label", "_features", "rawPrediction", "probability", "prediction", "prediction_label")
 
 CLASSIFIERS = {
     "logistic": lambda **o: LogisticRegression(**o),
@@ -65,16 +71,37 @@ def regressor(df: DataFrame, names: list[str], target: str, kind: str = "linear"
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_features"), base]).fit(df)
 
 
-def independent_regressors(df: DataFrame, names: list[str], targets: list[str], kind: str = "linear", **options):
-    """One model a dimension; returns a function that predicts all dimensions of a table."""
-    models = [regressor(df, names, t, kind, **options) for t in targets]
+@dataclass
+class Regressors:
+    """One model a dimension; called with a table, it predicts all dimensions."""
 
-    def predict(rows: DataFrame) -> DataFrame:
-        for m in models:
+    models: list
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        for m in self.models:
             rows = m.transform(rows).drop("_features")
         return rows
 
-    return predict
+
+def independent_regressors(df: DataFrame, names: list[str], targets: list[str], kind: str = "linear", **options):
+    return Regressors([regressor(df, names, t, kind, **options) for t in targets])
+
+
+@dataclass
+class Relevance:
+    """A model or a fixed answer for each label; called with a table, it adds ``predicted_labels``."""
+
+    labels: list[str]
+    models: list
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        for i, m in enumerate(self.models):
+            if isinstance(m, bool):
+                rows = rows.withColumn(f"_p{i}", F.lit(m))
+            else:
+                rows = m.transform(rows).withColumn(f"_p{i}", F.col("prediction_label") == "true").drop(*_ADDED)
+        labels_of = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_p{i}"), l) for i, l in enumerate(self.labels)])))
+        return rows.withColumn("predicted_labels", labels_of).drop(*[f"_p{i}" for i in range(len(self.models))])
 
 
 def independent_multilabel(df: DataFrame, names: list[str], labels_col: str, labels: list[str], kind: str = "logistic", **options):
@@ -84,18 +111,21 @@ def independent_multilabel(df: DataFrame, names: list[str], labels_col: str, lab
     """
     has = df.agg(*[f(F.array_contains(labels_col, l).cast("int")).alias(f"{n}{i}") for i, l in enumerate(labels) for n, f in (("low", F.min), ("high", F.max))]).first()
     fit = lambda l: classifier(df.withColumn("_y", F.array_contains(labels_col, l).cast("string")), names, "_y", kind, **options)
-    models = [(l, fit(l) if has[f"low{i}"] != has[f"high{i}"] else None) for i, l in enumerate(labels)]
+    return Relevance(labels, [fit(l) if has[f"low{i}"] != has[f"high{i}"] else has[f"high{i}"] == 1 for i, l in enumerate(labels)])
+
 
-    def predict(rows: DataFrame) -> DataFrame:
-        for i, (_, m) in enumerate(models):
-            if m is None:
-                rows = rows.withColumn(f"_p{i}", F.lit(has[f"high{i}"] == 1))
-                continue
-            rows = m.transform(rows).withColumn(f"_p{i}", F.col("prediction_label") == "true").drop("_label", "_features", "rawPrediction", "probability", "prediction", "prediction_label")
-        labels_of = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_p{i}"), l) for i, (l, _) in enumerate(models)])))
-        return rows.withColumn("predicted_labels", labels_of).drop(*[f"_p{i}" for i in range(len(models))])
+@dataclass
+class Chain:
+    """A model for each label of ``order``; called with a table, it adds ``predicted_labels``."""
 
-    return predict
+    order: list[str]
+    models: list
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        for i, m in enumerate(self.models):
+            rows = m.transform(rows).withColumn(f"_c{i}", (F.col("prediction_label") == "true").cast("double")).drop(*_ADDED)
+        labels_of = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_c{i}") == 1, l) for i, l in enumerate(self.order)])))
+        return rows.withColumn("predicted_labels", labels_of).drop(*[f"_c{i}" for i in range(len(self.models))])
 
 
 def classifier_chain(df: DataFrame, names: list[str], labels_col: str, order: list[str], kind: str = "logistic", **options):
@@ -103,77 +133,81 @@ def classifier_chain(df: DataFrame, names: list[str], labels_col: str, order: li
     models, train = [], df
     for i, l in enumerate(order):
         inputs = [*names, *[f"_c{j}" for j in range(i)]]
-        models.append((l, classifier(train.withColumn("_y", F.array_contains(labels_col, l).cast("string")), inputs, "_y", kind, **options)))
+        models.append(classifier(train.withColumn("_y", F.array_contains(labels_col, l).cast("string")), inputs, "_y", kind, **options))
         train = train.withColumn(f"_c{i}", F.array_contains(labels_col, l).cast("double"))
+    return Chain(order, models)
+
 
-    def predict(rows: DataFrame) -> DataFrame:
-        for i, (_, m) in enumerate(models):
-            rows = m.transform(rows).withColumn(f"_c{i}", (F.col("prediction_label") == "true").cast("double")).drop("_label", "_features", "rawPrediction", "probability", "prediction", "prediction_label")
-        labels_of = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_c{i}") == 1, l) for i, (l, _) in enumerate(models)])))
-        return rows.withColumn("predicted_labels", labels_of).drop(*[f"_c{i}" for i in range(len(models))])
+@dataclass
+class Chains:
+    """A label holds if more than half of the chains give it."""
 
-    return predict
+    chains: list[Chain]
+    id_col: str
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        votes = None
+        for c in self.chains:
+            p = c(rows).select(self.id_col, "predicted_labels")
+            votes = p if votes is None else votes.unionByName(p)
+        return multilabel_vote(votes, self.id_col, "predicted_labels", len(self.chains))
 
 
 def chain_ensemble(df: DataFrame, names: list[str], labels_col: str, labels: list[str], members: int, id_col: str, seed: int = 1, **options):
     """Chains in several orders; a label holds if more than half of them give it."""
-    import random
-
     draw = random.Random(seed)
-    chains = [classifier_chain(df, names, labels_col, draw.sample(labels, len(labels)), **options) for _ in range(members)]
+    return Chains([classifier_chain(df, names, labels_col, draw.sample(labels, len(labels)), **options) for _ in range(members)], id_col)
 
-    def predict(rows: DataFrame) -> DataFrame:
-        votes = None
-        for c in chains:
-            p = c(rows).select(id_col, "predicted_labels")
-            votes = p if votes is None else votes.unionByName(p)
-        return multilabel_vote(votes, id_col, "predicted_labels", members)
 
-    return predict
+@dataclass
+class Combined:
+    """Members, alike or by their weights: called with a table, it gives the average of ``column`` (regression) or the vote for it."""
+
+    models: list
+    weights: list[float] | None
+    id_col: str
+    column: str
+    regression: bool = False
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        all_rows = None
+        for m, a in zip(self.models, self.weights or [1.0] * len(self.models)):
+            p = m.transform(rows).select(self.id_col, F.col(self.column).alias("p"), F.lit(a).alias("a"))
+            all_rows = p if all_rows is None else all_rows.unionByName(p)
+        return (average if self.regression else vote)(all_rows, self.id_col, "p", F.col("a") if self.weights else None)
 
 
 def bagging(df: DataFrame, names: list[str], output: str, members: int, id_col: str, kind: str = "cart", regression: bool = False, seed: int = 1, **options):
     """Members on bootstraps (copies as weights), combined by vote or average."""
     fit = regressor if regression else classifier
     models = [fit(bootstrap(df, F.col(id_col), seed + i).withColumn("_w", F.col("copies").cast("double")), names, output, kind, weight="_w", **options) for i in range(members)]
-
-    def predict(rows: DataFrame) -> DataFrame:
-        column, all_rows = (f"prediction_{output}" if regression else "prediction_label"), None
-        for m in models:
-            p = m.transform(rows).select(id_col, F.col(column).alias("p"))
-            all_rows = p if all_rows is None else all_rows.unionByName(p)
-        return average(all_rows, id_col, "p") if regression else vote(all_rows, id_col, "p")
-
-    return predict
+    return Combined(models, None, id_col, f"prediction_{output}" if regression else "prediction_label", regression)
 
 
 def samme(df: DataFrame, names: list[str], label: str, members: int, id_col: str, kind: str = "cart", **options):
     """Multi-class AdaBoost: members see the rows that those before got wrong at a greater weight; stops when one is perfect or no better than chance."""
     k = df.select(label).distinct().count()
-    rows, models = df.withColumn("_w", F.lit(1.0)).checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.withColumn("_w", F.lit(1.0)), []
+    scratch = Scratch(df.sparkSession)
+    rows, models, weights = scratch.write(df.withColumn("_w", F.lit(1.0)), "weighted"), [], []
     for _ in range(members):
         m = classifier(rows, names, label, kind, weight="_w", **options)
         wrong = m.transform(rows).select(*rows.columns, (F.col("prediction_label") != F.col(label)).cast("double").alias("_wrong"))
         error = wrong.agg(F.sum(F.col("_w") * F.col("_wrong")) / F.sum("_w")).first()[0]
         if error <= 0:
-            models.append((m, 1.0))
+            models.append(m)
+            weights.append(1.0)
             break
         alpha = math.log((1 - error) / error) + math.log(max(k - 1, 1))
         if alpha <= 0:
             break
-        models.append((m, alpha))
+        models.append(m)
+        weights.append(alpha)
+        if len(models) == members:
+            break
         rows = wrong.withColumn("_w", F.col("_w") * F.exp(alpha * F.col("_wrong"))).drop("_wrong")
         mean = rows.agg(F.avg("_w")).first()[0]
-        rows = rows.withColumn("_w", F.col("_w") / mean)
-
-    def predict(table: DataFrame) -> DataFrame:
-        all_rows = None
-        for m, a in models:
-            p = m.transform(table).select(id_col, F.col("prediction_label").alias("p"), F.lit(a).alias("a"))
-            all_rows = p if all_rows is None else all_rows.unionByName(p)
-        return vote(all_rows, id_col, "p", F.col("a"))
-
-    return predict
+        rows = scratch.write(rows.withColumn("_w", F.col("_w") / mean), "weighted")  # a table for each member: no lineage grows
+    return Combined(models, weights, id_col, "prediction_label")
 
 
 def kmeans(df: DataFrame, names: list[str], k: int, plus_plus: bool = True, iterations: int = 20, seed: int = 1, weight: str | None = None):
