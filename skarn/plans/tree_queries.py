@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skarn.operators import cart
+from skarn.operators import cart, saved
+from skarn.operators.scratch import Scratch
 from skarn.plans.feature_queries import table
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -13,12 +14,17 @@ TARGETS = ["CAST(round(l_extendedprice) AS DOUBLE)", "CAST(round(l_extendedprice
 DEPTH, LEAST = 2, 5
 
 
+COLUMNS = (f"array({', '.join(f'CAST({f} AS DOUBLE)' for f in FEATURES)}) AS v", f"array({', '.join(TARGETS)}) AS y")
+
+
 def _tree(spark, sf_dir, impurity):
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*COLUMNS)
+    return _nodes(spark, cart.fit(rows, "v", "y", len(FEATURES), len(TARGETS), impurity, depth=DEPTH, bins=128, least_node=LEAST))
+
+
+def _nodes(spark, trees):
     """The nodes of a joint tree: feature and threshold where they split, mean outputs."""
-    x = ", ".join(f"CAST({f} AS DOUBLE)" for f in FEATURES)
-    rows = table(spark, sf_dir, "lineitem").selectExpr(f"array({x}) AS v", f"array({', '.join(TARGETS)}) AS y")
-    part = cart.fit(rows, "v", "y", len(FEATURES), len(TARGETS), impurity, depth=DEPTH, bins=128, least_node=LEAST).parts[0]
-    nodes = []
+    part, nodes = trees.parts[0], []
     for (_, node), means in sorted(part.means.items()):  # the model's nodes
         f, cut = part.splits.get((0, node), (None, None))
         nodes.append((node, None if f is None else FEATURES[f], None if cut is None else round(cut, 6), *[round(m, 6) for m in means]))
@@ -33,6 +39,18 @@ def tree_absolute(spark, sf_dir):
     return _tree(spark, sf_dir, "absolute")
 
 
+def tree_made_again(spark, sf_dir):
+    """The tree of a written model, trained again by its record alone."""
+    path = f"{Scratch(spark).path}/tree"
+    source = saved.Source(f"{sf_dir}/lineitem.parquet", COLUMNS)
+    options = dict(vector="v", outputs="y", width=len(FEATURES), n_outputs=len(TARGETS), depth=DEPTH, bins=128, least_node=float(LEAST))
+    saved.save(saved.train(spark, "split_trees", {"df": source}, **options), path)
+    again = saved.reproduce(spark, path)
+    if not again.same():
+        raise ValueError(f"the tree came out otherwise: {again.record} {again.parameters}")
+    return _nodes(spark, again.trained.model)
+
+
 def _sql(impurity: str) -> str:
     union = " UNION ALL ".join(f"SELECT id, node, a, b, {i} AS f, {name} AS x FROM r{{level}}" for i, name in enumerate(FEATURES))
     parts = [f"r0 AS MATERIALIZED (SELECT row_number() OVER () AS id, 1 AS node, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)}, {TARGETS[0]} AS a, {TARGETS[1]} AS b FROM lineitem)"]
@@ -59,4 +77,4 @@ def _sql(impurity: str) -> str:
     return f"WITH {', '.join(parts)} SELECT CAST(m.node AS INTEGER) AS node, {name} AS feature, round(s.cut, 6) AS threshold, round(m.a, 6) AS mean_price, round(m.b, 6) AS mean_paid FROM ({nodes}) m LEFT JOIN ({splits}) s USING (node)"
 
 
-QUERIES = {"tree_squared": (tree_squared, _sql("squared")), "tree_absolute": (tree_absolute, _sql("absolute"))}
+QUERIES = {"tree_squared": (tree_squared, _sql("squared")), "tree_absolute": (tree_absolute, _sql("absolute")), "tree_made_again": (tree_made_again, _sql("squared"))}
