@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.operators.sampling import running
+from skarn.operators.scratch import Scratch
 from skarn.operators.transforms import if_few
 
 
@@ -57,7 +58,7 @@ def mnb_fit(features: DataFrame, labels: DataFrame | None = None, id_col: str =
         joined = features.select(F.col(label).alias("label"), "name", "value", w.alias("w"))
     else:
         joined = features.join(labels.select(id_col, F.col(label).alias("label"), w.alias("w")), id_col)
-    mass = joined.groupBy("label", "name").agg(F.sum(F.col("w") * F.col("value")).alias("mass")).persist()  # read for each of the sums
+    mass = Scratch(features.sparkSession).write(joined.groupBy("label", "name").agg(F.sum(F.col("w") * F.col("value")).alias("mass")), "mass")  # read for each of the sums
     size = mass.select("name").distinct().agg(F.count("*").alias("size"))
     total = mass.groupBy("label").agg(F.sum("mass").alias("total")).crossJoin(F.broadcast(size))  # one row
     base = F.col("total") + alpha * F.col("size")

@@ -15,9 +15,9 @@ RATE = 256
 def position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Rows numbered from 0 in a total order, in two steps: ranges of the order are sorted apart, each set off by the rows before it.
 
-    The ranges are kept (in memory or on disk): they are read twice, and cut anew they could come out otherwise.
+    The ranges are written: they are read twice, and cut anew, after the loss of an executor say, they could come out otherwise.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    ranged = Scratch(df.sparkSession).write(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranges")
     low = ranged.groupBy("_part").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
     low = low.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # over partitions
     return ranged.join(F.broadcast(low), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_low")).drop("_part", "_at", "_low", "_n", "_before")
@@ -122,7 +122,7 @@ def cumulative(df: DataFrame, order: list[Column], weight: Column) -> DataFrame:
     Without any weight both are null.
     """
     w = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
-    ranged = df.withColumn("_w", w).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = Scratch(df.sparkSession).write(df.withColumn("_w", w).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumn("_run", F.sum("_w").over(inner)).withColumn("_prior", F.coalesce(F.lag("_run").over(Window.partitionBy("_part").orderBy(*order)), F.lit(0.0)))
     sums = ranged.groupBy("_part").agg(F.max("_run").alias("_sum"))
@@ -141,7 +141,7 @@ def weighted_bootstrap(df: DataFrame, order: list[Column], weight: Column, n: in
     columns = df.columns
     rows = cumulative(df, order, weight).where("high > low").select(F.col("low").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("draw"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     drawn = df.sparkSession.range(n).select(_uniform(F.lit(seed), F.col("id")).alias("at"), F.lit(1).alias("kind"), F.col("id").alias("draw"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
-    ranged = rows.unionByName(drawn).repartitionByRange("at", "kind").withColumn("_part", F.spark_partition_id()).persist()
+    ranged = Scratch(df.sparkSession).write(rows.unionByName(drawn).repartitionByRange("at", "kind").withColumn("_part", F.spark_partition_id()), "ranges")
     inside = F.last("row", ignorenulls=True).over(Window.partitionBy("_part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     tails = ranged.groupBy("_part").agg(F.max_by("row", F.when(F.col("kind") == 0, F.col("at"))).alias("_tail"))
     tails = tails.select("_part", F.last("_tail", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_tail"))  # over ranges

@@ -7,10 +7,11 @@ what earlier ones made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.operators.sampling import running
+from skarn.operators.scratch import Scratch
 
 
 def simple(op: str, a: float = 0.0, b: float = 0.0):
@@ -27,14 +28,24 @@ def simple(op: str, a: float = 0.0, b: float = 0.0):
     }[op]
 
 
-#: Fitted rows (of up to some hundred bytes each) that are broadcast; more are joined by a shuffle.
-FEW = 200_000
+#: Bytes of a fitted table that is broadcast; more are joined by a shuffle.
+FEW = 64 << 20
+
+
+def _bytes(name: str, kind: str) -> Column:
+    c = F.col(f"`{name}`")
+    if kind == "string":
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if kind.startswith(("array<string", "map<", "struct<", "array<struct")):
+        return F.coalesce(F.octet_length(c.cast("string")), F.lit(0))
+    return 8 * F.greatest(F.size(c), F.lit(0)) if kind.startswith("array<") else F.lit(16)
 
 
 def if_few(fitted: DataFrame) -> DataFrame:
-    """A table by feature name, broadcast if it has FEW rows at most; it is kept for the join that follows its count."""
-    fitted = fitted.persist()
-    return F.broadcast(fitted) if fitted.count() <= FEW else fitted
+    """A table by feature name, broadcast if it has FEW bytes at most; it is written for the join that follows its measure."""
+    fitted = Scratch(fitted.sparkSession).write(fitted, "fitted")
+    size = fitted.agg(F.sum(sum((_bytes(n, t) for n, t in fitted.dtypes), F.lit(32)).cast("long"))).first()[0] or 0
+    return F.broadcast(fitted) if size <= FEW else fitted
 
 
 class Step:

@@ -158,3 +158,14 @@ def test_running_sums_over_ranges(spark):
     plan = sampling.running(df, [F.col("v")], ["c"])._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan
     assert sampling.running(df.where("g = 9"), [F.col("v")], ["c"]).count() == 0
+
+
+def test_few_are_measured_in_bytes(spark, monkeypatch):
+    from skarn.operators import transforms
+
+    some = spark.range(100).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.array(F.lit(1.0), F.lit(2.0)).alias("fitted"), F.struct("id").alias("s"), F.lit(None).cast("string").alias("none"))
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(transforms.if_few(some)) and hinted(transforms.if_few(some.where("id < 0")))
+    monkeypatch.setattr(transforms, "FEW", 100 * (32 + 16))
+    wide = transforms.if_few(some)
+    assert not hinted(wide) and sorted(map(str, wide.collect())) == sorted(map(str, some.collect()))
