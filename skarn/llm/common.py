@@ -91,6 +91,34 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             yield batch.slice(start)
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column's texts end to end, and where each text begins and the last one ends; null: empty."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    _, edges, data = column.buffers()
+    at = np.frombuffer(edges, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def word_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word between ASCII white space begins and ends in such bytes, and each text's number of words."""
+    space = (data == 32) | ((data - np.uint8(9)) < 5)
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    # words end with their text
+    begins, ends = at[:-1][at[:-1] < len(data)], at[1:][at[1:] > 0] - 1
+    first[begins], last[ends] = ~space[begins], ~space[ends]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.diff(np.searchsorted(starts, at))
+
+
+def runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of runs, end to end."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 #: Groups into which the partial results of tasks are dealt before the driver merges what is left of each.
 FOLDS = 64
 

@@ -22,13 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import if_small, release, shared_dir, slices, written
+from skarn.llm.common import flat, if_small, release, runs, shared_dir, slices, word_edges, written
 
 #: Words of an anchor.
 GRAM = 5
 #: Anchors of more places than this are dealt by single windows, each distinct one once.
 HOT = 256
+#: Words of more bytes are hashed one by one.
+LONG = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
 class Automaton:
@@ -95,21 +99,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-_HASHES: dict[bytes, int] = {}
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, kept for words met before (up to a bound)."""
-    if len(_HASHES) > 300_000:
-        _HASHES.clear()
-    get, out = _HASHES.get, []
-    digest = xxhash.xxh3_64_intdigest
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _HASHES[w] = digest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+def _word_hashes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words by where they lie in one buffer: eight bytes after eight, those of all words at once."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = lens.astype(np.uint64) * _MUL
+    some, at, left = np.flatnonzero(lens <= LONG), starts, lens
+    if len(some) < len(lens):
+        for i in np.flatnonzero(lens > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lens[i]].tobytes())
+        at, left = at[some], left[some]
+    while len(some):
+        out[some] = _mixed(out[some] ^ (eights[at] & _KEEP[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return _mixed(out)
 
 
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
@@ -129,34 +133,59 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The places of runs, end to end."""
-    ends = np.cumsum(lens)
-    return np.repeat(starts - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-def _digest(words: list[bytes]) -> bytes:
+def _digest(text: bytes) -> bytes:
     """128-bit cryptographic hash of a text's words: equal for texts that differ in white space alone."""
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    text = text.translate(_BLANKS).strip()
+    if b"  " in text:
+        text = b" ".join(text.split())
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _copy_of(words: list[bytes]) -> int:
+def _copy_of(digest: bytes) -> int:
     """Half of that hash: tells texts under one id apart."""
-    return int.from_bytes(_digest(words)[:8], "little", signed=True)
-
-
-def _anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's anchor: its hash and its place, the first of equals."""
-    grams = _runs(h, GRAM)
-    span = window - GRAM + 1
-    if len(grams) < span:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-    at = np.empty(len(view), np.int64)
-    for i in range(0, len(view), 65536):
-        at[i : i + 65536] = view[i : i + 65536].argmin(axis=1)
-    at += np.arange(len(at))
-    return grams[at], at
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _least(x: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` neighbours, by spans of doubled width."""
+    width = 1
+    while 2 * width <= span:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return np.minimum(x[: len(x) - (span - width)], x[span - width :])
+
+
+class Slice:
+    """Texts of a batch with their words' hashes, and the windows of each with their anchors, all at once."""
+
+    def __init__(self, column: pa.Array, window: int):
+        self.data, self.at = flat(column)
+        starts, ends, self.counts = word_edges(self.data, self.at)
+        #: The texts that have a window, and their first words' places among all words.
+        self.texts = np.flatnonzero(self.counts >= window)
+        self.first = (np.cumsum(self.counts) - self.counts)[self.texts]
+        self.h = _word_hashes(self.data, starts, ends - starts)
+
+    def digests(self) -> list[bytes]:
+        """Of the texts that have a window."""
+        return [_digest(self.data[a:b].tobytes()) for a, b in zip(self.at[self.texts].tolist(), self.at[self.texts + 1].tolist())]
+
+    def anchored(self, window: int):
+        """Runs of windows with one and the same anchor: each run's text (a place in ``texts``), anchor, first and last window (a window is its first word's place).
+
+        The anchor of a window is the gram with the least upper half of its hash, the first of equals.
+        """
+        if not len(self.texts):
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        grams = _runs(self.h, GRAM)
+        low = np.uint64(0xFFFFFFFF)
+        least = _least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), window - GRAM + 1)
+        n = self.counts[self.texts] - window + 1
+        windows = runs(self.first, n)
+        at = (least[windows] & low).astype(np.int64)
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # a window's anchor lies in its own text
+        last = np.append(new[1:], len(at)) - 1
+        return np.repeat(np.arange(len(n)), n)[new], grams[at[new]], windows[new], windows[last]
 
 
 def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, shards: int | None = None) -> DataFrame:
@@ -174,15 +203,16 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def keys(batches):
         for b in slices(batches):
-            doc, copy, digest, anchors = [], [], [], []
-            for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                words = words_of(t)
-                if len(words) >= window:
-                    doc.append(d)
-                    digest.append(_digest(words))
-                    copy.append(int.from_bytes(digest[-1][:8], "little", signed=True))
-                    anchors.append(np.unique(_anchors(_word_hashes(words), window)[0]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(digest, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc", "copy", "digest", "anchors"])
+            s = Slice(b.column("text"), window)
+            text, anchor, _, _ = s.anchored(window)
+            order = np.lexsort((anchor, text))
+            text, anchor = text[order], anchor[order]
+            new = np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]))[: len(text)]
+            text, anchor = text[new], anchor[new]
+            edges = np.searchsorted(text, np.arange(len(s.texts) + 1)).astype(np.int32)
+            digest = s.digests()
+            columns = [b.column("doc").take(pa.array(s.texts)), pa.array(list(map(_copy_of, digest)), pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(anchor.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "copy", "digest", "anchors"])
 
     # one text of each set of exact copies goes on, under its smallest id
     marked = texts.mapInArrow(keys, "doc long, copy long, digest binary, anchors array<long>")
@@ -194,31 +224,20 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def passages(batches):
         """A row for each run of windows with one and the same anchor; built whole columns at a time."""
         for b in slices(batches):
-            docs_, copies, anchors, starts, counts, symbols, contents = [], [], [], [], [], [], []
-            for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                words = words_of(t)
-                if len(words) < window:
-                    continue
-                h = _word_hashes(words)
-                anchor, at = _anchors(h, window)
-                new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                last = np.append(new[1:], len(at)) - 1
-                runs = _runs(h, window)
-                n = last - new + window
-                symbols.append(h.astype(np.uint32)[_spans(new, n)])  # the automaton's alphabet
-                # a passage is shorter than two windows: its first, its last and its length tell all its words
-                contents.append(_mixed(runs[new] * _MUL + runs[last] + n.astype(np.uint64)).view(np.int64))
-                anchors.append(anchor[new].view(np.int64))
-                starts.append(new)
-                counts.append(n)
-                docs_.append(np.full(len(new), d, np.int64))
-                copies.append(np.full(len(new), _copy_of(words), np.int64))
-            if not docs_:
+            s = Slice(b.column("text"), window)
+            text, anchor, first, last = s.anchored(window)
+            if not len(text):
                 continue
-            n = np.concatenate(counts)
+            n = last - first + window
+            symbols = s.h.astype(np.uint32)[runs(first, n)]  # the automaton's alphabet
+            # a passage is shorter than two windows: its first, its last and its length tell all its words
+            hashes = _runs(s.h, window)
+            content = _mixed(hashes[first] * _MUL + hashes[last] + n.astype(np.uint64))
             edges = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
-            binary = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(np.concatenate(symbols))])
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (docs_, copies, anchors)], pa.array(np.concatenate(starts).astype(np.int32)), binary, pa.array(np.concatenate(contents))], names=["doc", "copy", "anchor", "start", "words", "content"])
+            words = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(symbols)])
+            copy = np.array(list(map(_copy_of, s.digests())), np.int64)[text]
+            columns = [b.column("doc").take(pa.array(s.texts[text])), pa.array(copy), pa.array(anchor.view(np.int64)), pa.array((first - s.first[text]).astype(np.int32)), words, pa.array(content.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "copy", "anchor", "start", "words", "content"])
 
     found = texts.mapInArrow(passages, "doc long, copy long, anchor long, start int, words binary, content long")
     found = found.join(if_small(shared, 40), "anchor")
@@ -304,7 +323,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def hashed(batches):
         for b in slices(batches):
-            copy = [None if t is None else _copy_of(words_of(t)) for t in b.column("text").to_pylist()]
+            copy = [None if t is None else _copy_of(_digest(t.encode())) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(copy, pa.int64())], names=["doc_id", "text", "copy"])
 
     keyed = rows.mapInArrow(hashed, "doc_id long, text string, copy long")
