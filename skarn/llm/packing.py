@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import zlib
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skarn.llm.common import if_small, slices, written
+from skarn.llm.common import flat, if_small, runs, slices, word_edges, written
 
 #: A generation of words that a task remembers; words of the last generation but one are forgotten unless met again.
 CACHE_WORDS = 150_000
@@ -35,16 +36,52 @@ CACHE_WORDS = 150_000
 JOINED, MOST_ENTRIES = 512, 1_000_000
 
 
+def _table(values) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+#: Bytes that the tokenizer splits off a letter together, where they end a word; those of special tokens stay.
+MARKS = _table(set(string.punctuation.encode()) - set(b"<|>"))
+#: Last bytes of ß-ö and ø-ÿ, after the first one.
+LATIN_FIRST, LATIN_LAST = 0xC3, _table({*range(0x9F, 0xB7), *range(0xB8, 0xC0)})
+
+
+def pieces_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces of all texts end to end, and each text's number of them: words, lower-cased A-Z, and the marks that end a word after a letter.
+
+    Words of a text that holds what begins a special token keep their case.
+    """
+    raw, at = flat(column)
+    data = np.where((raw - np.uint8(65)) < 26, raw | np.uint8(32), raw)
+    if b"<|" in raw.tobytes():
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if b"<|" in raw[a:b].tobytes():
+                data[a:b] = raw[a:b]
+    starts, ends, _ = word_edges(data, at)
+    marked = MARKS[data]
+    some = np.flatnonzero(marked[ends - 1])
+    # where the marks before a word's end begin
+    cuts = np.maximum.accumulate(np.where(marked, -1, np.arange(len(data))))[ends[some] - 1] + 1
+    cuts = cuts[cuts > starts[some]]
+    cuts = cuts[((data[cuts - 1] - np.uint8(97)) < 26) | (LATIN_LAST[data[cuts - 1]] & (data[cuts - 2] == LATIN_FIRST))]
+    starts, ends = (np.sort(np.concatenate([x, cuts]), kind="stable") for x in (starts, ends))
+    lens = ends - starts
+    edges = np.concatenate([[0], np.cumsum(lens)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(edges), pa.py_buffer(data[runs(starts, lens)])])
+    return words.dictionary_encode(), np.diff(np.searchsorted(starts, at))
+
+
 class WordIds(dict):
-    """Ids of a tokenizer that drops white space and marks the ends of words: word (bytes) -> number of an entry, a run of ids in a pool.
+    """Ids of a tokenizer that drops white space and marks the ends of words: piece (bytes) -> number of an entry, a run of ids in a pool.
 
-    Words are cut at ASCII white space, lower-cased A-Z (the tokenizer does so
-    anyway) and freed of trailing marks that it splits off a letter; each
-    distinct rest is encoded once.
+    Texts are cut at ASCII white space, lower-cased A-Z (the tokenizer does so
+    anyway), and before trailing marks that it splits off a letter; each
+    distinct piece of a slice of texts is looked up once, and encoded where it is new.
     """
 
     plain = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
-    marked = re.compile("(.*[a-zß-öø-ÿ])([.,;:!?]+)", re.S)
 
     def __init__(self, path: str, end_id: int):
         self.full = Tokenizer.from_file(path)
@@ -62,7 +99,7 @@ class WordIds(dict):
 
     def reset(self):
         self.clear()
-        self.old, self.parts, self.old_parts, self.new = {}, {}, {}, []
+        self.old, self.new = {}, []
         self.pool, self.used = np.array([self.end_id], np.uint32), 1
         # entry 0 is the end id alone
         self.starts, self.lens, self.entries = np.zeros(1024, np.int64), np.ones(1024, np.int64), 1
@@ -82,7 +119,7 @@ class WordIds(dict):
         order = []
         for i in range(0, len(plain), JOINED):
             some = plain[i : i + JOINED]
-            found = np.array(self.bare.encode_batch_fast([" ".join([words[j].lower() for j in some])], add_special_tokens=False)[0].ids, np.uint32)
+            found = np.array(self.bare.encode_batch_fast([" ".join([words[j] for j in some]).lower()], add_special_tokens=False)[0].ids, np.uint32)
             lens[some] = np.diff(np.flatnonzero(self.last[found]), prepend=-1)
             ids.append(found)
             order += some
@@ -90,17 +127,18 @@ class WordIds(dict):
         is_plain[plain] = True
         other = np.flatnonzero(~is_plain).tolist()
         for j, e in zip(other, self.full.encode_batch_fast([words[j] for j in other], add_special_tokens=False)):
-            lens[j] = len(e.ids)
-            ids.append(np.array(e.ids, np.uint32))
+            found = np.array(e.ids, np.uint32)
+            lens[j] = len(found)
+            ids.append(found)
         order += other
         # back into the words' order
         flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
         place = np.empty(len(words), np.int64)
         place[order] = np.cumsum(lens[order]) - lens[order]
-        return flat[_runs(place, lens)], lens
+        return flat[runs(place, lens)], lens
 
-    def append(self, ids: np.ndarray, lens: np.ndarray) -> int:
-        """Puts runs of ids into the pool; the number of their first entry."""
+    def append(self, ids: np.ndarray, lens: np.ndarray):
+        """Puts runs of ids into the pool, an entry each."""
         total, n = len(ids), len(lens)
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + 2 * total, np.uint32)])
@@ -112,68 +150,24 @@ class WordIds(dict):
         self.starts[at], self.lens[at] = self.used + np.cumsum(lens) - lens, lens
         self.used += total
         self.entries += n
-        return self.entries - n
-
-    def learn(self):
-        """Encodes the words met since the last call; their entries have been numbered already."""
-        words, self.new = self.new, []
-        if not words:
-            return
-        split = []
-        for w in words:
-            t = w.decode()
-            m = self.marked.fullmatch(t)
-            split.append(m.groups() if m else (t,))
-        first = self.append(np.empty(0, np.uint32), np.zeros(len(words), np.int64))  # the words' own entries
-        fresh: dict[str, int] = {}
-        for ps in split:
-            for p in ps:
-                if p not in self.parts and p not in fresh:
-                    if (at := self.old_parts.get(p)) is not None:
-                        self.parts[p] = at
-                    else:
-                        fresh[p] = len(fresh)
-        ids, lens = self.encoded(list(fresh))
-        base = self.append(ids, lens)
-        self.parts.update((p, base + i) for p, i in fresh.items())
-        head = np.array([self.parts[ps[0]] for ps in split], np.int64)
-        own = np.arange(first, first + len(words))
-        self.starts[own], self.lens[own] = self.starts[head], self.lens[head]
-        # words with marks: both runs, one after the other
-        two = [i for i, ps in enumerate(split) if len(ps) == 2]
-        if two:
-            pairs = np.array([[self.parts[p] for p in split[i]] for i in two], np.int64)
-            n = self.lens[pairs]
-            at = self.append(self.pool[_runs(self.starts[pairs].ravel(), n.ravel())], n.sum(axis=1))
-            new = np.arange(at, at + len(two))
-            self.starts[own[two]], self.lens[own[two]] = self.starts[new], self.lens[new]
-
-    def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, each closed by the end id, and each text's number of ids."""
+
+    def documents(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each closed by the end id, and each text's number of ids; null: empty."""
         if self.entries > MOST_ENTRIES:
             self.reset()
         if len(self) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.old_parts, self.parts = self.parts, {}
-        get, index, counts = self.__getitem__, [], []
-        for t in texts:
-            words = (t if b"<|" in t else t.lower()).split()
-            index.extend(map(get, words))
-            index.append(0)
-            counts.append(len(words) + 1)
-        self.learn()
-        at = np.array(index, np.int64)
+        words, counts = pieces_of(column)
+        numbers = np.fromiter(map(self.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        if self.new:  # those met for the first time; their entries have been numbered already
+            self.append(*self.encoded(b"\n".join(self.new).decode().split("\n")))
+            self.new = []
+        ends = np.cumsum(counts)
+        at = np.insert(numbers[words.indices.to_numpy()], ends, 0)
         lens = self.lens[at]
-        per_text = np.add.reduceat(lens, np.cumsum([0, *counts[:-1]])) if texts else np.empty(0, np.int64)
-        return self.pool[_runs(self.starts[at], lens)], per_text
-
-
-def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The places of runs, end to end."""
-    ends = np.cumsum(lens)
-    return np.repeat(starts - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+        per_text = np.add.reduceat(lens, ends - counts + np.arange(len(counts)))
+        return self.pool[runs(self.starts[at], lens)], per_text
 
 
 @lru_cache(2)
@@ -193,7 +187,7 @@ def cut(doc: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, wi
     doc, start, at, size = doc[first], start[first], at[first], np.add.reduceat(size, first)
     parts = (at + size - 1) // window - at // window + 1
     i = np.repeat(np.arange(len(at)), parts)
-    number = _runs(at // window, parts)
+    number = runs(at // window, parts)
     edge = np.maximum(at[i], number * window)
     length = np.minimum(at[i] + size[i], (number + 1) * window) - edge
     return doc[i], start[i] + edge - at[i], length, edge
@@ -231,18 +225,17 @@ def pack_documents(
         sent: dict[str | None, int] = {}
         try:
             for batch in slices(batches):
-                texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-                ids, counts = cache.documents(texts)
+                ids, counts = cache.documents(batch.column("text"))
                 narrow = ids.astype(np.uint16) if len(ids) == 0 or ids.max() < 1 << 16 else ids
                 ends = np.cumsum(counts)
                 at = []
                 for s, n in zip(batch.column("source").to_pylist(), counts.tolist()):
                     at.append(sent.get(s, 0))
                     sent[s] = at[-1] + n
-                number = np.arange(row, row + len(texts))
-                row += len(texts)
+                number = np.arange(row, row + batch.num_rows)
+                row += batch.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(texts), block, np.int64)), pa.array(number), batch.column("doc_id"), batch.column("source"), pa.array(counts), pa.array(at, pa.int64()), pa.array([narrow[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())],
+                    [pa.array(np.full(batch.num_rows, block, np.int64)), pa.array(number), batch.column("doc_id"), batch.column("source"), pa.array(counts), pa.array(at, pa.int64()), pa.array([narrow[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())],
                     names=["block", "row", "doc_id", "source", "n", "at", "ids"],
                 )
         finally:

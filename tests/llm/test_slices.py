@@ -4,9 +4,11 @@ import hashlib
 import random
 import sys
 
+import public_tokenizers
 import pyarrow as pa
+from tokenizers import Tokenizer
 
-from skarn.llm import substring_dedup
+from skarn.llm import packing, substring_dedup
 
 
 def _calls(f):
@@ -53,3 +55,26 @@ def test_substring_slices_equal_single_windows_without_a_call_a_word():
     # the work of a task isn't a call for each word
     long = pa.array([" ".join(f"w{r.randrange(10**6)}" for _ in range(20_000))])
     assert _calls(lambda: substring_dedup.Slice(long, 13).anchored(13)) < 500
+
+
+def test_packing_ids_of_slices_equal_the_tokenizers_without_a_call_a_word():
+    r = random.Random(19)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, ids = Tokenizer.from_file(path), packing.WordIds(path, 1)
+    odd = ["Don't", "'s", "it's", "<|endoftext|>", "<|ENDOFTEXT|>", "ab<|endoftext|>.", "<|", "|>", "é", "e\u0301", "É", "ß", "ÿ", "÷", "×", "日本語", "ΑΣ", "İ", "\u0301", "x1", "_", "\x00", "\x1c", "\x85", "a\xa0b", "\u2028", "ﬁ", "***", ".,", "...", "'", '"', "<", ">", "|", "=", "\u0338", "the", "Erlying", "QUE"]
+    blanks = ["", "", "", " ", "\n", "\t\r", "\x0b\x0c", "  "]
+    for seed in range(40):
+        texts = [None, "", " \n"] + ["".join(r.choice(odd) + r.choice(blanks) for _ in range(r.randrange(60))) for _ in range(12)]
+        r.shuffle(texts)
+        if seed == 20:
+            ids.reset()
+        column = pa.array(["out", *texts, "out"]).slice(1, len(texts))
+        got, counts = ids.documents(column)
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+        assert got.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+    got, counts = ids.documents(pa.array([None, None], pa.string()))
+    assert got.tolist() == [1, 1] and counts.tolist() == [1, 1]
+    # words met before, bare or with marks after them, cost no call
+    long = pa.array([" ".join(r.choice(["the", "que", "erlying"]) + r.choice(["", ".", ",***", "!?"]) for _ in range(20_000))])
+    ids.documents(long)
+    assert _calls(lambda: ids.documents(long)) < 500
