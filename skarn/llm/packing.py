@@ -60,16 +60,17 @@ def pieces_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
             if b"<|" in raw[a:b].tobytes():
                 data[a:b] = raw[a:b]
     starts, ends, _ = word_edges(data, at)
+    letters = data[(data != 32) & ((data - np.uint8(9)) >= 5)]
     marked = MARKS[data]
     some = np.flatnonzero(marked[ends - 1])
     # where the marks before a word's end begin
-    cuts = np.maximum.accumulate(np.where(marked, -1, np.arange(len(data))))[ends[some] - 1] + 1
+    bare = np.append(-1, np.flatnonzero(~marked))
+    cuts = bare[np.searchsorted(bare, ends[some]) - 1] + 1
     cuts = cuts[cuts > starts[some]]
     cuts = cuts[((data[cuts - 1] - np.uint8(97)) < 26) | (LATIN_LAST[data[cuts - 1]] & (data[cuts - 2] == LATIN_FIRST))]
     starts, ends = (np.sort(np.concatenate([x, cuts]), kind="stable") for x in (starts, ends))
-    lens = ends - starts
-    edges = np.concatenate([[0], np.cumsum(lens)])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(edges), pa.py_buffer(data[runs(starts, lens)])])
+    edges = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(letters)])
     return words.dictionary_encode(), np.diff(np.searchsorted(starts, at))
 
 
@@ -159,7 +160,8 @@ class WordIds(dict):
             self.old = dict(self)
             self.clear()
         words, counts = pieces_of(column)
-        numbers = np.fromiter(map(self.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
         if self.new:  # those met for the first time; their entries have been numbered already
             self.append(*self.encoded(b"\n".join(self.new).decode().split("\n")))
             self.new = []
