@@ -1,6 +1,7 @@
 """Values of all pairs in tasks of blocks, against plain numpy."""
 
 import numpy as np
+import pytest
 
 from skarn.operators import pairwise
 from skarn.plans import model_queries
@@ -39,10 +40,21 @@ def test_rounding():
     assert np.isnan(pairwise.rounded(np.array([np.nan]), 6))[0]
 
 
-def test_distances_run_in_many_tasks_over_blocks(spark, tmp_path):
+@pytest.mark.parametrize("name", ["distances", "kernels"])
+def test_queries_run_in_many_tasks_over_blocks(spark, tmp_path, name):
     """One file of one piece was one task that went through the pairs row by row."""
     rows = [(i, [float(i), 1.0]) for i in range(3000)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = model_queries.distances(spark, str(tmp_path))
+    found = getattr(model_queries, name)(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() >= 8 and "CartesianProduct" in _nodes(found) and "Generate" not in _nodes(found)
     assert found.count() == 60 * 3000
+
+
+def test_kernels_of_vectors():
+    r = np.random.default_rng(2)
+    x, y = r.normal(0, 1, (5, 6)), r.normal(0, 1, (9, 6))
+    linear, poly, rbf, sigmoid = model_queries._kernels(x, y)
+    for i in range(5):
+        for j in range(9):
+            d, q = x[i] @ y[j], ((x[i] - y[j]) ** 2).sum()
+            np.testing.assert_allclose([linear[i, j], poly[i, j], rbf[i, j], sigmoid[i, j]], [round(d, 6), round((0.5 * d + 1) ** 2, 5), round(np.exp(-0.1 * q), 6), round(np.tanh(0.1 * d), 6)], atol=1.1e-5)
