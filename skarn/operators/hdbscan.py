@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.operators.neighbours import SLACK, Space, _distances, between, exactly, met, search, vectors_of
+from skarn.operators.neighbours import SLACK, Space, _distances, exactly, met, search, side, squares, vectors_of, written
 from skarn.operators.scratch import Scratch
 
 NOISE = 0
@@ -78,27 +78,25 @@ def spanning_tree(scratch: Scratch, space: Space, k: int) -> tuple[DataFrame, Da
     return scratch.write(tree, "tree"), seen.select("id", "core")
 
 
-def _columns(rows) -> tuple[np.ndarray, ...]:
-    return rows.field("id").to_numpy(), rows.field("core").to_numpy(), rows.field("own").to_numpy(), vectors_of(rows.field("v"))
-
-
-def _least(v: np.ndarray, core: np.ndarray, own: np.ndarray, vj: np.ndarray, core_j: np.ndarray, own_j: np.ndarray, kind: str):
-    """(row, row of the other side, weight) of each row's lightest pairs with another component, exact and with all ties.
+def _least(p: dict[str, np.ndarray], q: dict[str, np.ndarray], most: np.ndarray, kind: str):
+    """(row, row of the other side, weight) of each row's lightest pairs with another component up to ``most``, exact and with all ties.
 
     A matrix product tells which pairs can be the lightest; only these are computed as everywhere else.
     """
-    low, high = between(v, vj, kind)
-    cores = np.maximum(core[:, None], core_j[None])
-    other = own[:, None] != own_j[None]
-    most = np.where(other, np.maximum(high, cores), np.inf).min(axis=1)
-    x, y = np.nonzero(other & (np.maximum(low, cores) <= most[:, None]))
-    if not len(x):
-        return
-    d = exactly(v[x], vj[y]) if kind == "L2" else low[x, y]
-    w = np.maximum(d, cores[x, y])
-    least = np.full(len(v), np.inf)
+    other = p["own"][:, None] != q["own"][None]
+    if kind == "L2":
+        near, slack = squares(p["v"], q["v"])
+        bound, wide = most**2, 2 * slack
+    else:
+        near, wide, bound = _distances(p["v"], q["v"], kind), 0.0, most.copy()
+    if len(some := np.flatnonzero(np.isinf(most))):
+        heavy = np.maximum(p["core"][some][:, None], q["core"][None])
+        bound[some] = np.where(other[some], np.maximum(near[some] + wide, heavy**2 if kind == "L2" else heavy), np.inf).min(axis=1)
+    x, y = np.nonzero((near <= (bound + wide)[:, None]) & other)
+    w = np.maximum(exactly(p["v"][x], q["v"][y]) if kind == "L2" else near[x, y], np.maximum(p["core"][x], q["core"][y]))
+    least = most.copy()
     np.minimum.at(least, x, w)
-    keep = w == least[x]
+    keep = w <= least[x]
     yield from zip(x[keep].tolist(), y[keep].tolist(), w[keep].tolist())
 
 
@@ -114,30 +112,29 @@ def _lightest(scratch: Scratch, space: Space, rows: DataFrame) -> DataFrame:
         bound[r.block], low[r.block], high[r.block] = -1.0 if r.most is None else r.most, r.low, r.high  # a row a block
     one = low == high
     within = lambda blocks, d, least: (least <= bound[blocks][:, None]) & ~(one[blocks][:, None] & one[None] & (low[blocks][:, None] == low[None]))
-    left, right = scratch.write(space.packed("left", rows), "left"), scratch.write(space.packed("right", rows.select("id", "own", "core")), "right")
+    left, right = written(scratch, space.packed("left", rows), "left"), written(scratch, space.packed("right", rows.select("id", "own", "core")), "right")
     kind, centres, radii = space.distance, space.centres, space.radii
 
     def run(batches):
         best: dict[int, tuple] = {}
         for b in batches:
             for r in range(b.num_rows):
-                p, q, ball = b.column("left")[r].values, b.column("right")[r].values, b.column("right_block")[r].as_py()
-                most = p.field("most").to_numpy()
-                reach = most if kind == "COSINE" else most - (_distances(centres[ball][None], vectors_of(p.field("v")), kind)[0] - radii[ball]) * (1 - SLACK)
-                open_ = np.flatnonzero(p.field("open").to_numpy(zero_copy_only=False) & (reach >= 0))  # whose component's bound comes to the ball
-                i, ci, oi, vi = (x[open_] for x in _columns(p))
-                j, cj, oj, vj = _columns(q)
-                for s in range(0, len(i), 256):
-                    t = slice(s, s + 256)
-                    for x, y, w in _least(vi[t], ci[t], oi[t], vj, cj, oj, kind):
-                        e = (w, int(min(i[s + x], j[y])), int(max(i[s + x], j[y])), int(oj[y]))
-                        own = int(oi[s + x])
-                        if own not in best or e < best[own]:
-                            best[own] = e
+                p, q, ball = side(b, "left", r), side(b, "right", r), b.column("right_block")[r].as_py()
+                reach = p["most"] if kind == "COSINE" else p["most"] - (_distances(centres[ball][None], p["v"], kind)[0] - radii[ball]) * (1 - SLACK)
+                open_ = np.flatnonzero(p["open"] & (reach >= 0))  # whose component's bound comes to the ball
+                for s in range(0, len(open_), 256):
+                    some = {c: v[open_[s : s + 256]] for c, v in p.items()}
+                    owns = some["own"].tolist()
+                    most = np.minimum(some["most"], [best[o][0] if o in best else np.inf for o in owns])
+                    for x, y, w in _least(some, q, most, kind):
+                        i, j = int(some["id"][x]), int(q["id"][y])
+                        e = (w, min(i, j), max(i, j), int(q["own"][y]))
+                        if owns[x] not in best or e < best[owns[x]]:
+                            best[owns[x]] = e
         if best:
             yield pa.RecordBatch.from_pylist([{"own": o, "w": e[0], "a": e[1], "b": e[2], "up": e[3]} for o, e in best.items()])
 
-    return met(left, space.pairs(space, within), right).mapInArrow(run, "own long, w double, a long, b long, up long")
+    return met(left, right, space.meets(space, within), space, space).mapInArrow(run, "own long, w double, a long, b long, up long")
 
 
 def noise_levels(scratch: Scratch, tree: DataFrame, ids: DataFrame, least: int) -> DataFrame:

@@ -193,3 +193,36 @@ def test_hot_point_is_split(spark, monkeypatch):
     df = spark.createDataFrame([(i, [1.0, 1.0] if i % 3 == 0 else [float(i), 0.0]) for i in range(1500)], SCHEMA)
     space = neighbours.Space.build(Scratch(spark), df, "vec_id", "embedding")
     assert space.counts.sum() == 1500 and space.counts.max() < 120
+
+
+def _without_structure(spark, n=600):
+    r = np.random.default_rng(6)
+    return spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(r.normal(0, 1, (n, 6)))], SCHEMA)
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
+    """Where nearly all blocks meet, no exchange takes both blocks of every pair, and a task hands on k rows a probe."""
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    df = _without_structure(spark)
+    stats: dict = {}
+    near = neighbours.k_nearest(df, df, 4, stats=stats)
+    assert stats["visited"] > stats["pairs"] / 2
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "right_v" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+    assert near.count() == 600 * 4
+
+
+def test_held_keeps_the_nearest_of_all_that_passed():
+    r = np.random.default_rng(8)
+    q, x = np.round(r.normal(0, 1, (300, 2)), 1), np.round(r.normal(0, 1, (700, 2)), 1)  # many ties
+    ids = r.permutation(700)
+    for kind in ("L1", "L2"):
+        held = neighbours.Held(np.arange(300), q, np.where(np.arange(300) % 2, np.inf, 0.3), 5, kind)
+        for a in range(0, 700, 3 if kind == "L1" else 90):
+            held.meet(ids[a : a + (3 if kind == "L1" else 90)], x[a : a + (3 if kind == "L1" else 90)])
+        got = {}
+        for p, n, d in zip(*(c.tolist() for c in held.found())):
+            got.setdefault(p, []).append((n, d))
+        for i, d in enumerate(neighbours._distances(q, x, kind)):
+            want = [(int(ids[j]), d[j]) for j in np.lexsort((ids, d))[:5] if i % 2 or d[j] <= 0.3]
+            assert got.get(i, []) == want
