@@ -7,7 +7,7 @@ from skarn.operators import neighbours
 from skarn.plans import model_queries
 
 
-@pytest.mark.parametrize("name", ["knn"])
+@pytest.mark.parametrize("name", ["knn", "knn_classify"])
 def test_no_shuffle_of_pairs(spark, monkeypatch, tmp_path, name):
     monkeypatch.setattr(neighbours, "BLOCK", 32)
     r = np.random.default_rng(6)
