@@ -93,3 +93,28 @@ def test_merged_tables(spark, monkeypatch):
     monkeypatch.setattr(dual_kernel, "TABLES", 3)
     got = dual_kernel.fit(_df(spark, rows), "v", "label", ["a", "b", "c"], "id", epochs=1, block=5)
     assert {tuple(r) for r in got.support.select("key", "alpha").collect()} == {tuple(r) for r in want.support.select("key", "alpha").collect()}
+
+
+@pytest.mark.parametrize("kernel, options", [("polynomial", dict(degree=2)), ("polynomial", dict(degree=3, gamma=2.0, coefficient=0.0)), ("linear", {})])
+def test_monomials_are_the_kernel(kernel, options, monkeypatch):
+    monkeypatch.setattr(dual_kernel, "SUPPORT", 1)
+    r = np.random.default_rng(3)
+    x, s, y, alpha = r.normal(0, 1, (20, 4)), r.normal(0, 1, (30, 4)), r.integers(0, 3, 30), r.uniform(0, 2, 30)
+    m = dual_kernel.Monomials.find(kernel, 4, 3, 100, options)
+    np.testing.assert_allclose(m.scores(x, m.weights(s, y, alpha, 3)), dual_kernel._scores(x, s, y, alpha, 3, kernel, options), rtol=1e-9, atol=1e-9)
+    for other in ((kernel, 4, 3, 10 if kernel == "polynomial" else 4, options), (kernel, 4000, 300, 1 << 40, options | {"degree": 2}), ("polynomial", 4, 3, 100, {"degree": 1.5}), ("rbf", 4, 3, 100, {})):
+        assert dual_kernel.Monomials.find(*other) is None
+
+
+@pytest.mark.parametrize("block, chain", [(16, 3), (1000, 64)])
+def test_monomials_learn_what_support_rows_learn(spark, monkeypatch, block, chain):
+    """Whole numbers: the same dual weights and scores to the last bit, with as many jobs as chains of blocks, not as blocks."""
+    rows = {i: ([float(np.floor(4 * c)) for c in v], label, w) for i, (v, label, w) in _rings().items()}
+    df = _df(spark, rows).drop("scores")
+    fitted = lambda: dual_kernel.fit(df, "v", "label", ["a", "b", "c"], "id", "polynomial", 2, block, weight="w", order=_order, degree=2)
+    told = lambda m: ({(r.key, r.alpha) for r in m.support.collect()}, {(r.id, r.prediction, tuple(r.scores or [])) for r in m.predict(df, "v").collect()})
+    want = told(fitted())
+    monkeypatch.setattr(dual_kernel, "SUPPORT", 10)
+    monkeypatch.setattr(dual_kernel, "CHAIN", chain)
+    monkeypatch.setattr(dual_kernel, "TABLES", 3)
+    assert told(fitted()) == want and 10 < len(want[0]) < 150
