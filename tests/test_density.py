@@ -226,3 +226,19 @@ def test_held_keeps_the_nearest_of_all_that_passed():
         for i, d in enumerate(neighbours._distances(q, x, kind)):
             want = [(int(ids[j]), d[j]) for j in np.lexsort((ids, d))[:5] if i % 2 or d[j] <= 0.3]
             assert got.get(i, []) == want
+
+
+def test_tree_shuffles_no_pairs_of_blocks(spark, monkeypatch):
+    """Neither the neighbours nor the rounds of the spanning tree send both blocks of every pair through an exchange."""
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    monkeypatch.setattr(hdbscan, "NEAR", 3)  # so that rounds look among all points
+    plans, plain = [], hdbscan.met
+
+    def seen(*a):
+        out = plain(*a)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(hdbscan, "met", seen)
+    assert hdbscan.hdbscan(_without_structure(spark, 300), 5, 2).count() == 300
+    assert plans and all("CartesianProduct" in p and "right_v" not in "".join(x for x in p.split("\n") if "Exchange" in x) for p in plans)
