@@ -1,5 +1,7 @@
 """Mini-batch descent and linear models of any width against plain numpy."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,19 @@ def test_wide_learns_a_million_features(spark):
     assert m.weights.count() == 50 * n + 2 and m.losses[1] < m.losses[0]
     fresh = ids.select((F.col("id") + n).alias("id"), F.concat(F.lit("tells "), F.col("id") % 2).alias("name"), F.lit(1.0).alias("value"))
     assert m.predict(fresh).where((F.col("prediction") == "even") == (F.col("id") % 2 == 0)).count() == n
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files on this machine."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*"))
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Each step's shuffles go when its table is written, whether or not the driver collects garbage meanwhile."""
+    features = spark.range(40_000).select((F.col("id") % 2000).alias("id"), F.concat(F.lit("t"), F.xxhash64("id").cast("string")).alias("name"), F.rand(1).alias("value"))
+    targets = spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"))
+    before = _shuffled(spark)
+    model = wide.fit(features, wide.targets_of(targets, "id", "label", ["a", "b"]), ["a", "b"], epochs=2)
+    assert model.weights.count() == 40_000 and len(model.losses) == 2
+    assert _shuffled(spark) - before < 1_000_000  # a step shuffles several MB; what is left are the rows of counts
