@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skarn.operators import linear, wide
+from skarn.operators.scratch import Scratch
 
 
 def _labelled(spark, n=3000, seed=1):
@@ -141,3 +142,14 @@ def test_steps_leave_no_shuffle_files(spark):
     model = wide.fit(features, wide.targets_of(targets, "id", "label", ["a", "b"]), ["a", "b"], epochs=2)
     assert model.weights.count() == 40_000 and len(model.losses) == 2
     assert _shuffled(spark) - before < 1_000_000  # a step shuffles several MB; what is left are the rows of counts
+
+
+def test_only_the_last_weights_stay(spark, monkeypatch):
+    """Tables of earlier steps go; the last weights are read by the model."""
+    made = []
+    monkeypatch.setattr(wide, "Scratch", lambda s: made.append(Scratch(s)) or made[-1])
+    features = spark.createDataFrame([(1, "p", 1.0), (2, "q", 2.0)], "id long, name string, value double")
+    model = wide.fit(features, wide.targets_of(spark.createDataFrame([(1, "a"), (2, "b")], "id long, label string"), "id", "label", ["a", "b"]), ["a", "b"], epochs=3)
+    left = [p.name for p in Path(made[0].path.removeprefix("file:")).iterdir()]
+    assert len(left) == 1 and left[0].startswith("weights")
+    assert {r.id: r.prediction for r in model.predict(features).collect()} == {1: "a", 2: "b"}
