@@ -242,3 +242,22 @@ def test_tree_shuffles_no_pairs_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(hdbscan, "met", seen)
     assert hdbscan.hdbscan(_without_structure(spark, 300), 5, 2).count() == 300
     assert plans and all("CartesianProduct" in p and "right_v" not in "".join(x for x in p.split("\n") if "Exchange" in x) for p in plans)
+
+
+def test_density_predict_shuffles_no_pairs_of_blocks(spark, monkeypatch, tmp_path):
+    """The query's own neighbours: no exchange takes both blocks of a pair."""
+    from skarn.plans import learner_queries
+
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    _without_structure(spark, 400).write.parquet(f"{tmp_path}/embeddings.parquet")
+    plans, plain = [], neighbours.met
+
+    def seen(*a):
+        out = plain(*a)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(neighbours, "met", seen)
+    assert learner_queries.density_predict(spark, str(tmp_path)).count() == 400
+    assert any("CartesianProduct" in p for p in plans)
+    assert not any("right_v" in x for p in plans if "CartesianProduct" in p for x in p.split("\n") if "Exchange" in x)
